@@ -163,3 +163,75 @@ def q_segment_assign(spark, sf_dir):
 @query("segment_sizes")
 def q_segment_sizes(spark, sf_dir):
     return seg.segment_sizes(fx(spark, sf_dir).segments)
+
+
+# ------------------------------------------------------------- 2.2 profile
+from churnkit.operators import profile as prof  # noqa: E402
+
+FIXTURE_SENTINELS = [("HandsetPrice", "Unknown"), ("MaritalStatus", "Unknown"),
+                     ("Homeownership", "Unknown"), ("AgeHH1", 0)]
+
+
+@query("profile_shape")
+def q_profile_shape(spark, sf_dir):
+    return prof.profile_shape(fx(spark, sf_dir).raw)
+
+
+@query("profile_target")
+def q_profile_target(spark, sf_dir):
+    return prof.profile_target(fx(spark, sf_dir).raw)
+
+
+@query("profile_nulls")
+def q_profile_nulls(spark, sf_dir):
+    return prof.profile_nulls(fx(spark, sf_dir).raw)
+
+
+@query("profile_disguised")
+def q_profile_disguised(spark, sf_dir):
+    return prof.profile_disguised(fx(spark, sf_dir).raw)
+
+
+@query("profile_sentinel_share")
+def q_profile_sentinel_share(spark, sf_dir):
+    return prof.profile_sentinel_share(fx(spark, sf_dir).raw, FIXTURE_SENTINELS)
+
+
+@query("profile_cardinality")
+def q_profile_cardinality(spark, sf_dir):
+    return prof.profile_cardinality(fx(spark, sf_dir).raw)
+
+
+@query("profile_domains")
+def q_profile_domains(spark, sf_dir):
+    return prof.profile_domains(fx(spark, sf_dir).raw)
+
+
+@query("profile_describe")
+def q_profile_describe(spark, sf_dir):
+    return round_doubles(prof.profile_describe(fx(spark, sf_dir).raw), 6)
+
+
+@query("profile_dup_keys")
+def q_profile_dup_keys(spark, sf_dir):
+    return prof.profile_dup_keys(fx(spark, sf_dir).raw)
+
+
+@query("profile_dup_rows")
+def q_profile_dup_rows(spark, sf_dir):
+    return prof.profile_dup_rows(fx(spark, sf_dir).raw)
+
+
+@query("profile_negatives")
+def q_profile_negatives(spark, sf_dir):
+    return prof.profile_negatives(fx(spark, sf_dir).raw)
+
+
+@query("profile_top_values")
+def q_profile_top_values(spark, sf_dir):
+    return prof.profile_top_values(fx(spark, sf_dir).raw, "HandsetPrice")
+
+
+@query("profile_rate_by_quartile")
+def q_profile_rate_by_quartile(spark, sf_dir):
+    return round_doubles(prof.profile_rate_by_quartile(fx(spark, sf_dir).raw), 6)

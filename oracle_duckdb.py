@@ -248,3 +248,115 @@ ORACLE["segment_cuts"] = (f"WITH {SEGMENTED} SELECT " + ", ".join(
 ORACLE["segment_assign"] = f"WITH {SEGMENTED} SELECT CustomerID, segmento FROM sub_seg"
 ORACLE["segment_sizes"] = (f"WITH {SEGMENTED} SELECT segmento, count(*) AS clientes FROM sub_seg "
                            "GROUP BY segmento ORDER BY clientes DESC, segmento")
+
+# --------------------------------------------------------------- profile
+RAW_COLS = ["CustomerID", "Churn", "MonthlyRevenue", "MonthlyMinutes", "TotalRecurringCharge",
+            "DirectorAssistedCalls", "OverageMinutes", "RoamingCalls", "PercChangeMinutes",
+            "PercChangeRevenues", "DroppedBlockedCalls", "UnansweredCalls", "CustomerCareCalls",
+            "ReceivedCalls", "OutboundCalls", "InboundCalls", "MonthsInService", "UniqueSubs",
+            "ActiveSubs", "Handsets", "CurrentEquipmentDays", "RetentionCalls", "AgeHH1",
+            "ServiceArea", "HandsetPrice", "CreditRating", "PrizmCode", "Occupation",
+            "MaritalStatus", "Homeownership", "MadeCallToRetentionTeam"]
+RAW_STRINGS = ["Churn", "ServiceArea", "HandsetPrice", "CreditRating", "PrizmCode", "Occupation",
+               "MaritalStatus", "Homeownership", "MadeCallToRetentionTeam"]
+RAW_LONGS = ["CustomerID", "MonthsInService", "UniqueSubs", "ActiveSubs", "RetentionCalls"]
+RAW_NUMERIC = [c for c in RAW_COLS if c not in RAW_STRINGS]
+TOKENS = ["unknown", "known", "na", "n/a", "none", "?", ""]
+
+ORACLE["profile_shape"] = (
+    f"WITH {SUB_RAW} SELECT * FROM (VALUES ('linhas', (SELECT count(*) FROM sub_raw)), "
+    f"('colunas', CAST({len(RAW_COLS)} AS BIGINT)), ('tipo_bigint', CAST({len(RAW_LONGS)} AS BIGINT)), "
+    f"('tipo_double', CAST({len(RAW_DOUBLES)} AS BIGINT)), ('tipo_string', CAST({len(RAW_STRINGS)} AS BIGINT))"
+    ") t(metrica, valor)")
+ORACLE["profile_target"] = (
+    f"WITH {SUB_RAW} SELECT Churn, count(*) AS contagem, "
+    f"{R('count(*) / CAST((SELECT count(*) FROM sub_raw) AS DOUBLE)', 4)} AS proporcao "
+    "FROM sub_raw GROUP BY Churn")
+ORACLE["profile_nulls"] = (
+    f"WITH {SUB_RAW} SELECT coluna, qtd_nan, {R('qtd_nan / CAST(n AS DOUBLE) * CAST(100 AS DOUBLE)', 2)} AS pct "
+    "FROM (" + " UNION ALL ".join(
+        f"SELECT '{c}' AS coluna, CAST(count_if({c} IS NULL) AS BIGINT) AS qtd_nan, count(*) AS n FROM sub_raw"
+        for c in RAW_COLS) + ") WHERE qtd_nan > 0")
+ORACLE["profile_disguised"] = (
+    f"WITH {SUB_RAW} SELECT * FROM (" + " UNION ALL ".join(
+        f"SELECT '{c}' AS coluna, '{t}' AS valor, CAST(count_if(lower(trim({c})) = '{t}') AS BIGINT) AS contagem FROM sub_raw"
+        for c in RAW_STRINGS for t in TOKENS) + ") WHERE contagem > 0")
+ORACLE["profile_sentinel_share"] = (
+    f"WITH {SUB_RAW} " + " UNION ALL ".join(
+        f"SELECT '{c}' AS coluna, '{s}' AS sentinela, "
+        f"{R(f'count_if({c} = {v}) / CAST(count(*) AS DOUBLE)', 6)} AS proporcao FROM sub_raw"
+        for c, s, v in [("HandsetPrice", "Unknown", "'Unknown'"), ("MaritalStatus", "Unknown", "'Unknown'"),
+                        ("Homeownership", "Unknown", "'Unknown'"), ("AgeHH1", "0", "0")]))
+ORACLE["profile_cardinality"] = (
+    f"WITH {SUB_RAW} " + " UNION ALL ".join(
+        f"SELECT '{c}' AS coluna, count(DISTINCT {c}) AS distintos FROM sub_raw" for c in RAW_STRINGS))
+ORACLE["profile_domains"] = (
+    f"WITH {SUB_RAW} " + " UNION ALL ".join(
+        f"SELECT '{c}' AS coluna, valor, CAST(row_number() OVER (ORDER BY valor) AS INTEGER) AS posicao "
+        f"FROM (SELECT DISTINCT {c} AS valor FROM sub_raw WHERE {c} IS NOT NULL) "
+        f"WHERE (SELECT count(DISTINCT {c}) FROM sub_raw) <= 12" for c in RAW_STRINGS))
+ORACLE["profile_describe"] = (
+    f"WITH {SUB_RAW} " + rounded(" UNION ALL ".join(
+        f"SELECT '{c}' AS coluna, count({c}) AS count, avg(CAST({c} AS DOUBLE)) AS mean, "
+        f"stddev_samp(CAST({c} AS DOUBLE)) AS std, CAST(min({c}) AS DOUBLE) AS min, "
+        f"quantile_cont(CAST({c} AS DOUBLE), 0.25) AS q25, quantile_cont(CAST({c} AS DOUBLE), 0.5) AS q50, "
+        f"quantile_cont(CAST({c} AS DOUBLE), 0.75) AS q75, CAST(max({c}) AS DOUBLE) AS max FROM sub_raw"
+        for c in RAW_NUMERIC), ["mean", "std", "min", "q25", "q50", "q75", "max"]))
+ORACLE["profile_dup_keys"] = (
+    f"WITH {SUB_RAW} SELECT CAST(coalesce(sum(n - 1), 0) AS BIGINT) AS duplicados "
+    "FROM (SELECT count(*) AS n FROM sub_raw GROUP BY CustomerID)")
+ORACLE["profile_dup_rows"] = (
+    f"WITH {SUB_RAW} SELECT CAST(coalesce(sum(n - 1), 0) AS BIGINT) AS duplicados "
+    f"FROM (SELECT count(*) AS n FROM sub_raw GROUP BY {', '.join(RAW_COLS)})")
+ORACLE["profile_negatives"] = (
+    f"WITH {SUB_RAW} SELECT * FROM (" + " UNION ALL ".join(
+        f"SELECT '{c}' AS coluna, CAST(count_if({c} < 0) AS BIGINT) AS negativos FROM sub_raw"
+        for c in RAW_NUMERIC if c not in ("PercChangeMinutes", "PercChangeRevenues"))
+    + ") WHERE negativos > 0")
+ORACLE["profile_top_values"] = (
+    f"WITH {SUB_RAW} SELECT HandsetPrice AS valor, count(*) AS contagem FROM sub_raw "
+    "GROUP BY 1 ORDER BY contagem DESC, valor ASC NULLS FIRST LIMIT 15")
+ORACLE["profile_rate_by_quartile"] = f"WITH {SUB_RAW} " + " UNION ALL ".join(
+    f"""SELECT '{c}' AS coluna, CAST(faixa AS INTEGER) AS faixa,
+         {R('edges[faixa]')} AS limite_inf, {R('edges[least(faixa + 1, len(edges))]')} AS limite_sup,
+         {R('avg(y)', 3)} AS taxa, count(*) AS contagem
+       FROM (SELECT greatest(1, len(list_filter(e.edges, lambda v: v < x))) AS faixa, e.edges AS edges, y
+             FROM (SELECT TRY_CAST({c} AS DOUBLE) AS x, CAST(CASE WHEN Churn = 'Yes' THEN 1 ELSE 0 END AS DOUBLE) AS y
+                   FROM sub_raw) d
+             CROSS JOIN (SELECT list_sort(list_distinct(quantile_cont(TRY_CAST({c} AS DOUBLE),
+                           [CAST(0 AS DOUBLE), 0.25, 0.5, 0.75, CAST(1 AS DOUBLE)]))) AS edges FROM sub_raw) e
+             WHERE x IS NOT NULL)
+       GROUP BY faixa, edges""" for c in ["MonthsInService", "MonthlyRevenue", "CurrentEquipmentDays",
+                                          "RetentionCalls"])
+ORACLE["audit_treated"] = (
+    f"WITH {TREATED} SELECT (SELECT count(*) FROM sub_raw) AS linhas_antes, count(*) AS linhas_depois, "
+    "CAST(" + " + ".join(f'count_if("{c}" IS NULL)' for c in ["CustomerID", "Churn"] + TREATED_DOUBLES)
+    + " AS BIGINT) AS nulos_restantes, CAST(0 AS BIGINT) AS colunas_nao_numericas, "
+    f"{R('avg(CAST(Churn AS DOUBLE))')} AS taxa_alvo FROM sub_treated")
+_LOG = [
+    (1, "Churn", "map_yes_no", "count(*)", "NULL"),
+    (2, "MadeCallToRetentionTeam", "map_yes_no", "count(*)", "NULL"),
+    (3, "Homeownership", "known_flag", "count_if(Homeownership = 'Unknown')", "NULL"),
+    (4, "MaritalStatus", "one_hot", "count_if(MaritalStatus = 'Unknown')", "NULL"),
+    (5, "HandsetPrice", "text_to_number_median", "count_if(HandsetPrice = 'Unknown')", "(SELECT HandsetPrice FROM med)"),
+    (6, "AgeHH1", "zero_to_null_median", "count_if(AgeHH1 = 0) + count_if(AgeHH1 IS NULL)", "(SELECT AgeHH1 FROM med)"),
+    (7, "CurrentEquipmentDays", "negative_to_null_median",
+     "count_if(CurrentEquipmentDays < 0) + count_if(CurrentEquipmentDays IS NULL)",
+     "(SELECT CurrentEquipmentDays FROM med)"),
+    (8, ", ".join(BILLING), "missing_block_flag_median",
+     "count_if(" + " AND ".join(f"{c} IS NULL" for c in BILLING) + ")", "NULL"),
+    (9, "PercChangeMinutes", "impute_median", "count_if(PercChangeMinutes IS NULL)", "(SELECT PercChangeMinutes FROM med)"),
+    (10, "PercChangeRevenues", "impute_median", "count_if(PercChangeRevenues IS NULL)", "(SELECT PercChangeRevenues FROM med)"),
+    (11, "Handsets", "impute_median", "count_if(Handsets IS NULL)", "(SELECT Handsets FROM med)"),
+    (12, "CreditRating", "ordinal", "count(*)", "NULL"),
+    (13, "PrizmCode", "one_hot_5", "count(*)", "NULL"),
+    (14, "Occupation", "one_hot_5", "count(*)", "NULL"),
+    (15, "ServiceArea", "frequency", "count_if(ServiceArea IS NULL)", "NULL"),
+    (16, "CustomerID", "key_to_index", "count(*)", "NULL"),
+]
+ORACLE["treatment_log"] = (
+    f"WITH {TREATED} SELECT * FROM (" + " UNION ALL ".join(
+        f"SELECT CAST({o} AS INTEGER) AS ordem, '{c}' AS coluna, '{a}' AS acao, "
+        f"CAST({e} AS BIGINT) AS linhas_afetadas, {R(f'CAST({p} AS DOUBLE)')} AS parametro FROM sub_raw"
+        for o, c, a, e, p in _LOG)
+    + ") WHERE NOT (coluna IN ('PercChangeMinutes', 'PercChangeRevenues', 'Handsets') AND linhas_afetadas = 0)")
