@@ -235,3 +235,89 @@ def q_profile_top_values(spark, sf_dir):
 @query("profile_rate_by_quartile")
 def q_profile_rate_by_quartile(spark, sf_dir):
     return round_doubles(prof.profile_rate_by_quartile(fx(spark, sf_dir).raw), 6)
+
+
+# ------------------------------------------------------------- 2.6 curves
+from churnkit.operators import curves as cv  # noqa: E402
+
+COMPARED = [("max_f2_025", 0.25), ("recall_90_031", 0.31)]
+
+
+def _sc(spark, sf_dir):
+    return cv.score_counts(fx(spark, sf_dir).scores)
+
+
+@query("score_counts")
+def q_score_counts(spark, sf_dir):
+    return _sc(spark, sf_dir)
+
+
+@query("confusion_at")
+def q_confusion_at(spark, sf_dir):
+    return cv.confusion_at(_sc(spark, sf_dir), cv.OFFICIAL_THRESHOLD)
+
+
+@query("metrics_at")
+def q_metrics_at(spark, sf_dir):
+    return cv.metrics_at(_sc(spark, sf_dir), 0.25)
+
+
+@query("sweep_f2")
+def q_sweep_f2(spark, sf_dir):
+    return cv.sweep_f2(_sc(spark, sf_dir))
+
+
+@query("threshold_f2")
+def q_threshold_f2(spark, sf_dir):
+    return cv.threshold_f2(_sc(spark, sf_dir))
+
+
+@query("sweep_recall")
+def q_sweep_recall(spark, sf_dir):
+    return cv.sweep_recall(_sc(spark, sf_dir))
+
+
+@query("threshold_recall")
+def q_threshold_recall(spark, sf_dir):
+    return cv.threshold_recall(_sc(spark, sf_dir))
+
+
+@query("roc_curve")
+def q_roc_curve(spark, sf_dir):
+    return round_doubles(cv.roc_curve(_sc(spark, sf_dir)), 6)
+
+
+@query("roc_200")
+def q_roc_200(spark, sf_dir):
+    return cv.roc_reduced(_sc(spark, sf_dir))
+
+
+@query("auc_roc")
+def q_auc_roc(spark, sf_dir):
+    return round_doubles(cv.auc_roc(_sc(spark, sf_dir)), 9)
+
+
+@query("average_precision")
+def q_average_precision(spark, sf_dir):
+    return round_doubles(cv.average_precision(_sc(spark, sf_dir)), 9)
+
+
+@query("score_histogram")
+def q_score_histogram(spark, sf_dir):
+    return cv.score_histogram(_sc(spark, sf_dir))
+
+
+@query("compare_models")
+def q_compare_models(spark, sf_dir):
+    return cv.compare_thresholds(_sc(spark, sf_dir), COMPARED)
+
+
+@query("bundle_meta")
+def q_bundle_meta(spark, sf_dir):
+    f = fx(spark, sf_dir)
+    return cv.bundle_meta(f.scores, cv.score_counts(f.scores))
+
+
+@query("risk_ranking")
+def q_risk_ranking(spark, sf_dir):
+    return cv.risk_ranking(fx(spark, sf_dir).scores)

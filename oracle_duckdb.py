@@ -360,3 +360,92 @@ ORACLE["treatment_log"] = (
         f"CAST({e} AS BIGINT) AS linhas_afetadas, {R(f'CAST({p} AS DOUBLE)')} AS parametro FROM sub_raw"
         for o, c, a, e, p in _LOG)
     + ") WHERE NOT (coluna IN ('PercChangeMinutes', 'PercChangeRevenues', 'Handsets') AND linhas_afetadas = 0)")
+
+# ----------------------------------------------------------------- curves
+SCORES = SUB_RAW + """,
+fx_scores AS (SELECT CustomerID,
+  CAST((CustomerID * 7919) % 7001 + CASE WHEN Churn = 'Yes' THEN 1500 ELSE 0 END AS DOUBLE) / CAST(10000 AS DOUBLE) AS prob_churn,
+  CAST(CASE WHEN Churn = 'Yes' THEN 1 ELSE 0 END AS INTEGER) AS churn_real FROM sub_raw),
+sc AS (SELECT CAST(floor(prob_churn * CAST(10000 AS DOUBLE) + CAST(0.5 AS DOUBLE)) AS INTEGER) AS prob_bp,
+  CAST(count_if(churn_real = 1) AS BIGINT) AS pos, CAST(count_if(churn_real <> 1) AS BIGINT) AS neg FROM fx_scores GROUP BY 1),
+cum AS (SELECT prob_bp, pos, neg,
+  CAST(sum(pos) OVER (ORDER BY prob_bp DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS tp,
+  CAST(sum(neg) OVER (ORDER BY prob_bp DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS fp,
+  CAST(sum(pos) OVER () AS BIGINT) AS P, CAST(sum(neg) OVER () AS BIGINT) AS N FROM sc)"""
+
+
+def _div(a: str, b: str) -> str:
+    return f"CASE WHEN ({b}) = 0 THEN CAST(0 AS DOUBLE) ELSE CAST({a} AS DOUBLE) / CAST({b} AS DOUBLE) END"
+
+
+def metrics_sql(grid: list[int], d: int | None) -> str:
+    """tp/fp and metrics at each threshold (basis points) over ``sc``."""
+    r = (lambda x: R(x, d)) if d is not None else (lambda x: x)
+    vals = ", ".join(f"({t})" for t in grid)
+    tc = (f"SELECT g.t_bp, CAST(coalesce(sum(CASE WHEN sc.prob_bp >= g.t_bp THEN sc.pos ELSE 0 END), 0) AS BIGINT) AS tp, "
+          f"CAST(coalesce(sum(CASE WHEN sc.prob_bp >= g.t_bp THEN sc.neg ELSE 0 END), 0) AS BIGINT) AS fp, "
+          f"CAST((SELECT sum(pos) FROM sc) AS BIGINT) AS P, CAST((SELECT sum(neg) FROM sc) AS BIGINT) AS N "
+          f"FROM (VALUES {vals}) g(t_bp) CROSS JOIN sc GROUP BY g.t_bp")
+    pr = (f"SELECT *, {_div('tp', 'tp + fp')} AS prec, {_div('tp', 'P')} AS rec FROM ({tc})")
+    f1 = _div("CAST(2 AS DOUBLE) * prec * rec", "prec + rec")
+    f2 = _div("CAST(5 AS DOUBLE) * prec * rec", "CAST(4 AS DOUBLE) * prec + rec")
+    return (f"SELECT t_bp, CAST(t_bp AS DOUBLE) / CAST(10000 AS DOUBLE) AS threshold, tp, fp, N - fp AS tn, "
+            f"P - tp AS fn, P, {r('prec')} AS precision, {r('rec')} AS recall, {r(f1)} AS f1, {r(f2)} AS f2, "
+            f"tp + fp AS abordados FROM ({pr})")
+
+
+F2_GRID = list(range(2000, 7001, 500))
+RECALL_GRID = list(range(500, 9501, 100))
+ORACLE["score_counts"] = f"WITH {SCORES} SELECT * FROM sc"
+ORACLE["confusion_at"] = f"WITH {SCORES} SELECT threshold, tp, fp, tn, fn FROM ({metrics_sql([3100], 4)})"
+ORACLE["metrics_at"] = (f"WITH {SCORES} SELECT threshold, tp, fp, tn, fn, precision, recall, f1, f2, abordados "
+                        f"FROM ({metrics_sql([2500], 4)})")
+ORACLE["sweep_f2"] = f"WITH {SCORES} SELECT threshold, recall, precision, f1, f2 FROM ({metrics_sql(F2_GRID, 3)})"
+ORACLE["threshold_f2"] = (f"WITH {SCORES} SELECT threshold, f2 FROM ({metrics_sql(F2_GRID, 3)}) "
+                          "ORDER BY f2 DESC, threshold ASC LIMIT 1")
+ORACLE["sweep_recall"] = (f"WITH {SCORES} SELECT threshold, {R('recall')} AS recall, {R('precision')} AS precision, "
+                          f"fp, tp FROM ({metrics_sql(RECALL_GRID, None)})")
+ORACLE["threshold_recall"] = (f"WITH {SCORES} SELECT CAST(max(t_bp) AS DOUBLE) / CAST(10000 AS DOUBLE) AS threshold "
+                              f"FROM ({metrics_sql(RECALL_GRID, None)}) WHERE tp * 100 >= 90 * P")
+ROC = SCORES + """,
+pts AS (SELECT *, lag(pos) OVER w AS pos_prev, lead(pos) OVER w AS pos_next, lead(neg) OVER w AS neg_next
+        FROM cum WINDOW w AS (ORDER BY prob_bp DESC)),
+roc AS (SELECT CAST(0 AS BIGINT) AS tp, CAST(0 AS BIGINT) AS fp, CAST((SELECT sum(pos) FROM sc) AS BIGINT) AS P,
+               CAST((SELECT sum(neg) FROM sc) AS BIGINT) AS N, CAST(NULL AS DOUBLE) AS limiar
+        UNION ALL
+        SELECT tp, fp, P, N, CAST(prob_bp AS DOUBLE) / CAST(10000 AS DOUBLE) FROM pts
+        WHERE pos_prev IS NULL OR pos_next IS NULL OR pos_next <> pos OR neg_next <> neg),
+roc_pts AS (SELECT CAST(row_number() OVER (ORDER BY fp, tp) - 1 AS INTEGER) AS ponto,
+                   CAST(fp AS DOUBLE) / CAST(N AS DOUBLE) AS fpr, CAST(tp AS DOUBLE) / CAST(P AS DOUBLE) AS tpr, limiar
+            FROM roc)"""
+ORACLE["roc_curve"] = f"WITH {ROC} SELECT ponto, {R('fpr')} AS fpr, {R('tpr')} AS tpr, {R('limiar')} AS limiar FROM roc_pts"
+ORACLE["roc_200"] = f"""WITH {ROC},
+n AS (SELECT count(*) AS n FROM roc_pts),
+pick AS (SELECT CAST(i AS INTEGER) AS indice,
+                CAST(CASE WHEN (SELECT n FROM n) <= 200 THEN i ELSE (i * ((SELECT n FROM n) - 1)) // 199 END AS INTEGER) AS ponto
+         FROM range(200) t(i) WHERE i < (SELECT n FROM n))
+SELECT p.indice, {R('r.fpr', 4)} AS fpr, {R('r.tpr', 4)} AS tpr FROM pick p JOIN roc_pts r ON p.ponto = r.ponto"""
+ORACLE["auc_roc"] = (f"WITH {SCORES} SELECT {R('sum(CAST(pos AS DOUBLE) * (CAST(N - fp AS DOUBLE) + CAST(neg AS DOUBLE) / 2)) / (CAST(max(P) AS DOUBLE) * CAST(max(N) AS DOUBLE))', 9)} AS auc_roc FROM cum")
+ORACLE["average_precision"] = (
+    f"WITH {SCORES} SELECT {R('sum((CAST(pos AS DOUBLE) / CAST(P AS DOUBLE)) * (CAST(tp AS DOUBLE) / CAST(tp + fp AS DOUBLE)))', 9)} "
+    "AS average_precision FROM cum")
+ORACLE["score_histogram"] = f"""WITH {SCORES},
+b AS (SELECT least(k - CASE WHEN CAST(prob_bp AS DOUBLE) / CAST(10000 AS DOUBLE) < CAST(k AS DOUBLE) * CAST(0.025 AS DOUBLE)
+                      THEN 1 ELSE 0 END, 39) AS bin, pos, neg
+      FROM (SELECT prob_bp // 250 AS k, prob_bp, pos, neg FROM sc)),
+c AS (SELECT bin, sum(neg) AS ficou, sum(pos) AS cancelou FROM b GROUP BY bin)
+SELECT CAST(g.bin AS INTEGER) AS bin,
+  {R('(CAST(g.bin AS DOUBLE) * CAST(0.025 AS DOUBLE) + CAST(g.bin + 1 AS DOUBLE) * CAST(0.025 AS DOUBLE)) / 2', 3)} AS score,
+  CAST(coalesce(c.ficou, 0) AS BIGINT) AS ficou, CAST(coalesce(c.cancelou, 0) AS BIGINT) AS cancelou
+FROM range(40) g(bin) LEFT JOIN c ON g.bin = c.bin"""
+ORACLE["compare_models"] = f"""WITH {SCORES}, m AS ({metrics_sql([2500, 3100], 4)})
+SELECT CASE t_bp WHEN 2500 THEN 'max_f2_025' ELSE 'recall_90_031' END AS modelo, threshold, recall, precision,
+       fp, fn, abordados, (SELECT fp FROM m WHERE t_bp = 2500) - fp AS fp_economizados,
+       {R('recall - (SELECT recall FROM m WHERE t_bp = 2500)', 4)} AS delta_recall FROM m"""
+ORACLE["bundle_meta"] = (
+    f"WITH {SCORES} SELECT (SELECT {R('sum(CAST(pos AS DOUBLE) * (CAST(N - fp AS DOUBLE) + CAST(neg AS DOUBLE) / 2)) / (CAST(max(P) AS DOUBLE) * CAST(max(N) AS DOUBLE))', 4)} FROM cum) AS auc, "
+    f"CAST(0.31 AS DOUBLE) AS threshold_oficial, count(*) AS n_teste, {R('avg(CAST(churn_real AS DOUBLE))', 4)} AS taxa_churn "
+    "FROM fx_scores")
+ORACLE["risk_ranking"] = (
+    f"WITH {SCORES} SELECT CustomerID, {R('prob_churn', 4)} AS prob_churn, churn_real, "
+    f"row_number() OVER (ORDER BY {R('prob_churn', 4)} DESC, CustomerID ASC) AS rank_risco FROM fx_scores")
