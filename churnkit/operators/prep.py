@@ -285,6 +285,11 @@ def treat(raw: DataFrame, spec: TreatSpec = REFERENCE_SPEC, method: str = "exact
     return apply(raw, params), params
 
 
+def flag_equals_col(spec: TreatSpec) -> Column:
+    """The 0/1 target column, named as the target."""
+    return flag_equals(spec.target, YES).alias(spec.target)
+
+
 # ------------------------------------------------------------ single rules
 def clean_target(raw: DataFrame, spec: TreatSpec = REFERENCE_SPEC) -> DataFrame:
     """C1."""

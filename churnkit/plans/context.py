@@ -69,3 +69,53 @@ class Fixture:
     @cached_property
     def offers(self) -> DataFrame:
         return fixtures.offers(self.spark, self.sf_dir, self.segments)
+
+
+class Chain(Fixture):
+    """Fixture plus policy, ranking, attribution and split pieces."""
+
+    @cached_property
+    def counts(self) -> DataFrame:
+        from churnkit.operators import policy as pol
+        return pol.policy_counts(self.offers)
+
+    @cached_property
+    def order(self) -> DataFrame:
+        from churnkit.operators import policy as pol
+        return pol.policy_order(self.counts)
+
+    @cached_property
+    def best(self) -> DataFrame:
+        from churnkit.operators import policy as pol
+        return pol.policy_best(self.order)
+
+    @cached_property
+    def reco(self) -> DataFrame:
+        from churnkit.operators import policy as pol
+        return pol.recommend(self.segments, self.best)
+
+    @cached_property
+    def ranking(self) -> DataFrame:
+        from churnkit.operators import curves as cv
+        return cv.risk_ranking(self.scores)
+
+    @cached_property
+    def ranked_reco(self) -> DataFrame:
+        return self.reco.join(self.ranking.select("CustomerID", "prob_churn", "rank_risco"), "CustomerID")
+
+    @cached_property
+    def factors(self) -> DataFrame:
+        from churnkit.functions.labels import with_labels
+        from churnkit.operators import explain as ex
+        top = ex.top_factors_in_row(self.features, ex.FIXTURE_COEFS, ex.FIXTURE_INTERCEPT)
+        return with_labels(top)
+
+    @cached_property
+    def detail(self) -> DataFrame:
+        from churnkit.operators import serving as sv
+        return sv.client_detail(self.ranking, self.reco, self.factors)
+
+    @cached_property
+    def split(self) -> DataFrame:
+        from churnkit.operators import split as sp
+        return sp.split_stratified(self.treated)

@@ -121,13 +121,13 @@ def q_fit_params(spark, sf_dir):
 
 @query("apply_params")
 def q_apply_params(spark, sf_dir):
-    """C14: parameters learned on the pre-cut-off customers with an even key,
-    replayed on the odd ones (unseen areas -> 0.0, unseen levels -> zeros)."""
+    """C14: parameters learned on the train side of the stratified split and
+    replayed on the test side (unseen areas -> 0.0, unseen levels -> zeros)."""
+    from churnkit.operators import split as sp
     f = fx(spark, sf_dir)
-    fit_rows = f.raw.where(F.col("CustomerID") % 2 == 0)
-    new_rows = f.raw.where(F.col("CustomerID") % 2 == 1)
-    params = prep.fit(fit_rows, f.spec)
-    return round_doubles(prep.apply(new_rows, params))
+    split = sp.split_stratified(f.raw.select("CustomerID", prep.flag_equals_col(f.spec)), "CustomerID", "Churn")
+    params = prep.fit(sp.split_align(f.raw, split, sp.TRAIN), f.spec)
+    return round_doubles(prep.apply(sp.split_align(f.raw, split, sp.TEST), params))
 
 
 @query("treatment_log")
@@ -321,3 +321,175 @@ def q_bundle_meta(spark, sf_dir):
 @query("risk_ranking")
 def q_risk_ranking(spark, sf_dir):
     return cv.risk_ranking(fx(spark, sf_dir).scores)
+
+
+# ---------------------------------------------------- 2.8 policy, 2.9 serving
+from churnkit.operators import explain as ex  # noqa: E402
+from churnkit.operators import policy as pol  # noqa: E402
+from churnkit.operators import serving as sv  # noqa: E402
+from churnkit.operators import split as sp  # noqa: E402
+from churnkit.plans.context import Chain  # noqa: E402
+
+
+def ch(spark, sf_dir) -> Chain:
+    return Chain(spark, sf_dir)
+
+
+@query("offer_log")
+def q_offer_log(spark, sf_dir):
+    return ch(spark, sf_dir).offers
+
+
+@query("action_dim")
+def q_action_dim(spark, sf_dir):
+    return pol.with_actions(ch(spark, sf_dir).offers)
+
+
+@query("policy_counts")
+def q_policy_counts(spark, sf_dir):
+    return ch(spark, sf_dir).counts
+
+
+@query("policy_order")
+def q_policy_order(spark, sf_dir):
+    return ch(spark, sf_dir).order
+
+
+@query("policy_best")
+def q_policy_best(spark, sf_dir):
+    return ch(spark, sf_dir).best
+
+
+@query("recommend")
+def q_recommend(spark, sf_dir):
+    return ch(spark, sf_dir).reco
+
+
+@query("learning_curve")
+def q_learning_curve(spark, sf_dir):
+    c = ch(spark, sf_dir)
+    return pol.learning_curve(c.offers, c.counts)
+
+
+@query("regret_curve")
+def q_regret_curve(spark, sf_dir):
+    c = ch(spark, sf_dir)
+    return pol.learning_curve(c.offers, c.counts).select("rodada", "regret_medio")
+
+
+@query("posterior_mean")
+def q_posterior_mean(spark, sf_dir):
+    return pol.posterior_mean(ch(spark, sf_dir).counts)
+
+
+@query("thompson_assign")
+def q_thompson_assign(spark, sf_dir):
+    c = ch(spark, sf_dir)
+    return pol.thompson_assign(c.segments, c.counts)
+
+
+@query("client_detail")
+def q_client_detail(spark, sf_dir):
+    return ch(spark, sf_dir).detail
+
+
+@query("retention_queue")
+def q_retention_queue(spark, sf_dir):
+    return sv.retention_queue(ch(spark, sf_dir).detail)
+
+
+@query("queue_search")
+def q_queue_search(spark, sf_dir):
+    return sv.queue_search(sv.retention_queue(ch(spark, sf_dir).detail), " 12 ")
+
+
+@query("client_lookup")
+def q_client_lookup(spark, sf_dir):
+    c = ch(spark, sf_dir)
+    first = c.ranking.where(F.col("rank_risco") == 1).select("CustomerID").first()[0]
+    return sv.client_lookup(c.detail, first)
+
+
+@query("offer_outcome")
+def q_offer_outcome(spark, sf_dir):
+    c = ch(spark, sf_dir)
+    return sv.offer_outcome(c.offers, c.scores)
+
+
+@query("next_best_offer")
+def q_next_best_offer(spark, sf_dir):
+    c = ch(spark, sf_dir)
+    return sv.next_best_offer(c.segments, c.offers, c.order)
+
+
+@query("campaign_total")
+def q_campaign_total(spark, sf_dir):
+    return sv.campaign_total(ch(spark, sf_dir).ranked_reco, 500, 600.0)
+
+
+@query("campaign_by_segment")
+def q_campaign_by_segment(spark, sf_dir):
+    return sv.campaign_by_segment(ch(spark, sf_dir).ranked_reco, 500, 600.0)
+
+
+@query("ranking_preview")
+def q_ranking_preview(spark, sf_dir):
+    return sv.ranking_preview(ch(spark, sf_dir).ranking)
+
+
+# ------------------------------------------------------------ 2.7 explain
+@query("attribution_linear")
+def q_attribution_linear(spark, sf_dir):
+    return ex.attribution_linear(fx(spark, sf_dir).features, ex.FIXTURE_COEFS, ex.FIXTURE_INTERCEPT)
+
+
+@query("attribution_top5")
+def q_attribution_top5(spark, sf_dir):
+    return ex.top_factors_in_row(fx(spark, sf_dir).features, ex.FIXTURE_COEFS, ex.FIXTURE_INTERCEPT)
+
+
+@query("attribution_global")
+def q_attribution_global(spark, sf_dir):
+    long = ex.attribution_linear(fx(spark, sf_dir).features, ex.FIXTURE_COEFS, ex.FIXTURE_INTERCEPT)
+    return ex.attribution_global(long)
+
+
+@query("factor_labels")
+def q_factor_labels(spark, sf_dir):
+    return ch(spark, sf_dir).factors.select("CustomerID", "ordem", "variavel", "rotulo")
+
+
+@query("factor_scale")
+def q_factor_scale(spark, sf_dir):
+    return sv.factor_scale(ch(spark, sf_dir).factors)
+
+
+# ---------------------------------------------------------- 2.5 split M1-M5
+@query("split_stratified")
+def q_split_stratified(spark, sf_dir):
+    return ch(spark, sf_dir).split
+
+
+@query("split_align")
+def q_split_align(spark, sf_dir):
+    c = ch(spark, sf_dir)
+    return round_doubles(sp.split_align(c.features, c.split))
+
+
+@query("folds_stratified")
+def q_folds_stratified(spark, sf_dir):
+    return sp.folds_stratified(ch(spark, sf_dir).split, 5)
+
+
+@query("class_weights")
+def q_class_weights(spark, sf_dir):
+    c = ch(spark, sf_dir)
+    return sp.class_weights(sp.split_align(c.treated, c.split, sp.TRAIN))
+
+
+@query("standardise")
+def q_standardise(spark, sf_dir):
+    c = ch(spark, sf_dir)
+    train = sp.split_align(c.features, c.split, sp.TRAIN)
+    cols = [x for x in c.features.columns if x != "CustomerID"]
+    return round_doubles(sp.standardise_stats(train, cols), 6)

@@ -449,3 +449,202 @@ ORACLE["bundle_meta"] = (
 ORACLE["risk_ranking"] = (
     f"WITH {SCORES} SELECT CustomerID, {R('prob_churn', 4)} AS prob_churn, churn_real, "
     f"row_number() OVER (ORDER BY {R('prob_churn', 4)} DESC, CustomerID ASC) AS rank_risco FROM fx_scores")
+
+# ------------------------------------------------------- policy / serving
+SEG_NAMES = ["Insatisfeito com o servico", "Sensivel a preco", "Aparelho desatualizado",
+             "Fim de fidelizacao", "Perfil geral"]
+ACTS = [("desconto", "Desconto na mensalidade", 30), ("upgrade", "Upgrade de aparelho subsidiado", 80),
+        ("suporte", "Ligacao proativa do suporte", 8), ("bonus", "Pacote de minutos bonus", 15)]
+_segs = ", ".join(f"('{s}')" for s in SEG_NAMES)
+_acts = ", ".join(f"('{a}', '{n}', CAST({c} AS INTEGER), CAST({i + 1} AS INTEGER))" for i, (a, n, c) in enumerate(ACTS))
+
+POLICY = SEGMENTED + f""",
+fx_offers AS (
+  SELECT row_number() OVER (ORDER BY e.ts, e.event_id) AS rodada, s.CustomerID, s.segmento,
+    CASE e.event_type WHEN 'click' THEN 'desconto' WHEN 'view' THEN 'upgrade'
+                      WHEN 'error' THEN 'suporte' WHEN 'purchase' THEN 'bonus' END AS acao,
+    CAST(e.value >= 20 AS INTEGER) AS aceitou
+  FROM events e JOIN sub_seg s ON e.user_id = s.CustomerID
+  WHERE e.event_type IN ('click', 'view', 'error', 'purchase')),
+acts AS (SELECT * FROM (VALUES {_acts}) t(acao, nome, custo, posicao)),
+grid AS (SELECT s.segmento, a.acao, a.posicao FROM (VALUES {_segs}) s(segmento) CROSS JOIN acts a),
+cnt AS (SELECT segmento, acao, count(*) AS n, sum(aceitou) AS acc FROM fx_offers GROUP BY segmento, acao),
+pc AS (SELECT g.segmento, g.acao, CAST(coalesce(c.n, 0) AS BIGINT) AS tentativas,
+              CAST(coalesce(c.acc, 0) AS BIGINT) AS aceites,
+              {R(_div('coalesce(c.acc, 0)', 'coalesce(c.n, 0)'), 4)} AS taxa_estimada, g.posicao
+       FROM grid g LEFT JOIN cnt c ON g.segmento = c.segmento AND g.acao = c.acao),
+pord AS (SELECT segmento, acao, tentativas, aceites, taxa_estimada,
+              CAST(row_number() OVER (PARTITION BY segmento ORDER BY taxa_estimada DESC, posicao) AS INTEGER) AS ordem
+       FROM pc),
+pb AS (SELECT segmento, acao, taxa_estimada FROM pord WHERE ordem = 1),
+reco AS (SELECT s.CustomerID, s.segmento, b.acao, a.nome AS acao_nome, b.taxa_estimada AS taxa_esperada, a.custo
+         FROM sub_seg s JOIN pb b ON s.segmento = b.segmento JOIN acts a ON a.acao = b.acao)"""
+
+ORACLE["offer_log"] = f"WITH {POLICY} SELECT * FROM fx_offers"
+ORACLE["action_dim"] = (f"WITH {POLICY} SELECT o.rodada, o.CustomerID, o.segmento, o.acao, a.nome AS acao_nome, "
+                        "a.custo, o.aceitou FROM fx_offers o LEFT JOIN acts a ON o.acao = a.acao")
+ORACLE["policy_counts"] = f"WITH {POLICY} SELECT * FROM pc"
+ORACLE["policy_order"] = f"WITH {POLICY} SELECT * FROM pord"
+ORACLE["policy_best"] = f"WITH {POLICY} SELECT * FROM pb"
+ORACLE["recommend"] = f"WITH {POLICY} SELECT * FROM reco"
+LEARN = POLICY + f""",
+rates AS (SELECT segmento, acao, CAST(floor(taxa_estimada * CAST(10000 AS DOUBLE) + CAST(0.5 AS DOUBLE)) AS BIGINT) AS taxa_bp FROM pc),
+reg AS (SELECT r.segmento, r.acao, m.melhor - r.taxa_bp AS regret_bp
+        FROM rates r JOIN (SELECT segmento, max(taxa_bp) AS melhor FROM rates GROUP BY segmento) m ON r.segmento = m.segmento),
+blk AS (SELECT (o.rodada - 1) // 50 AS bloco, count(*) AS n, sum(o.aceitou) AS aceites, sum(coalesce(g.regret_bp, 0)) AS regret_bp
+        FROM fx_offers o LEFT JOIN reg g ON o.segmento = g.segmento AND o.acao = g.acao
+        GROUP BY 1 HAVING count(*) = 50),
+cur AS (SELECT bloco,
+          sum(aceites) OVER (ORDER BY bloco RANGE BETWEEN 7 PRECEDING AND CURRENT ROW) AS acc_w,
+          sum(n) OVER (ORDER BY bloco RANGE BETWEEN 7 PRECEDING AND CURRENT ROW) AS n_w,
+          sum(regret_bp) OVER (ORDER BY bloco ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS reg_cum
+        FROM blk),
+lc AS (SELECT CAST((bloco + 1) * 50 AS BIGINT) AS rodada,
+              {R('CAST(acc_w AS DOUBLE) / CAST(n_w AS DOUBLE)', 4)} AS taxa_aceite,
+              {R('CAST(reg_cum AS DOUBLE) / CAST(10000 AS DOUBLE) / CAST((bloco + 1) * 50 AS DOUBLE)', 4)} AS regret_medio
+       FROM cur)"""
+ORACLE["learning_curve"] = f"WITH {LEARN} SELECT * FROM lc"
+ORACLE["regret_curve"] = f"WITH {LEARN} SELECT rodada, regret_medio FROM lc"
+ORACLE["posterior_mean"] = (f"WITH {POLICY} SELECT segmento, acao, tentativas, aceites, "
+                            f"{R('CAST(aceites + 1 AS DOUBLE) / CAST(tentativas + 2 AS DOUBLE)', 4)} AS media_posterior FROM pc")
+
+COEFS = [("ReceitaPorMinuto", 1.5), ("CareCallsPorMes", 2.0), ("FalhasPorChamada", 0.8),
+         ("IdadeAparelhoMeses", 0.05), ("PrizmCode_ASIA", -0.4), ("ServiceAreaFreq", 3.0)]
+_means = ", ".join(f'avg(CAST("{c}" AS DOUBLE)) AS "m_{c}"' for c, _ in COEFS)
+_base = "CAST(-1.0 AS DOUBLE)" + "".join(f' + CAST({k!r} AS DOUBLE) * mm."m_{c}"' for c, k in COEFS)
+ATTRIB = FEATURES + f""",
+mm AS (SELECT {_means} FROM sub_feat),
+attr AS ({" UNION ALL ".join(
+    f"SELECT f.CustomerID, '{c}' AS variavel, "
+    f"{R(f'CAST({k!r} AS DOUBLE) * (CAST(f.\"{c}\" AS DOUBLE) - mm.\"m_{c}\")', 4)} AS shap, "
+    f"{R(f'CAST(f.\"{c}\" AS DOUBLE)', 3)} AS valor, {R(_base, 4)} AS base FROM sub_feat f CROSS JOIN mm"
+    for c, k in COEFS)}),
+top5 AS (SELECT CustomerID, CAST(ordem AS INTEGER) AS ordem, variavel, shap, valor, base FROM (
+           SELECT *, row_number() OVER (PARTITION BY CustomerID ORDER BY abs(shap) DESC, variavel) AS ordem FROM attr)
+         WHERE ordem <= 5)"""
+
+
+def _label_values() -> str:
+    from churnkit.functions.labels import LABELS
+    return ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in LABELS.items())
+
+
+LABELLED = ATTRIB + f""",
+labels AS (SELECT * FROM (VALUES {_label_values()}) t(variavel, rotulo_dic)),
+fac AS (SELECT t.*, coalesce(l.rotulo_dic,
+          CASE WHEN t.variavel LIKE 'MaritalStatus\\_%' ESCAPE '\\' THEN 'MaritalStatus: ' || regexp_extract(t.variavel, '^[^_]*_(.*)$', 1)
+               WHEN t.variavel LIKE 'PrizmCode\\_%' ESCAPE '\\' THEN 'PrizmCode: ' || regexp_extract(t.variavel, '^[^_]*_(.*)$', 1)
+               WHEN t.variavel LIKE 'Occupation\\_%' ESCAPE '\\' THEN 'Occupation: ' || regexp_extract(t.variavel, '^[^_]*_(.*)$', 1)
+          END, t.variavel) AS rotulo
+        FROM top5 t LEFT JOIN labels l ON t.variavel = l.variavel)"""
+
+ORACLE["attribution_linear"] = f"WITH {ATTRIB} SELECT * FROM attr"
+ORACLE["attribution_top5"] = f"WITH {ATTRIB} SELECT * FROM top5"
+ORACLE["attribution_global"] = f"""WITH {LABELLED},
+g AS (SELECT variavel, avg(abs(shap)) AS impacto FROM attr GROUP BY variavel ORDER BY impacto DESC, variavel LIMIT 15)
+SELECT g.variavel, coalesce(l.rotulo_dic,
+          CASE WHEN g.variavel LIKE 'PrizmCode\\_%' ESCAPE '\\' THEN 'PrizmCode: ' || regexp_extract(g.variavel, '^[^_]*_(.*)$', 1) END,
+          g.variavel) AS rotulo, {R('g.impacto', 4)} AS impacto_medio
+FROM g LEFT JOIN labels l ON g.variavel = l.variavel"""
+ORACLE["factor_labels"] = f"WITH {LABELLED} SELECT CustomerID, ordem, variavel, rotulo FROM fac"
+ORACLE["factor_scale"] = (f"WITH {LABELLED} SELECT CustomerID, variavel, shap, "
+                          f"{R('abs(shap) / greatest(max(abs(shap)) OVER (PARTITION BY CustomerID), CAST(0.01 AS DOUBLE))', 4)} "
+                          "AS escala FROM fac")
+
+
+SERVE = (POLICY + LABELLED[len(FEATURES):] + SCORES[len(SUB_RAW):] + f""",
+rnk AS (SELECT CustomerID, {R('prob_churn', 4)} AS prob_churn, churn_real,
+               row_number() OVER (ORDER BY {R('prob_churn', 4)} DESC, CustomerID ASC) AS rank_risco FROM fx_scores),
+detail AS (SELECT k.CustomerID, k.prob_churn AS prob, k.rank_risco AS rank, r.segmento, r.acao, r.acao_nome,
+                  r.taxa_esperada, f.ordem, f.variavel, f.rotulo, f.shap, f.valor
+           FROM rnk k JOIN reco r ON k.CustomerID = r.CustomerID JOIN fac f ON k.CustomerID = f.CustomerID
+           WHERE k.rank_risco <= 1000),
+queue AS (SELECT DISTINCT CustomerID, prob, rank, segmento, acao_nome, taxa_esperada FROM detail ORDER BY rank LIMIT 200)""")
+
+ORACLE["client_detail"] = f"WITH {SERVE} SELECT * FROM detail"
+ORACLE["retention_queue"] = f"WITH {SERVE} SELECT * FROM queue"
+ORACLE["queue_search"] = f"WITH {SERVE} SELECT * FROM queue WHERE CAST(CustomerID AS VARCHAR) LIKE '%12%'"
+ORACLE["client_lookup"] = (f"WITH {SERVE} SELECT * FROM detail "
+                           "WHERE CustomerID = (SELECT CustomerID FROM rnk WHERE rank_risco = 1)")
+ORACLE["offer_outcome"] = f"""WITH {SERVE}
+SELECT o.rodada, o.CustomerID, o.segmento, o.acao, a.nome AS acao_nome, a.custo, o.aceitou,
+       {R('s.prob_churn', 4)} AS risco_antes,
+       CASE WHEN o.aceitou = 1 THEN {R(f"{R('s.prob_churn', 4)} * CAST(0.4 AS DOUBLE)", 4)} ELSE {R('s.prob_churn', 4)} END AS risco_depois
+FROM fx_offers o JOIN acts a ON o.acao = a.acao JOIN fx_scores s ON o.CustomerID = s.CustomerID"""
+ORACLE["next_best_offer"] = f"""WITH {SERVE},
+hist AS (SELECT o.CustomerID, max(o.aceitou) AS retido,
+                sum(CASE WHEN o.aceitou = 1 THEN a.custo ELSE 0 END) AS custo_total, count(*) AS tentativas
+         FROM fx_offers o JOIN acts a ON o.acao = a.acao GROUP BY o.CustomerID),
+tried AS (SELECT DISTINCT CustomerID, acao FROM fx_offers),
+nxt AS (SELECT s.CustomerID, arg_min(p.acao, p.ordem) AS proxima
+        FROM sub_seg s JOIN pord p ON s.segmento = p.segmento
+        WHERE NOT EXISTS (SELECT 1 FROM tried t WHERE t.CustomerID = s.CustomerID AND t.acao = p.acao)
+        GROUP BY s.CustomerID)
+SELECT s.CustomerID, s.segmento, CAST(coalesce(h.retido, 0) AS INTEGER) AS retido,
+       CAST(coalesce(h.custo_total, 0) AS BIGINT) AS custo_total, CAST(coalesce(h.tentativas, 0) AS BIGINT) AS tentativas,
+       CASE WHEN coalesce(h.retido, 0) = 1 THEN NULL ELSE coalesce(n.proxima, 'encaminhamento_manual') END AS proxima_acao
+FROM sub_seg s LEFT JOIN hist h ON s.CustomerID = h.CustomerID LEFT JOIN nxt n ON s.CustomerID = n.CustomerID"""
+CAMPAIGN = SERVE + """,
+cbase AS (SELECT r.segmento, r.acao_nome,
+                 CAST(floor(k.prob_churn * CAST(10000 AS DOUBLE) + CAST(0.5 AS DOUBLE)) AS BIGINT) AS p_bp,
+                 CAST(floor(r.taxa_esperada * CAST(10000 AS DOUBLE) + CAST(0.5 AS DOUBLE)) AS BIGINT) AS r_bp,
+                 CAST(r.custo AS BIGINT) AS custo
+          FROM reco r JOIN rnk k ON r.CustomerID = k.CustomerID WHERE k.rank_risco <= 500)"""
+_salvos = "CAST(sum(p_bp * r_bp) AS DOUBLE) / CAST(1e8 AS DOUBLE)"
+_custo = "CAST(sum(custo * r_bp) AS DOUBLE) / CAST(1e4 AS DOUBLE)"
+ORACLE["campaign_total"] = f"""WITH {CAMPAIGN}
+SELECT CAST(500 AS INTEGER) AS top_n, CAST(600 AS DOUBLE) AS ltv,
+  {R('CAST(sum(r_bp) AS DOUBLE) / CAST(1e4 AS DOUBLE)', 1)} AS aceites_esperados,
+  {R(_salvos, 1)} AS salvos_esperados,
+  {R('CAST(sum(p_bp) AS DOUBLE) / CAST(1e4 AS DOUBLE)', 1)} AS perdidos_sem_acao,
+  {R(_custo, 2)} AS custo_esperado,
+  {R(f'({_salvos}) * CAST(600 AS DOUBLE)', 2)} AS receita_preservada,
+  {R(f'CASE WHEN ({_custo}) <> 0 THEN (({_salvos}) * CAST(600 AS DOUBLE) - ({_custo})) / ({_custo}) ELSE CAST(0 AS DOUBLE) END', 2)} AS roi
+FROM cbase"""
+ORACLE["campaign_by_segment"] = f"""WITH {CAMPAIGN}
+SELECT segmento, acao_nome, count(*) AS clientes,
+  {R('CAST(sum(r_bp) AS DOUBLE) / CAST(1e4 AS DOUBLE)', 1)} AS aceites_esperados,
+  {R(_salvos, 1)} AS salvos_esperados, {R(_custo, 2)} AS custo
+FROM cbase GROUP BY segmento, acao_nome ORDER BY clientes DESC, segmento"""
+ORACLE["ranking_preview"] = f"WITH {SERVE} SELECT * FROM rnk ORDER BY rank_risco LIMIT 100"
+
+# ------------------------------------------------------------------ split
+TREATED_COLS = (["CustomerID", "Churn"] + BILLING + ["PercChangeMinutes", "PercChangeRevenues",
+                "DroppedBlockedCalls", "UnansweredCalls", "CustomerCareCalls", "ReceivedCalls", "OutboundCalls",
+                "InboundCalls", "MonthsInService", "UniqueSubs", "ActiveSubs", "Handsets", "CurrentEquipmentDays",
+                "RetentionCalls", "AgeHH1", "HandsetPrice", "CreditRating", "MadeCallToRetentionTeam",
+                "HomeownershipKnown"] + [f"MaritalStatus_{v}" for v in LEVELS["MaritalStatus"]]
+                + ["HandsetPriceKnown", "AgeHH1Known", "MissingBillingInfo"]
+                + [f"PrizmCode_{v}" for v in LEVELS["PrizmCode"]] + [f"Occupation_{v}" for v in LEVELS["Occupation"]]
+                + ["ServiceAreaFreq"])
+FEATURE_COLS = [c for c in TREATED_COLS if c not in ("CustomerID", "Churn")] + list(FEATURE_EXPR)
+SPLIT = FEATURES + """,
+spl AS (SELECT CustomerID, Churn,
+               row_number() OVER (PARTITION BY Churn ORDER BY md5(CAST(CustomerID AS VARCHAR) || '-42'), CustomerID) AS rn,
+               count(*) OVER (PARTITION BY Churn) AS ny FROM sub_treated),
+sp AS (SELECT CustomerID, Churn, CASE WHEN rn <= (2 * ny + 5) // 10 THEN 'teste' ELSE 'treino' END AS particao,
+              rn AS ordem_estrato, ny FROM spl)"""
+ORACLE["split_stratified"] = f"WITH {SPLIT} SELECT CustomerID, Churn, particao, ordem_estrato FROM sp"
+ORACLE["split_align"] = (f"WITH {SPLIT} " + rounded(
+    "SELECT f.* FROM sub_feat f WHERE f.CustomerID IN (SELECT CustomerID FROM sp WHERE particao = 'teste')",
+    FEATURE_DOUBLES))
+ORACLE["folds_stratified"] = (f"WITH {SPLIT} SELECT CustomerID, Churn, "
+                              "CAST((ordem_estrato - (2 * ny + 5) // 10 - 1) % 5 AS INTEGER) AS fold "
+                              "FROM sp WHERE particao = 'treino'")
+ORACLE["class_weights"] = f"""WITH {SPLIT},
+tr AS (SELECT t.Churn FROM sub_treated t JOIN sp ON t.CustomerID = sp.CustomerID WHERE sp.particao = 'treino'),
+c AS (SELECT CAST(Churn AS INTEGER) AS classe, count(*) AS n FROM tr GROUP BY 1)
+SELECT classe, n, {R('CAST((SELECT sum(n) FROM c) AS DOUBLE) / (CAST(2 AS DOUBLE) * CAST(n AS DOUBLE))')} AS peso,
+       {R('CAST((SELECT n FROM c WHERE classe = 0) AS DOUBLE) / CAST((SELECT n FROM c WHERE classe = 1) AS DOUBLE)')} AS scale_pos_weight
+FROM c"""
+ORACLE["standardise"] = (f"WITH {SPLIT}, tr AS (SELECT f.* FROM sub_feat f JOIN sp ON f.CustomerID = sp.CustomerID "
+                         "WHERE sp.particao = 'treino') " + " UNION ALL ".join(
+                             f"SELECT '{c}' AS coluna, {R(f'avg(CAST(\"{c}\" AS DOUBLE))')} AS media, "
+                             f"{R(f'stddev_pop(CAST(\"{c}\" AS DOUBLE))')} AS desvio FROM tr" for c in FEATURE_COLS))
+
+APPLY = SPLIT + """,
+raw_tr AS (SELECT r.* FROM sub_raw r JOIN sp ON r.CustomerID = sp.CustomerID WHERE sp.particao = 'treino'),
+raw_te AS (SELECT r.* FROM sub_raw r JOIN sp ON r.CustomerID = sp.CustomerID WHERE sp.particao = 'teste'),
+""" + ",\n".join([_median_cte("med_tr", "raw_tr"), _area_cte("area_tr", "raw_tr"),
+                  _treated_cte("treated_te", "raw_te", "med_tr", "area_tr")])
+ORACLE["apply_params"] = f"WITH {APPLY} " + rounded("SELECT * FROM treated_te", TREATED_DOUBLES)
