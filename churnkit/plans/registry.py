@@ -493,3 +493,91 @@ def q_standardise(spark, sf_dir):
     train = sp.split_align(c.features, c.split, sp.TRAIN)
     cols = [x for x in c.features.columns if x != "CustomerID"]
     return round_doubles(sp.standardise_stats(train, cols), 6)
+
+
+# ------------------------------------------------------ 2.1 sources / sinks
+from churnkit.session import scratch_path  # noqa: E402
+from churnkit.sources import io as sio  # noqa: E402
+
+
+@query("scan_raw")
+def q_scan_raw(spark, sf_dir):
+    """The raw table written as CSV and read back with schema + null tokens."""
+    raw = fx(spark, sf_dir).raw
+    path = sio.write_csv(raw, scratch_path(spark, "raw-csv"))
+    return round_doubles(sio.read_raw(spark, path, sio.raw_schema(raw.columns)))
+
+
+@query("sink_treated")
+def q_sink_treated(spark, sf_dir):
+    """S5 + S2: treated table to parquet and back."""
+    path = sio.write_parquet(fx(spark, sf_dir).treated, scratch_path(spark, "treated"))
+    return round_doubles(sio.read_parquet(spark, path))
+
+
+@query("sink_ranking")
+def q_sink_ranking(spark, sf_dir):
+    """Ranked scores to parquet and back."""
+    path = sio.write_parquet(ch(spark, sf_dir).ranking, scratch_path(spark, "ranking"))
+    return sio.read_parquet(spark, path, sio.SCORE_SCHEMA)
+
+
+@query("scan_scores")
+def q_scan_scores(spark, sf_dir):
+    """S3: ranked scores as CSV with header, read with the score schema."""
+    path = sio.write_csv(ch(spark, sf_dir).ranking.select(*sio.SCORE_SCHEMA.names),
+                         scratch_path(spark, "scores-csv"))
+    return sio.read_scores_csv(spark, path)
+
+
+@query("sink_params")
+def q_sink_params(spark, sf_dir):
+    """Learned parameters as JSON lines and back."""
+    params = q_fit_params(spark, sf_dir)
+    path = sio.write_json(params, scratch_path(spark, "params"))
+    return spark.read.schema("tipo string, chave string, valor double").json(path)
+
+
+@query("scan_policy_json")
+def q_scan_policy_json(spark, sf_dir):
+    """Nested policy documents written as JSON and exploded back."""
+    path = sio.write_json(sio.nested_policy(ch(spark, sf_dir).order), scratch_path(spark, "policy-json"))
+    return sio.read_policy_json(spark, path)
+
+
+@query("sink_nested_json")
+def q_sink_nested_json(spark, sf_dir):
+    """Nested attribution documents (one per customer) and back."""
+    path = sio.write_json(sio.nested_attributions(ch(spark, sf_dir).factors),
+                          scratch_path(spark, "attr-json"))
+    return sio.read_attributions_json(spark, path)
+
+
+@query("threshold_record")
+def q_threshold_record(spark, sf_dir):
+    """Chosen threshold (max threshold with recall >= .90) as a one-row record."""
+    from churnkit.operators import curves as cv
+    t = cv.threshold_recall(_sc(spark, sf_dir)).first()["threshold"]
+    rec = sio.threshold_record(spark, t, "max precisao com recall OOF >= 0.9", True)
+    path = sio.write_json(rec, scratch_path(spark, "threshold"))
+    return spark.read.schema(rec.schema).json(path).select("threshold", "criterio", "usa_features_derivadas")
+
+
+# ------------------------------------------------------------ 2.8 R13 stream
+@query("policy_stream")
+def q_policy_stream(spark, sf_dir):
+    """Counters from a Structured Streaming run over the offer log; equal to R5."""
+    from churnkit.streaming.policy_stream import run_policy_stream
+    c = ch(spark, sf_dir)
+    log_dir = scratch_path(spark, "offer-log")
+    c.offers.repartition(4, "rodada").write.mode("overwrite").parquet(log_dir)
+    out_dir, ck = scratch_path(spark, "policy-out"), scratch_path(spark, "policy-ck")
+    run_policy_stream(spark, log_dir, out_dir, ck, files_per_trigger=1)
+    counts = spark.read.parquet(out_dir)
+    grid = pol.policy_grid(spark)
+    from churnkit.functions.columns import fixed, safe_div
+    return (grid.join(F.broadcast(counts), ["segmento", "acao"], "left")
+                .select("segmento", "acao",
+                        F.coalesce("tentativas", F.lit(0)).cast("long").alias("tentativas"),
+                        F.coalesce("aceites", F.lit(0)).cast("long").alias("aceites"),
+                        fixed(safe_div("aceites", "tentativas"), 4).alias("taxa_estimada"), "posicao"))

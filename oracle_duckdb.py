@@ -648,3 +648,17 @@ raw_te AS (SELECT r.* FROM sub_raw r JOIN sp ON r.CustomerID = sp.CustomerID WHE
 """ + ",\n".join([_median_cte("med_tr", "raw_tr"), _area_cte("area_tr", "raw_tr"),
                   _treated_cte("treated_te", "raw_te", "med_tr", "area_tr")])
 ORACLE["apply_params"] = f"WITH {APPLY} " + rounded("SELECT * FROM treated_te", TREATED_DOUBLES)
+
+# ----------------------------------------------------------- sources/sinks
+ORACLE["scan_raw"] = ORACLE["scan_subscriber"]
+ORACLE["sink_treated"] = ORACLE["treat_all"]
+ORACLE["sink_ranking"] = ORACLE["risk_ranking"]
+ORACLE["scan_scores"] = ORACLE["risk_ranking"]
+ORACLE["sink_params"] = ORACLE["fit_params"]
+ORACLE["scan_policy_json"] = ORACLE["policy_order"]
+ORACLE["sink_nested_json"] = f"WITH {LABELLED} SELECT CustomerID, ordem, variavel, rotulo FROM fac"
+ORACLE["threshold_record"] = (
+    f"WITH {SCORES} SELECT CAST(max(t_bp) AS DOUBLE) / CAST(10000 AS DOUBLE) AS threshold, "
+    "'max precisao com recall OOF >= 0.9' AS criterio, CAST(1 AS INTEGER) AS usa_features_derivadas "
+    f"FROM ({metrics_sql(RECALL_GRID, None)}) WHERE tp * 100 >= 90 * P")
+ORACLE["policy_stream"] = ORACLE["policy_counts"]
