@@ -119,3 +119,38 @@ class Chain(Fixture):
     def split(self) -> DataFrame:
         from churnkit.operators import split as sp
         return sp.split_stratified(self.treated)
+
+
+class ModelChain(Chain):
+    """Train / test frames with folds for the Spark ML operators."""
+
+    folds_k = 3
+
+    @cached_property
+    def cols(self) -> list[str]:
+        return [c for c in self.features.columns if c != "CustomerID"]
+
+    @cached_property
+    def base_cols(self) -> list[str]:
+        from churnkit.operators.features import DERIVED
+        return [c for c in self.cols if c not in DERIVED]
+
+    @cached_property
+    def labelled(self) -> DataFrame:
+        from churnkit.operators import models as md
+        return md.prepared(self.features, self.treated)
+
+    @cached_property
+    def train(self) -> DataFrame:
+        from churnkit.operators import split as sp
+        folds = sp.folds_stratified(self.split, self.folds_k).select("CustomerID", "fold")
+        return sp.split_align(self.labelled, self.split, sp.TRAIN).join(folds, "CustomerID").cache()
+
+    @cached_property
+    def test(self) -> DataFrame:
+        from churnkit.operators import split as sp
+        return sp.split_align(self.labelled, self.split, sp.TEST).cache()
+
+    def weighted(self, df: DataFrame, positive_only: bool) -> DataFrame:
+        from churnkit.operators import models as md
+        return md.with_balanced_weights(df, positive_only)
