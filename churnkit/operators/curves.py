@@ -38,20 +38,23 @@ def score_counts(scores: DataFrame, prob: str = "prob_churn", label: str = "chur
                   .agg(F.count_if(y == 1).alias("pos"), F.count_if(y != 1).alias("neg")))
 
 
+def _suffix_counts(sc: DataFrame) -> DataFrame:
+    """tp(t) / fp(t) = positives / negatives with score >= t for every t in
+    0..10,000 bp: the dense grid (10,001 rows, fixed size) left-joined to the
+    score counts, then one suffix-sum window over that bounded table."""
+    grid = sc.sparkSession.range(BP + 1).select(F.col("id").cast("int").alias("t_bp"))
+    dense = grid.join(sc.withColumnRenamed("prob_bp", "t_bp"), "t_bp", "left").fillna(0, ["pos", "neg"])
+    w = Window.orderBy(F.desc("t_bp")).rowsBetween(Window.unboundedPreceding, 0)
+    return dense.select("t_bp", F.sum("pos").over(w).alias("tp"), F.sum("neg").over(w).alias("fp"),
+                        F.sum("pos").over(Window.partitionBy()).alias("P"),
+                        F.sum("neg").over(Window.partitionBy()).alias("N"))
+
+
 def _threshold_counts(sc: DataFrame, grid_bp: Sequence[int]) -> DataFrame:
-    """tp / fp / P / N at each threshold (>=), one conditional aggregate, no join."""
-    aggs = [F.sum("pos").alias("P"), F.sum("neg").alias("N")]
-    for i, t in enumerate(grid_bp):
-        hit = F.col("prob_bp") >= F.lit(int(t))
-        aggs += [F.sum(F.when(hit, F.col("pos")).otherwise(0)).alias(f"tp{i}"),
-                 F.sum(F.when(hit, F.col("neg")).otherwise(0)).alias(f"fp{i}")]
-    row = sc.agg(*aggs)
-    body = ", ".join(f"CAST({int(t)} AS INT), tp{i}, fp{i}" for i, t in enumerate(grid_bp))
-    return row.selectExpr("P", "N", f"stack({len(grid_bp)}, {body}) AS (t_bp, tp, fp)") \
-              .select("t_bp", F.coalesce("tp", F.lit(0)).cast("long").alias("tp"),
-                      F.coalesce("fp", F.lit(0)).cast("long").alias("fp"),
-                      F.coalesce("P", F.lit(0)).cast("long").alias("P"),
-                      F.coalesce("N", F.lit(0)).cast("long").alias("N"))
+    """tp / fp / P / N at each threshold of the grid (score >= threshold)."""
+    wanted = [int(t) for t in grid_bp]
+    return (_suffix_counts(sc).where(F.col("t_bp").isin(wanted))
+            .select("t_bp", *[F.col(c).cast("long").alias(c) for c in ("tp", "fp", "P", "N")]))
 
 
 def _metrics(df: DataFrame, digits: int | None) -> DataFrame:

@@ -40,7 +40,13 @@ class Fixture:
     # ------------------------------------------------------------ tables
     @cached_property
     def raw(self) -> DataFrame:
-        return fixtures.subscriber(self.spark, self.sf_dir)
+        """The raw subscriber table, persisted: every fit pass reads it again.
+
+        One row per customer; MEMORY_AND_DISK so that a lost executor only
+        recomputes its own partitions from the parquet lineage.
+        """
+        from pyspark import StorageLevel
+        return fixtures.subscriber(self.spark, self.sf_dir).persist(StorageLevel.MEMORY_AND_DISK)
 
     @cached_property
     def params(self) -> prep.TreatParams:
