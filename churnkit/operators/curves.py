@@ -113,7 +113,8 @@ def threshold_recall(sc: DataFrame, recall_min: float = RECALL_MIN, strict: bool
     """The largest threshold whose recall is still >= recall_min (exact in integers)."""
     num, den = F.lit(int(round(recall_min * 100))), F.lit(100)
     tc = _threshold_counts(sc, list(range(*RECALL_GRID)))
-    ok = tc.where(F.col("tp") * den >= num * F.col("P"))
+    # recall is 0 when there are no positives (nothing qualifies then)
+    ok = tc.where((F.col("P") > 0) & (F.col("tp") * den >= num * F.col("P")))
     res = ok.agg(F.max("t_bp").alias("t_bp")).select(
         (F.col("t_bp") / F.lit(float(BP))).alias("threshold"))
     if strict and res.first()["threshold"] is None:

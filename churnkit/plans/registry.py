@@ -423,14 +423,17 @@ def q_next_best_offer(spark, sf_dir):
     return sv.next_best_offer(c.segments, c.offers, c.order)
 
 
+CAMPAIGN_TOP, CAMPAIGN_LTV = 500, 600.0  # the reference's worked example
+
+
 @query("campaign_total")
 def q_campaign_total(spark, sf_dir):
-    return sv.campaign_total(ch(spark, sf_dir).ranked_reco, 500, 600.0)
+    return sv.campaign_total(ch(spark, sf_dir).ranked_reco, CAMPAIGN_TOP, CAMPAIGN_LTV)
 
 
 @query("campaign_by_segment")
 def q_campaign_by_segment(spark, sf_dir):
-    return sv.campaign_by_segment(ch(spark, sf_dir).ranked_reco, 500, 600.0)
+    return sv.campaign_by_segment(ch(spark, sf_dir).ranked_reco, CAMPAIGN_TOP, CAMPAIGN_LTV)
 
 
 @query("ranking_preview")

@@ -406,7 +406,7 @@ ORACLE["threshold_f2"] = (f"WITH {SCORES} SELECT threshold, f2 FROM ({metrics_sq
 ORACLE["sweep_recall"] = (f"WITH {SCORES} SELECT threshold, {R('recall')} AS recall, {R('precision')} AS precision, "
                           f"fp, tp FROM ({metrics_sql(RECALL_GRID, None)})")
 ORACLE["threshold_recall"] = (f"WITH {SCORES} SELECT CAST(max(t_bp) AS DOUBLE) / CAST(10000 AS DOUBLE) AS threshold "
-                              f"FROM ({metrics_sql(RECALL_GRID, None)}) WHERE tp * 100 >= 90 * P")
+                              f"FROM ({metrics_sql(RECALL_GRID, None)}) WHERE P > 0 AND tp * 100 >= 90 * P")
 ROC = SCORES + """,
 pts AS (SELECT *, lag(pos) OVER w AS pos_prev, lead(pos) OVER w AS pos_next, lead(neg) OVER w AS neg_next
         FROM cum WINDOW w AS (ORDER BY prob_bp DESC)),
@@ -660,5 +660,5 @@ ORACLE["sink_nested_json"] = f"WITH {LABELLED} SELECT CustomerID, ordem, variave
 ORACLE["threshold_record"] = (
     f"WITH {SCORES} SELECT CAST(max(t_bp) AS DOUBLE) / CAST(10000 AS DOUBLE) AS threshold, "
     "'max precisao com recall OOF >= 0.9' AS criterio, CAST(1 AS INTEGER) AS usa_features_derivadas "
-    f"FROM ({metrics_sql(RECALL_GRID, None)}) WHERE tp * 100 >= 90 * P")
+    f"FROM ({metrics_sql(RECALL_GRID, None)}) WHERE P > 0 AND tp * 100 >= 90 * P")
 ORACLE["policy_stream"] = ORACLE["policy_counts"]
