@@ -13,11 +13,11 @@ QUERIES = E.queries()
 
 def _norm(v):
     if v is None:
-        return None
+        return "NULL"
     if hasattr(v, "item"):
         v = v.item()
     if isinstance(v, float) and math.isnan(v):
-        return None
+        return "NULL"
     return repr(v)
 
 
