@@ -709,3 +709,10 @@ def q_attribution_tree(spark, sf_dir):
     out = ts.tree_attributions(m.test, m.cols, nodes, model.stages[-1].treeWeights)
     return out.select("CustomerID", "ordem", "variavel", fixed("shap", 4).alias("shap"),
                       fixed("valor", 3).alias("valor"), fixed("base", 4).alias("base"))
+
+
+@query("bundle_export")
+def q_bundle_export(spark, sf_dir):
+    """Dashboard members written as parquet tables; manifest of row counts."""
+    from churnkit.plans.bundle import export_bundle
+    return export_bundle(ch(spark, sf_dir), scratch_path(spark, "bundle"))

@@ -662,3 +662,16 @@ ORACLE["threshold_record"] = (
     "'max precisao com recall OOF >= 0.9' AS criterio, CAST(1 AS INTEGER) AS usa_features_derivadas "
     f"FROM ({metrics_sql(RECALL_GRID, None)}) WHERE P > 0 AND tp * 100 >= 90 * P")
 ORACLE["policy_stream"] = ORACLE["policy_counts"]
+
+ORACLE["bundle_export"] = f"""WITH {SERVE}{LEARN[len(POLICY):]}{ROC[len(SCORES):]}
+SELECT * FROM (VALUES
+  ('meta', CAST(1 AS BIGINT)),
+  ('scores', (SELECT count(*) FROM fx_scores)),
+  ('roc', (SELECT least(count(*), 200) FROM roc_pts)),
+  ('distribuicao', CAST(40 AS BIGINT)),
+  ('ranking', (SELECT least(count(*), 100) FROM fx_scores)),
+  ('shap_global', (SELECT least(count(DISTINCT variavel), 15) FROM attr)),
+  ('politica', (SELECT count(*) FROM pord)),
+  ('curva', (SELECT count(*) FROM lc)),
+  ('clientes_detalhe', (SELECT count(DISTINCT CustomerID) FROM detail))
+) t(membro, linhas)"""
