@@ -27,18 +27,22 @@ def _ranks(n: int, qs: Sequence[float]) -> list[tuple[int, int, float]]:
 
 def exact_quantiles(df: DataFrame, spec: Mapping[str, Sequence[float]],
                     max_bracket: int = 200_000, accuracy: int = 20_000,
-                    max_rounds: int = 8) -> dict[str, list[float | None]]:
+                    max_rounds: int = 8, extra_aggs: Sequence = (),
+                    extra_out: dict | None = None) -> dict[str, list[float | None]]:
     """Return ``{column: [quantile value per q]}``; ``None`` for an all-null column.
 
     Nulls are ignored (as in pandas).  Work per column: one count pass, then
     narrowing rounds (two passes each, only while more than ``max_bracket``
     values remain), then one pass that sorts the bracket.  All columns share
-    the passes.
+    the passes.  ``extra_aggs`` (bounded aggregates of the caller) ride along
+    in the first pass; their values are put in ``extra_out``.
     """
     cols = list(spec)
+    counts = df.agg(*[F.count(F.col(c)).alias(f"n{i}") for i, c in enumerate(cols)], *extra_aggs).first()
+    if extra_out is not None:
+        extra_out.update(counts.asDict())
     if not cols:
         return {}
-    counts = df.agg(*[F.count(F.col(c)).alias(f"n{i}") for i, c in enumerate(cols)]).first()
     st = {}
     for i, c in enumerate(cols):
         n = int(counts[f"n{i}"])

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -147,43 +148,76 @@ def level_name(col_name: str, level: str) -> str:
 
 
 # -------------------------------------------------------------------- fit
-def fit_medians(raw: DataFrame, spec: TreatSpec, method: str = "exact") -> dict[str, float | None]:
-    """C9 (+C5-C7): medians after each column's own sentinel removal, one shared selection."""
+def fit_medians(raw: DataFrame, spec: TreatSpec, method: str = "exact",
+                levels_out: dict | None = None) -> dict[str, float | None]:
+    """C9 (+C5-C7): medians after each column's own sentinel removal, one shared selection.
+
+    With ``levels_out`` the nominal levels are collected in the same first pass
+    (after a distinct-count guard, see ``fit_levels``)."""
     cols = [c for c in spec.median_columns() if c in raw.columns]
-    proj = raw.select(*[cleaned_for_median(spec, c).cast("double").alias(c) for c in cols])
-    res = quantiles(proj, {c: [0.5] for c in cols}, method=method)
+    nominal = [c for c in spec.nominal_columns() if c in raw.columns] if levels_out is not None else []
+    proj = raw.select(*[cleaned_for_median(spec, c).cast("double").alias(c) for c in cols],
+                      *[F.col(c).alias(f"_lv_{c}") for c in nominal])
+    extra = [F.array_sort(F.collect_set(f"_lv_{c}")).alias(f"_lv_{c}") for c in nominal]
+    got: dict = {}
+    if method == "exact":
+        res = quantiles(proj, {c: [0.5] for c in cols}, method=method, extra_aggs=extra, extra_out=got)
+    else:
+        res = quantiles(proj, {c: [0.5] for c in cols}, method=method)
+        got = proj.agg(*extra).first().asDict() if extra else {}
+    if levels_out is not None:
+        for c in nominal:
+            levels_out[c] = list(got[f"_lv_{c}"])
     return {c: res[c][0] for c in cols}
 
 
+def check_level_counts(raw: DataFrame, spec: TreatSpec) -> None:
+    """Guard before collecting levels: a nominal column must have few values
+    (HyperLogLog estimate, bounded memory), otherwise frequency-encode it."""
+    cols = [c for c in spec.nominal_columns() if c in raw.columns]
+    if not cols:
+        return
+    row = raw.agg(*[F.approx_count_distinct(c).alias(c) for c in cols]).first()
+    for c in cols:
+        if row[c] > spec.max_levels:
+            raise ValueError(f"{c} has about {row[c]} levels; use frequency encoding")
+
+
 def fit_levels(raw: DataFrame, spec: TreatSpec) -> dict[str, list[str]]:
     """Sorted non-null levels of each nominal column (frozen for apply)."""
     cols = [c for c in spec.nominal_columns() if c in raw.columns]
     if not cols:
         return {}
+    check_level_counts(raw, spec)
     row = raw.agg(*[F.array_sort(F.collect_set(c)).alias(c) for c in cols]).first()
-    levels = {c: list(row[c]) for c in cols}
-    for c, lv in levels.items():
-        if len(lv) > spec.max_levels:
-            raise ValueError(f"{c} has {len(lv)} levels; use frequency encoding")
-    return levels
+    return {c: list(row[c]) for c in cols}
 
 
-def fit_area(raw: DataFrame, spec: TreatSpec) -> tuple[DataFrame, int]:
+def fit_area(raw: DataFrame, spec: TreatSpec, total: int | None = None) -> tuple[DataFrame, int]:
     """C11: share of rows per area (null -> UNKNOWN_AREA)."""
     area = F.coalesce(F.col(spec.frequency), F.lit(UNKNOWN_AREA))
     counts = raw.groupBy(area.alias("area")).agg(F.count(F.lit(1)).alias("n"))
-    total = raw.count()
-    tab = counts.select("area", (F.col("n") / F.lit(float(total))).alias("freq"))
-    tab = tab.checkpoint(eager=True)
+    if total is None:
+        total = raw.count()
+    # the fitted table is materialised once (one job) and reused by every apply
+    tab = counts.select("area", (F.col("n") / F.lit(float(total))).alias("freq")) \
+                .persist(StorageLevel.MEMORY_AND_DISK)
     return tab, tab.count()
 
 
 def fit(raw: DataFrame, spec: TreatSpec = REFERENCE_SPEC, method: str = "exact") -> TreatParams:
     """Learn all treatment parameters from ``raw`` (any frame: train or full)."""
-    area, n_area = (fit_area(raw, spec) if spec.frequency and spec.frequency in raw.columns
+    # one guard pass: row count (for the frequencies) and distinct-level estimates
+    nominal = [c for c in spec.nominal_columns() if c in raw.columns]
+    g = raw.agg(F.count(F.lit(1)).alias("_n"), *[F.approx_count_distinct(c).alias(c) for c in nominal]).first()
+    for c in nominal:
+        if g[c] > spec.max_levels:
+            raise ValueError(f"{c} has about {g[c]} levels; use frequency encoding")
+    area, n_area = (fit_area(raw, spec, g["_n"]) if spec.frequency and spec.frequency in raw.columns
                     else (None, 0))
-    return TreatParams(spec=spec, medians=fit_medians(raw, spec, method),
-                       levels=fit_levels(raw, spec), area=area, area_rows=n_area,
+    levels: dict[str, list[str]] = {}
+    medians = fit_medians(raw, spec, method, levels_out=levels)
+    return TreatParams(spec=spec, medians=medians, levels=levels, area=area, area_rows=n_area,
                        raw_columns=list(raw.columns))
 
 

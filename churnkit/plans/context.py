@@ -30,6 +30,9 @@ def round_doubles(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select(*out)
 
 
+_RAW: dict[tuple[str, str], DataFrame] = {}
+
+
 class Fixture:
     def __init__(self, spark: SparkSession, sf_dir: str, quantile_method: str = "exact"):
         self.spark = spark
@@ -46,7 +49,10 @@ class Fixture:
         recomputes its own partitions from the parquet lineage.
         """
         from pyspark import StorageLevel
-        return fixtures.subscriber(self.spark, self.sf_dir).persist(StorageLevel.MEMORY_AND_DISK)
+        k = (self.spark.sparkContext.applicationId, self.sf_dir)
+        if k not in _RAW:
+            _RAW[k] = fixtures.subscriber(self.spark, self.sf_dir).persist(StorageLevel.MEMORY_AND_DISK)
+        return _RAW[k]
 
     @cached_property
     def params(self) -> prep.TreatParams:
