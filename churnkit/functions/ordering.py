@@ -31,6 +31,8 @@ def global_index(df: DataFrame, order: Sequence[Column], name: str = "row_idx",
     shared checkpoint folder so that the partition counts and the rows come
     from the same materialised partitioning, also after an executor loss.
     """
+    from churnkit.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(df.sparkSession)
     n = _n_parts(df, num_partitions)
     ranged = (df.repartitionByRange(n, *order)
                 .sortWithinPartitions(*order)

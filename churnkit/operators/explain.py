@@ -73,3 +73,14 @@ def attribution_global(long: DataFrame, k: int = TOP_GLOBAL) -> DataFrame:
     g = (long.groupBy("variavel").agg(F.avg(F.abs("shap")).alias("impacto"))
              .orderBy(F.desc("impacto"), "variavel").limit(k))
     return with_labels(g).select("variavel", "rotulo", fixed("impacto", 4).alias("impacto_medio"))
+
+
+def global_scale(global_factors: DataFrame, first: int = 10) -> DataFrame:
+    """Each of the first global factors as a share of the largest one
+    (the global table is at most ``TOP_GLOBAL`` rows)."""
+    from pyspark.sql import Window
+    w = Window.orderBy(F.desc("impacto_medio"), F.asc("variavel"))
+    ranked = global_factors.select("*", F.row_number().over(w).alias("_pos")).where(F.col("_pos") <= first)
+    top = F.max("impacto_medio").over(Window.partitionBy())
+    return ranked.select("variavel", "rotulo", "impacto_medio",
+                         fixed(F.col("impacto_medio") / top, 4).alias("escala")).drop("_pos")

@@ -222,7 +222,7 @@ def fit(raw: DataFrame, spec: TreatSpec = REFERENCE_SPEC, method: str = "exact")
 
 
 # ------------------------------------------------------------------ apply
-BROADCAST_MAX_ROWS = 5_000_000
+BROADCAST_MAX_ROWS = 1_000_000  # (area, freq) rows; beyond it a shuffle join
 
 
 def _ordinal(spec: TreatSpec, on_unknown: str) -> Column:

@@ -458,6 +458,12 @@ def q_attribution_global(spark, sf_dir):
     return ex.attribution_global(long)
 
 
+@query("factor_scale_global")
+def q_factor_scale_global(spark, sf_dir):
+    long = ex.attribution_linear(fx(spark, sf_dir).features, ex.FIXTURE_COEFS, ex.FIXTURE_INTERCEPT)
+    return ex.global_scale(ex.attribution_global(long))
+
+
 @query("factor_labels")
 def q_factor_labels(spark, sf_dir):
     return ch(spark, sf_dir).factors.select("CustomerID", "ordem", "variavel", "rotulo")
@@ -674,10 +680,15 @@ def q_champion(spark, sf_dir):
 
 @query("model_score")
 def q_model_score(spark, sf_dir):
-    """M13 + M15: fit on train, score the test rows, rank them."""
+    """M13 + M15 + S9: fit on train, save and reload the pipeline model, score
+    the test rows, rank them."""
+    from pyspark.ml import PipelineModel
+
     from churnkit.operators import curves as cv
     m = mc(spark, sf_dir)
-    return cv.risk_ranking(_scored(_fit_boosted(m), m.test))
+    path = scratch_path(spark, "pipeline-model")
+    _fit_boosted(m).write().overwrite().save(path)
+    return cv.risk_ranking(_scored(PipelineModel.load(path), m.test))
 
 
 def _saved_nodes(spark, model):

@@ -78,19 +78,27 @@ def subscriber(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sum(F.when(days <= RECENT_DAYS, price)).alias("rev_recent"),
         F.sum(F.when((days > RECENT_DAYS) & (days <= PRIOR_DAYS), price)).alias("rev_prior"),
     )
-    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_quantity", "l_linestatus",
-                                                  "l_returnflag")
+    # lineitems are reduced to one row per order first (map-side partial
+    # aggregation), so an order holding a large share of the lines never
+    # reaches the join with orders as a hot key
     q = F.col("l_quantity")
-    pl = (li.join(pre.select("o_orderkey", "o_custkey", "days"),
-                  li.l_orderkey == pre.o_orderkey)
+    per_order = (table(spark, sf_dir, "lineitem")
+                 .groupBy("l_orderkey").agg(
+                     F.sum(q).alias("q"),
+                     F.sum(F.when(q > OVERAGE_ABOVE, q - F.lit(OVERAGE_ABOVE)).otherwise(F.lit(0.0)))
+                      .alias("over"),
+                     F.count_if(F.col("l_linestatus") == "O").alias("lo"),
+                     F.count_if(F.col("l_returnflag") == "R").alias("r")))
+    qq = F.col("q")
+    pl = (per_order.join(pre.select("o_orderkey", "o_custkey", "days"),
+                         per_order.l_orderkey == pre.o_orderkey)
             .groupBy("o_custkey").agg(
-                F.sum(q).alias("minutes"),
-                F.sum(F.when(q > OVERAGE_ABOVE, q - F.lit(OVERAGE_ABOVE)).otherwise(F.lit(0.0)))
-                 .alias("overage"),
-                F.count_if(F.col("l_linestatus") == "O").alias("n_lo"),
-                F.count_if(F.col("l_returnflag") == "R").alias("n_r"),
-                F.sum(F.when(days <= RECENT_DAYS, q)).alias("q_recent"),
-                F.sum(F.when((days > RECENT_DAYS) & (days <= PRIOR_DAYS), q)).alias("q_prior")))
+                F.sum(qq).alias("minutes"),
+                F.sum("over").alias("overage"),
+                F.sum("lo").alias("n_lo"),
+                F.sum("r").alias("n_r"),
+                F.sum(F.when(days <= RECENT_DAYS, qq)).alias("q_recent"),
+                F.sum(F.when((days > RECENT_DAYS) & (days <= PRIOR_DAYS), qq)).alias("q_prior")))
     post = (orders.where(F.col("o_orderdate") >= cutoff)
                   .select(F.col("o_custkey").alias("post_key")).distinct())
     ev = (table(spark, sf_dir, "events").groupBy("user_id").agg(

@@ -675,3 +675,12 @@ SELECT * FROM (VALUES
   ('curva', (SELECT count(*) FROM lc)),
   ('clientes_detalhe', (SELECT count(DISTINCT CustomerID) FROM detail))
 ) t(membro, linhas)"""
+
+ORACLE["factor_scale_global"] = f"""WITH {LABELLED},
+g AS (SELECT variavel, avg(abs(shap)) AS impacto FROM attr GROUP BY variavel ORDER BY impacto DESC, variavel LIMIT 15),
+gl AS (SELECT g.variavel, coalesce(l.rotulo_dic,
+          CASE WHEN g.variavel LIKE 'PrizmCode\\_%' ESCAPE '\\' THEN 'PrizmCode: ' || regexp_extract(g.variavel, '^[^_]*_(.*)$', 1) END,
+          g.variavel) AS rotulo, {R('g.impacto', 4)} AS impacto_medio
+       FROM g LEFT JOIN labels l ON g.variavel = l.variavel),
+r AS (SELECT *, row_number() OVER (ORDER BY impacto_medio DESC, variavel) AS pos FROM gl)
+SELECT variavel, rotulo, impacto_medio, {R('impacto_medio / max(impacto_medio) OVER ()', 4)} AS escala FROM r WHERE pos <= 10"""
