@@ -139,25 +139,34 @@ def thompson_assign(segments: DataFrame, counts: DataFrame, seed: int = 42) -> D
     run vectorised per Arrow batch with a generator seeded by
     (seed, partition, batch), reproducible on task retry.
     """
-    post = {(r["segmento"], r["acao"]): (r["aceites"] + 1, r["tentativas"] - r["aceites"] + 1)
-            for r in counts.select("segmento", "acao", "tentativas", "aceites").collect()}
     acts = [a for a, _, _ in ACTIONS]
+    segs = list(SEGMENTS)
+    # Beta parameters as a (segments + 1) x actions matrix; the last row is the
+    # flat prior for a segment outside the dimension
+    alpha = np.ones((len(segs) + 1, len(acts)))
+    beta = np.ones((len(segs) + 1, len(acts)))
+    for r in counts.select("segmento", "acao", "tentativas", "aceites").collect():  # segments x actions rows
+        if r["segmento"] in segs and r["acao"] in acts:
+            i, j = segs.index(r["segmento"]), acts.index(r["acao"])
+            alpha[i, j] = r["aceites"] + 1
+            beta[i, j] = r["tentativas"] - r["aceites"] + 1
+    acts_arr = np.array(acts, dtype=object)
 
     def draw(batches):
         from pyspark import TaskContext
         ctx = TaskContext.get()
         pid = ctx.partitionId() if ctx else 0
         for bi, pdf in enumerate(batches):
-            rng = np.random.default_rng([seed, pid, bi])
-            a = np.array([[post.get((s, x), (1, 1))[0] for x in acts] for s in pdf["segmento"]], dtype=float)
-            b = np.array([[post.get((s, x), (1, 1))[1] for x in acts] for s in pdf["segmento"]], dtype=float)
             if len(pdf) == 0:
                 continue
-            samples = rng.beta(a, b)
+            rng = np.random.default_rng([seed, pid, bi])
+            idx = pd.Categorical(pdf["segmento"], categories=segs).codes.astype(int)
+            idx[idx < 0] = len(segs)
+            samples = rng.beta(alpha[idx], beta[idx])
             best = samples.argmax(axis=1)
             yield pd.DataFrame({"CustomerID": pdf["CustomerID"].astype("int64"),
                                 "segmento": pdf["segmento"],
-                                "acao": [acts[i] for i in best],
+                                "acao": acts_arr[best],
                                 "amostra": samples[np.arange(len(best)), best]})
 
     schema = T.StructType([T.StructField("CustomerID", T.LongType()),

@@ -48,3 +48,16 @@ def test_stream_counters_grow_with_batches(spark, tmp_path):
     batch = pol.policy_counts(spark.read.parquet(log_dir))
     got = {(r["segmento"], r["acao"]): (r["tentativas"], r["aceites"]) for r in batch.where("tentativas > 0").collect()}
     assert got == second                            # R13 = R5 on the same rows
+
+
+def test_thompson_prefers_the_clear_winner(spark):
+    from churnkit.operators.segments import SEG_GENERAL
+    rows = ([(i, 1, SEG_GENERAL, "suporte", 1) for i in range(400)]
+            + [(400 + i, 1, SEG_GENERAL, "desconto", 0) for i in range(400)])
+    log = spark.createDataFrame([(i + 1, c, s, a, y) for i, (_, c, s, a, y) in enumerate(rows)],
+                                "rodada long, CustomerID long, segmento string, acao string, aceitou int")
+    segs = spark.createDataFrame([(i, SEG_GENERAL) for i in range(500)], "CustomerID long, segmento string")
+    out = pol.thompson_assign(segs, pol.policy_counts(log))
+    picks = {r["acao"]: r["n"] for r in out.groupBy("acao").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert sum(picks.values()) == 500
+    assert picks.get("suporte", 0) > 400          # Beta(401, 1) dominates the untried Beta(1, 1)
