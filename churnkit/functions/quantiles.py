@@ -28,16 +28,37 @@ def _ranks(n: int, qs: Sequence[float]) -> list[tuple[int, int, float]]:
 def exact_quantiles(df: DataFrame, spec: Mapping[str, Sequence[float]],
                     max_bracket: int = 200_000, accuracy: int = 20_000,
                     max_rounds: int = 8, extra_aggs: Sequence = (),
-                    extra_out: dict | None = None) -> dict[str, list[float | None]]:
+                    extra_out: dict | None = None,
+                    n_rows: int | None = None) -> dict[str, list[float | None]]:
     """Return ``{column: [quantile value per q]}``; ``None`` for an all-null column.
 
     Nulls are ignored (as in pandas).  Work per column: one count pass, then
     narrowing rounds (two passes each, only while more than ``max_bracket``
     values remain), then one pass that sorts the bracket.  All columns share
     the passes.  ``extra_aggs`` (bounded aggregates of the caller) ride along
-    in the first pass; their values are put in ``extra_out``.
+    in the first pass; their values are put in ``extra_out``.  When the
+    caller knows the row count ``n_rows`` and it is within ``max_bracket``,
+    the columns are sorted whole in a single pass.
     """
     cols = list(spec)
+    if n_rows is not None and n_rows <= max_bracket and cols:
+        row = df.agg(*[F.array_sort(F.collect_list(F.col(c))).alias(f"arr_{i}") for i, c in enumerate(cols)],
+                     *extra_aggs).first()
+        if extra_out is not None:
+            extra_out.update(row.asDict())
+        out: dict[str, list[float | None]] = {}
+        for i, c in enumerate(cols):
+            vals = row[f"arr_{i}"]
+            n = len(vals)
+            if n == 0:
+                out[c] = [None for _ in spec[c]]
+                continue
+            res = []
+            for lo, hi, frac in _ranks(n, spec[c]):
+                a, b = float(vals[lo]), float(vals[hi])
+                res.append(a if hi == lo else a + (b - a) * frac)
+            out[c] = res
+        return out
     counts = df.agg(*[F.count(F.col(c)).alias(f"n{i}") for i, c in enumerate(cols)], *extra_aggs).first()
     if extra_out is not None:
         extra_out.update(counts.asDict())

@@ -89,6 +89,7 @@ class TreatParams:
     area: DataFrame | None          # (area, freq)
     area_rows: int = 0
     raw_columns: list[str] = field(default_factory=list)
+    rows: int | None = None         # rows of the fit frame
 
     def medians_df(self, spark: SparkSession) -> DataFrame:
         rows = [(c, self.medians[c]) for c in self.spec.median_columns() if c in self.medians]
@@ -149,7 +150,7 @@ def level_name(col_name: str, level: str) -> str:
 
 # -------------------------------------------------------------------- fit
 def fit_medians(raw: DataFrame, spec: TreatSpec, method: str = "exact",
-                levels_out: dict | None = None) -> dict[str, float | None]:
+                levels_out: dict | None = None, n_rows: int | None = None) -> dict[str, float | None]:
     """C9 (+C5-C7): medians after each column's own sentinel removal, one shared selection.
 
     With ``levels_out`` the nominal levels are collected in the same first pass
@@ -161,7 +162,8 @@ def fit_medians(raw: DataFrame, spec: TreatSpec, method: str = "exact",
     extra = [F.array_sort(F.collect_set(f"_lv_{c}")).alias(f"_lv_{c}") for c in nominal]
     got: dict = {}
     if method == "exact":
-        res = quantiles(proj, {c: [0.5] for c in cols}, method=method, extra_aggs=extra, extra_out=got)
+        res = quantiles(proj, {c: [0.5] for c in cols}, method=method, extra_aggs=extra, extra_out=got,
+                        n_rows=n_rows)
     else:
         res = quantiles(proj, {c: [0.5] for c in cols}, method=method)
         got = proj.agg(*extra).first().asDict() if extra else {}
@@ -216,9 +218,9 @@ def fit(raw: DataFrame, spec: TreatSpec = REFERENCE_SPEC, method: str = "exact")
     area, n_area = (fit_area(raw, spec, g["_n"]) if spec.frequency and spec.frequency in raw.columns
                     else (None, 0))
     levels: dict[str, list[str]] = {}
-    medians = fit_medians(raw, spec, method, levels_out=levels)
+    medians = fit_medians(raw, spec, method, levels_out=levels, n_rows=g["_n"])
     return TreatParams(spec=spec, medians=medians, levels=levels, area=area, area_rows=n_area,
-                       raw_columns=list(raw.columns))
+                       raw_columns=list(raw.columns), rows=g["_n"])
 
 
 # ------------------------------------------------------------------ apply

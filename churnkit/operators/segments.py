@@ -21,9 +21,10 @@ CUT_COLUMNS = {"falhas_q75": "FalhasPorChamada", "care_q75": "CareCallsPorMes",
                "overage_q75": "RazaoOverage", "preco_min_q75": "ReceitaPorMinuto"}
 
 
-def fit_cuts(features: DataFrame, method: str = "exact") -> dict[str, float]:
+def fit_cuts(features: DataFrame, method: str = "exact", n_rows: int | None = None) -> dict[str, float]:
     """0.75 quantile (linear) of four features, plus the device-age cut."""
-    q = quantiles(features, {c: [CUT_QUANTILE] for c in CUT_COLUMNS.values()}, method=method)
+    kw = {"n_rows": n_rows} if method == "exact" else {}
+    q = quantiles(features, {c: [CUT_QUANTILE] for c in CUT_COLUMNS.values()}, method=method, **kw)
     cuts = {name: q[c][0] for name, c in CUT_COLUMNS.items()}
     cuts["aparelho_meses"] = DEVICE_MONTHS
     return cuts

@@ -68,7 +68,8 @@ class Fixture:
 
     @cached_property
     def cuts(self) -> dict[str, float]:
-        return seg.fit_cuts(self.features, self.qm)
+        # features keep every treated row: the fit's row count applies
+        return seg.fit_cuts(self.features, self.qm, n_rows=self.params.rows)
 
     @cached_property
     def segments(self) -> DataFrame:

@@ -61,3 +61,10 @@ def test_exact_quantiles_matches_pandas_median(spark):
     vals = [3.0, None, 1.0, 7.0, 2.0, None, 9.5]
     df = spark.createDataFrame([(v,) for v in vals], "x double")
     assert exact_quantiles(df, {"x": [0.5]})["x"][0] == pd.Series(vals).median()
+
+
+def test_single_pass_with_known_row_count(frame):
+    qs = [0.1, 0.5, 0.75]
+    two = exact_quantiles(frame, {"x": qs})
+    one = exact_quantiles(frame, {"x": qs}, n_rows=frame.count())
+    assert one == two
