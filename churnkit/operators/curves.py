@@ -233,3 +233,22 @@ def risk_ranking(scores: DataFrame, key: str = "CustomerID", prob: str = "prob_c
     """
     rounded = scores.select(key, fixed(prob, 4).alias("prob_churn"), F.col(label).alias("churn_real"))
     return global_index(rounded, [F.desc("prob_churn"), F.asc(key)], "rank_risco")
+
+
+TOP_DIRECT_MAX = 100_000
+
+
+def top_ranked(scores: DataFrame, k: int, key: str = "CustomerID", prob: str = "prob_churn",
+               label: str = "churn_real", direct_max: int = TOP_DIRECT_MAX) -> DataFrame:
+    """The ``k`` best ranks of ``risk_ranking`` without ranking everything.
+
+    For k up to ``direct_max`` this is ``orderBy(...).limit(k)``, which Spark
+    runs as a bounded per-task top-k (TakeOrderedAndProject), followed by a
+    window over those k rows only; larger k use the global index.
+    """
+    rounded = scores.select(key, fixed(prob, 4).alias("prob_churn"), F.col(label).alias("churn_real"))
+    if k > direct_max:
+        return risk_ranking(scores, key, prob, label).where(F.col("rank_risco") <= k)
+    order = [F.desc("prob_churn"), F.asc(key)]
+    head = rounded.orderBy(*order).limit(int(k))
+    return head.select("*", F.row_number().over(Window.orderBy(*order)).cast("long").alias("rank_risco"))

@@ -106,10 +106,13 @@ def next_best_offer(segments: DataFrame, log: DataFrame, order: DataFrame) -> Da
                              .otherwise(F.coalesce("proxima", F.lit(MANUAL))).alias("proxima_acao")))
 
 
-def _campaign_base(ranked_reco: DataFrame, top_n: int, ltv: float) -> DataFrame:
+def _campaign_base(ranked_reco: DataFrame, top_n: int, ltv: float, available: int | None = None) -> DataFrame:
+    """``ranked_reco``: recommendations with ``rank_risco`` (all of them, or
+    at least the ``top_n`` best); ``available`` is the number of customers
+    that could be chosen (counted when not given)."""
     if not 0 < ltv <= MAX_LTV:
         raise ValueError("ltv out of range")
-    n = ranked_reco.count()
+    n = ranked_reco.count() if available is None else available
     if not 1 <= top_n <= n:
         raise ValueError(f"top_n must lie between 1 and {n}")
     head = ranked_reco.where(F.col("rank_risco") <= top_n)
@@ -124,10 +127,11 @@ def _campaign_aggs():
             F.sum("p_bp").alias("perdidos_u"), F.sum(F.col("custo") * F.col("r_bp")).alias("custo_u")]
 
 
-def campaign_total(ranked_reco: DataFrame, top_n: int = 500, ltv: float = 600.0) -> DataFrame:
+def campaign_total(ranked_reco: DataFrame, top_n: int = 500, ltv: float = 600.0,
+                   available: int | None = None) -> DataFrame:
     """Expected accepts, customers saved, cost, preserved revenue and ROI of
     offering the recommended action to the ``top_n`` highest risks."""
-    base = _campaign_base(ranked_reco, top_n, ltv)
+    base = _campaign_base(ranked_reco, top_n, ltv, available)
     a = base.agg(*_campaign_aggs())
     salvos = F.col("salvos_u") / F.lit(1e8)
     custo = F.col("custo_u") / F.lit(1e4)
@@ -141,9 +145,10 @@ def campaign_total(ranked_reco: DataFrame, top_n: int = 500, ltv: float = 600.0)
                     fixed(F.when(custo != 0, (receita - custo) / custo).otherwise(F.lit(0.0)), 2).alias("roi"))
 
 
-def campaign_by_segment(ranked_reco: DataFrame, top_n: int = 500, ltv: float = 600.0) -> DataFrame:
+def campaign_by_segment(ranked_reco: DataFrame, top_n: int = 500, ltv: float = 600.0,
+                        available: int | None = None) -> DataFrame:
     """The same per segment (and its action), most customers first."""
-    base = _campaign_base(ranked_reco, top_n, ltv)
+    base = _campaign_base(ranked_reco, top_n, ltv, available)
     return (base.groupBy("segmento", "acao_nome").agg(*_campaign_aggs())
                 .select("segmento", "acao_nome", "clientes",
                         fixed(F.col("aceites_u") / F.lit(1e4), 1).alias("aceites_esperados"),
@@ -153,8 +158,8 @@ def campaign_by_segment(ranked_reco: DataFrame, top_n: int = 500, ltv: float = 6
 
 
 def ranking_preview(ranking: DataFrame, rows: int = PREVIEW_ROWS) -> DataFrame:
-    """The first ``rows`` of the ranking."""
-    return ranking.orderBy("rank_risco").limit(rows)
+    """The first ``rows`` of a ranking (full or top-k)."""
+    return ranking.where(F.col("rank_risco") <= rows)
 
 
 def factor_scale(factors: DataFrame, floor: float = 0.01) -> DataFrame:

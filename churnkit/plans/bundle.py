@@ -25,7 +25,7 @@ def members(c: Chain) -> dict[str, DataFrame]:
         "scores": c.ranking,
         "roc": cv.roc_reduced(sc),
         "distribuicao": cv.score_histogram(sc),
-        "ranking": sv.ranking_preview(c.ranking),
+        "ranking": sv.ranking_preview(c.top(sv.PREVIEW_ROWS)),
         "shap_global": ex.attribution_global(long),
         "politica": c.order,
         "curva": pol.learning_curve(c.offers, c.counts),

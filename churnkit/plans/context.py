@@ -116,6 +116,18 @@ class Chain(Fixture):
     def ranked_reco(self) -> DataFrame:
         return self.reco.join(self.ranking.select("CustomerID", "prob_churn", "rank_risco"), "CustomerID")
 
+    def top(self, k: int) -> DataFrame:
+        """The k best ranks only (bounded top-k, no full ranking)."""
+        from churnkit.operators import curves as cv
+        return cv.top_ranked(self.scores, k)
+
+    def campaign_input(self, top_n: int) -> tuple[DataFrame, int]:
+        """Recommendations of the ``top_n`` highest risks, and how many
+        customers have both a score and a recommendation."""
+        scored = self.reco.join(self.scores.select("CustomerID"), "CustomerID")
+        head = self.top(top_n).select("CustomerID", "prob_churn", "rank_risco")
+        return self.reco.join(head, "CustomerID"), scored.count()
+
     @cached_property
     def factors(self) -> DataFrame:
         from churnkit.functions.labels import with_labels
@@ -126,7 +138,7 @@ class Chain(Fixture):
     @cached_property
     def detail(self) -> DataFrame:
         from churnkit.operators import serving as sv
-        return sv.client_detail(self.ranking, self.reco, self.factors)
+        return sv.client_detail(self.top(sv.DETAIL_TOP), self.reco, self.factors)
 
     @cached_property
     def split(self) -> DataFrame:

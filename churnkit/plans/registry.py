@@ -407,7 +407,7 @@ def q_queue_search(spark, sf_dir):
 @query("client_lookup")
 def q_client_lookup(spark, sf_dir):
     c = ch(spark, sf_dir)
-    first = c.ranking.where(F.col("rank_risco") == 1).select("CustomerID").first()[0]
+    first = c.top(1).select("CustomerID").first()[0]
     return sv.client_lookup(c.detail, first)
 
 
@@ -428,17 +428,19 @@ CAMPAIGN_TOP, CAMPAIGN_LTV = 500, 600.0  # the reference's worked example
 
 @query("campaign_total")
 def q_campaign_total(spark, sf_dir):
-    return sv.campaign_total(ch(spark, sf_dir).ranked_reco, CAMPAIGN_TOP, CAMPAIGN_LTV)
+    head, available = ch(spark, sf_dir).campaign_input(CAMPAIGN_TOP)
+    return sv.campaign_total(head, CAMPAIGN_TOP, CAMPAIGN_LTV, available)
 
 
 @query("campaign_by_segment")
 def q_campaign_by_segment(spark, sf_dir):
-    return sv.campaign_by_segment(ch(spark, sf_dir).ranked_reco, CAMPAIGN_TOP, CAMPAIGN_LTV)
+    head, available = ch(spark, sf_dir).campaign_input(CAMPAIGN_TOP)
+    return sv.campaign_by_segment(head, CAMPAIGN_TOP, CAMPAIGN_LTV, available)
 
 
 @query("ranking_preview")
 def q_ranking_preview(spark, sf_dir):
-    return sv.ranking_preview(ch(spark, sf_dir).ranking)
+    return sv.ranking_preview(ch(spark, sf_dir).top(sv.PREVIEW_ROWS))
 
 
 # ------------------------------------------------------------ 2.7 explain

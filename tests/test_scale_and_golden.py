@@ -61,3 +61,14 @@ def test_thompson_prefers_the_clear_winner(spark):
     picks = {r["acao"]: r["n"] for r in out.groupBy("acao").agg(F.count(F.lit(1)).alias("n")).collect()}
     assert sum(picks.values()) == 500
     assert picks.get("suporte", 0) > 400          # Beta(401, 1) dominates the untried Beta(1, 1)
+
+
+@pytest.mark.parametrize("direct_max", [10_000, 5])
+def test_top_ranked_equals_full_ranking_head(spark, direct_max):
+    rng = np.random.default_rng(9)
+    probs = (rng.integers(0, 50, 2000) / 100).tolist()          # heavy ties
+    df = spark.createDataFrame([(int(i), float(p), int(i % 3 == 0)) for i, p in enumerate(probs)],
+                               "CustomerID long, prob_churn double, churn_real int")
+    full = cv.risk_ranking(df).where("rank_risco <= 37").collect()
+    top = cv.top_ranked(df, 37, direct_max=direct_max).collect()
+    assert sorted(map(tuple, full)) == sorted(map(tuple, top))
