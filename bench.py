@@ -25,7 +25,9 @@ def main() -> None:
     from churnkit.plans.registry import QUERIES
     from churnkit.session import get_session
 
-    spark = get_session(f"local[{cpus}]", shuffle_partitions=max(cpus, 8))
+    # one JVM: every task is process-local, so no locality wait is needed
+    extra = {"spark.locality.wait": os.environ.get("BENCH_LOCALITY_WAIT", "0s")}
+    spark = get_session(f"local[{cpus}]", shuffle_partitions=max(cpus, 8), extra_conf=extra)
     # warm-up: JVM, parquet footers
     QUERIES["scan_subscriber"](spark, sf_dir).write.format("noop").mode("overwrite").save()
     times = {}

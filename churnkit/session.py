@@ -19,12 +19,12 @@ DEFAULT_CONF = {
 
 
 def get_session(master: str | None = None, shuffle_partitions: int = 8,
-                app: str = "churnkit") -> SparkSession:
+                app: str = "churnkit", extra_conf: dict | None = None) -> SparkSession:
     """Session for tests and the bench; on a cluster use the cluster's own."""
     b = SparkSession.builder.appName(app)
     if master:
         b = b.master(master)
-    for k, v in DEFAULT_CONF.items():
+    for k, v in {**DEFAULT_CONF, **(extra_conf or {})}.items():
         b = b.config(k, v)
     b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     b = b.config("spark.driver.memory", os.environ.get("CHURNKIT_DRIVER_MEMORY", "8g"))
