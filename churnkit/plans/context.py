@@ -122,11 +122,14 @@ class Chain(Fixture):
         return cv.top_ranked(self.scores, k)
 
     def campaign_input(self, top_n: int) -> tuple[DataFrame, int]:
-        """Recommendations of the ``top_n`` highest risks, and how many
-        customers have both a score and a recommendation."""
-        scored = self.reco.join(self.scores.select("CustomerID"), "CustomerID")
-        head = self.top(top_n).select("CustomerID", "prob_churn", "rank_risco")
-        return self.reco.join(head, "CustomerID"), scored.count()
+        """Recommendations of the ``top_n`` highest risks among the customers
+        that have one, and how many rows that gives (fewer than ``top_n`` only
+        when ``top_n`` exceeds the eligible customers; no full count needed)."""
+        from churnkit.operators import curves as cv
+        eligible = self.scores.join(self.reco.select("CustomerID"), "CustomerID", "left_semi")
+        head = cv.top_ranked(eligible, top_n).select("CustomerID", "prob_churn", "rank_risco").cache()
+        n = head.count()  # at most top_n rows
+        return self.reco.join(head, "CustomerID"), n
 
     @cached_property
     def factors(self) -> DataFrame:
