@@ -8,6 +8,7 @@ segments x actions rows); curves work on per-block sums.
 from __future__ import annotations
 
 from collections.abc import Sequence
+import math
 from itertools import product
 
 import numpy as np
@@ -106,16 +107,22 @@ def learning_curve(log: DataFrame, counts: DataFrame | None = None, every: int =
         raise ValueError("window must be a multiple of the reporting step")
     if counts is None:
         counts = policy_counts(log)
-    rate_bp = F.floor(F.col("taxa_estimada") * F.lit(10000.0) + F.lit(0.5)).cast("long")
-    rates = counts.select("segmento", "acao", rate_bp.alias("taxa_bp"))
-    best = rates.groupBy("segmento").agg(F.max("taxa_bp").alias("melhor_bp"))
-    regret = (rates.join(best, "segmento")
-                   .select("segmento", "acao", (F.col("melhor_bp") - F.col("taxa_bp")).alias("regret_bp")))
-    blk = (_blocks(log, every).join(F.broadcast(regret), ["segmento", "acao"], "left")
+    # regret per (segment, action): a segments x actions table, passed as a literal map
+    rates = {(r["segmento"], r["acao"]): int(math.floor(r["taxa_estimada"] * 10000.0 + 0.5))
+             for r in counts.select("segmento", "acao", "taxa_estimada").collect()}
+    best = {}
+    for (sg, _), v in rates.items():
+        best[sg] = max(best.get(sg, v), v)
+    regret = F.create_map(*[x for (sg, a), v in sorted(rates.items())
+                            for x in (F.lit(f"{sg}|{a}"), F.lit(best[sg] - v))])
+    key = F.concat_ws("|", F.col("segmento"), F.col("acao"))
+    blk = (_blocks(log, every)
            .groupBy("bloco").agg(F.count(F.lit(1)).alias("n"),
                                  F.sum(F.col("aceitou").cast("long")).alias("aceites"),
-                                 F.sum(F.coalesce("regret_bp", F.lit(0))).alias("regret_bp")))
+                                 F.sum(F.coalesce(regret[key], F.lit(0)).cast("long")).alias("regret_bp")))
     blk = blk.where(F.col("n") == every)  # a last incomplete block is not reported
+    # one row per 50 rounds, reused by both window forms: cut the lineage once
+    blk = blk.checkpoint(eager=True)
     win = trailing_sums(blk, "bloco", ["n", "aceites"], window // every)
     cum = running_sums(win, "bloco", ["regret_bp"])
     rodada = (F.col("bloco") + 1) * every

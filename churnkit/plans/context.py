@@ -89,8 +89,10 @@ class Chain(Fixture):
 
     @cached_property
     def counts(self) -> DataFrame:
+        """The learned policy counters (segments x actions rows), materialised
+        once: every policy, recommendation and campaign plan starts from it."""
         from churnkit.operators import policy as pol
-        return pol.policy_counts(self.offers)
+        return pol.policy_counts(self.offers).checkpoint(eager=True)
 
     @cached_property
     def order(self) -> DataFrame:
