@@ -83,27 +83,33 @@ def next_best_offer(segments: DataFrame, log: DataFrame, order: DataFrame) -> Da
     """Per customer: retained if any accept, cost of accepted offers, and the
     next action - the first in the learned order not yet tried, or manual
     handling when none is left.  Customers never contacted get the best action.
+
+    One aggregation per customer; the set of tried actions is bounded by the
+    action list (4).  The learned order (segments x actions) is a literal map.
     """
-    dim = action_dim(log.sparkSession).select("acao", "custo")
-    hist = (log.join(F.broadcast(dim), "acao")
-               .groupBy("CustomerID").agg(
-                   F.max("aceitou").alias("retido"),
-                   F.sum(F.when(F.col("aceitou") == 1, F.col("custo")).otherwise(0)).alias("custo_total"),
-                   F.count(F.lit(1)).alias("tentativas")))
-    tried = log.select("CustomerID", "acao").distinct()
-    # customers x (at most 4) actions of their segment: bounded by the action count
-    cand = segments.select("CustomerID", "segmento").join(
-        F.broadcast(order.select("segmento", "acao", "ordem")), "segmento")
-    untried = cand.join(tried, ["CustomerID", "acao"], "left_anti")
-    nxt = untried.groupBy("CustomerID").agg(F.min_by("acao", "ordem").alias("proxima"))
-    return (segments.select("CustomerID", "segmento")
-                    .join(hist, "CustomerID", "left").join(nxt, "CustomerID", "left")
+    from churnkit.operators.policy import ACTIONS
+    cost = F.create_map(*[x for a, _, c in ACTIONS for x in (F.lit(a), F.lit(int(c)))])
+    hist = log.groupBy("CustomerID").agg(
+        F.max("aceitou").alias("retido"),
+        F.sum(F.when(F.col("aceitou") == 1, cost[F.col("acao")]).otherwise(0)).alias("custo_total"),
+        F.count(F.lit(1)).alias("tentativas"),
+        F.collect_set("acao").alias("tentadas"))
+    seq: dict[str, list[tuple[int, str]]] = {}
+    for r in order.select("segmento", "acao", "ordem").collect():  # segments x actions rows
+        seq.setdefault(r["segmento"], []).append((r["ordem"], r["acao"]))
+    learned = F.create_map(*[x for sg, lst in sorted(seq.items())
+                             for x in (F.lit(sg), F.array(*[F.lit(a) for _, a in sorted(lst)]))])
+    tried = F.coalesce(F.col("tentadas"), F.array().cast("array<string>"))
+    left = F.filter(learned[F.col("segmento")], lambda a: ~F.array_contains(tried, a))
+    retained = F.coalesce(F.col("retido"), F.lit(0)) == 1
+    return (segments.select("CustomerID", "segmento").join(hist, "CustomerID", "left")
                     .select("CustomerID", "segmento",
                             F.coalesce("retido", F.lit(0)).cast("int").alias("retido"),
                             F.coalesce("custo_total", F.lit(0)).cast("long").alias("custo_total"),
                             F.coalesce("tentativas", F.lit(0)).cast("long").alias("tentativas"),
-                            F.when(F.coalesce("retido", F.lit(0)) == 1, F.lit(None).cast("string"))
-                             .otherwise(F.coalesce("proxima", F.lit(MANUAL))).alias("proxima_acao")))
+                            F.when(retained, F.lit(None).cast("string"))
+                             .otherwise(F.coalesce(F.try_element_at(left, F.lit(1)), F.lit(MANUAL)))
+                             .alias("proxima_acao")))
 
 
 def _campaign_base(ranked_reco: DataFrame, top_n: int, ltv: float, available: int | None = None) -> DataFrame:
