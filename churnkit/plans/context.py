@@ -77,7 +77,7 @@ class Fixture:
 
     @cached_property
     def scores(self) -> DataFrame:
-        return fixtures.scores(self.spark, self.sf_dir)
+        return fixtures.scores(self.spark, self.sf_dir, self.raw)
 
     @cached_property
     def offers(self) -> DataFrame:

@@ -163,9 +163,11 @@ def subscriber(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Score table ``fx_scores``: CustomerID, prob_churn (4 dp), churn_real."""
-    sub = subscriber(spark, sf_dir).select("CustomerID", "Churn")
+def scores(spark: SparkSession, sf_dir: str, sub: DataFrame | None = None) -> DataFrame:
+    """Score table ``fx_scores``: CustomerID, prob_churn (4 dp), churn_real.
+
+    ``sub`` is an already built subscriber table (saves re-planning it)."""
+    sub = (sub if sub is not None else subscriber(spark, sf_dir)).select("CustomerID", "Churn")
     churn = (F.col("Churn") == "Yes")
     bp = (F.col("CustomerID") * 7919) % 7001 + F.when(churn, 1500).otherwise(0)
     return sub.select(
