@@ -238,8 +238,23 @@ def _ordinal(spec: TreatSpec, on_unknown: str) -> Column:
     return val
 
 
+def _q(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def _s(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _d(v: float | None) -> str:
+    return "CAST(NULL AS DOUBLE)" if v is None else f"CAST({float(v)!r} AS DOUBLE)"
+
+
 def apply(raw: DataFrame, params: TreatParams, on_unknown: str = "error") -> DataFrame:
-    """Treat ``raw`` with frozen parameters; column order as the reference."""
+    """Treat ``raw`` with frozen parameters; column order as the reference.
+
+    The projection is written as SQL expressions and passed in one
+    ``selectExpr`` (one plan step instead of hundreds of Column calls)."""
     spec = params.spec
     cols = raw.columns
     med = params.medians
@@ -247,71 +262,80 @@ def apply(raw: DataFrame, params: TreatParams, on_unknown: str = "error") -> Dat
     if spec.frequency:
         dropped.add(spec.frequency)
 
-    def filled(c: str, base: Column) -> Column:
+    def filled(c: str, base: str) -> str:
         m = med.get(c)
-        return F.coalesce(base.cast("double"), F.lit(m).cast("double")) if m is not None else base.cast("double")
+        return f"coalesce(CAST({base} AS DOUBLE), {_d(m)})" if m is not None else f"CAST({base} AS DOUBLE)"
+
+    def flag(c: str, value: str) -> str:
+        return f"CAST(({_q(c)} <=> {_s(value)}) AS INT)"
+
+    def text_num(c: str) -> str:
+        return f"try_cast({_q(c)} AS DOUBLE)"
+
+    def nonzero(c: str) -> str:
+        return f"(CASE WHEN {_q(c)} != 0 THEN {_q(c)} END)"
+
+    def ordinal() -> str:
+        m = "map(" + ", ".join(f"{_s(k)}, {int(v)}" for k, v in spec.ordinal_map.items()) + ")"
+        val = f"try_element_at({m}, {_q(spec.ordinal)})"
+        if on_unknown == "error":
+            msg = f"concat('unmapped {spec.ordinal}: ', coalesce({_q(spec.ordinal)}, 'NULL'))"
+            return f"CAST(CASE WHEN {val} IS NULL THEN raise_error({msg}) ELSE {val} END AS INT)"
+        return f"CAST({val} AS INT)"
 
-    body: list[Column] = []
+    body: list[str] = []
     for c in cols:
         if c in dropped:
             continue
-        if c == spec.target:
-            body.append(flag_equals(c, YES).alias(c))
-        elif c in spec.yes_no:
-            body.append(flag_equals(c, YES).alias(c))
+        if c == spec.target or c in spec.yes_no:
+            e = flag(c, YES)
         elif c in spec.text_number:
-            body.append(filled(c, text_number(c)).alias(c))
+            e = filled(c, text_num(c))
         elif c in spec.zero_sentinel:
-            body.append(filled(c, zero_to_null(c)).alias(c))
+            e = filled(c, nonzero(c))
         elif c in spec.negative_sentinel:
-            body.append(filled(c, negative_to_null(c)).alias(c))
+            e = filled(c, f"(CASE WHEN {_q(c)} >= 0 THEN {_q(c)} END)")
         elif c in spec.billing or c in spec.residual:
-            body.append(filled(c, F.col(c)).alias(c))
+            e = filled(c, _q(c))
         elif c == spec.ordinal:
-            body.append(_ordinal(spec, on_unknown).alias(c))
+            e = ordinal()
         else:
-            body.append(F.col(c))
+            e = _q(c)
+        body.append(f"{e} AS {_q(c)}")
 
-    extra: list[Column] = []
+    extra: list[str] = []
     for c in spec.known_flag:
         if c in cols:
-            extra.append(flag_equals(c, KNOWN).alias(f"{c}Known"))
+            extra.append(f"{flag(c, KNOWN)} AS {_q(c + 'Known')}")
 
-    def dummies(c: str) -> list[Column]:
-        return [F.col(c).eqNullSafe(F.lit(lv)).cast("int").alias(level_name(c, lv))
-                for lv in params.levels.get(c, [])]
+    def dummies(c: str) -> list[str]:
+        return [f"{flag(c, lv)} AS {_q(level_name(c, lv))}" for lv in params.levels.get(c, [])]
 
     for c in spec.early_onehot:
         if c in cols:
             extra += dummies(c)
     for c in spec.text_number:
         if c in cols:
-            extra.append(text_number(c).isNotNull().cast("int").alias(f"{c}Known"))
+            extra.append(f"CAST({text_num(c)} IS NOT NULL AS INT) AS {_q(c + 'Known')}")
     for c in spec.zero_sentinel:
         if c in cols:
-            extra.append(zero_to_null(c).isNotNull().cast("int").alias(f"{c}Known"))
+            extra.append(f"CAST({nonzero(c)} IS NOT NULL AS INT) AS {_q(c + 'Known')}")
     billing = [c for c in spec.billing if c in cols]
     if billing:
-        allnull = F.lit(True)
-        for c in billing:
-            allnull = allnull & F.col(c).isNull()
-        extra.append(allnull.cast("int").alias("MissingBillingInfo"))
+        extra.append("CAST((" + " AND ".join(f"{_q(c)} IS NULL" for c in billing) + ") AS INT) AS `MissingBillingInfo`")
     for c in spec.onehot:
         if c in cols:
             extra += dummies(c)
 
     out = raw
-    freq_col = None
     if spec.frequency and spec.frequency in cols and params.area is not None:
-        area_key = F.coalesce(F.col(spec.frequency), F.lit(UNKNOWN_AREA))
-        out = out.withColumn("_area_key", area_key)
+        out = out.withColumn("_area_key", F.coalesce(F.col(spec.frequency), F.lit(UNKNOWN_AREA)))
         tab = params.area.select(F.col("area").alias("_area_key"), F.col("freq").alias("_freq"))
         if params.area_rows <= BROADCAST_MAX_ROWS:
             tab = F.broadcast(tab)
         out = out.join(tab, "_area_key", "left")
-        freq_col = F.coalesce(F.col("_freq"), F.lit(0.0)).alias(f"{spec.frequency}Freq")
-    sel = body + extra + ([freq_col] if freq_col is not None else [])
-    return out.select(*sel)
+        extra.append(f"coalesce(`_freq`, CAST(0 AS DOUBLE)) AS {_q(spec.frequency + 'Freq')}")
+    return out.selectExpr(*body, *extra)
 
 
 def treat(raw: DataFrame, spec: TreatSpec = REFERENCE_SPEC, method: str = "exact",
