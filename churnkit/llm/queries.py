@@ -36,12 +36,18 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(documents(spark, sf_dir), cache).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from churnkit.llm.weak_quality import classify
+    return classify(documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", "weak_label", "quality_score", "quality_keep")
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op5_exact": op5_exact,
     "op6_packing": op6_packing,
     "op7_mixing": op7_mixing,
     "op8_token_counts": op8_token_counts,
+    "op10_quality": op10_quality,
 }
 
 LLM_ORACLE: dict[str, str] = {
