@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from churnkit.llm.common import documents
 from churnkit.session import scratch_path
@@ -36,6 +37,13 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(documents(spark, sf_dir), cache).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from churnkit.llm.licenses import scan
+    files = documents(spark, sf_dir).select("doc_id", "text", F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")).alias("path"))
+    found = scan(files).withColumn("doc_id", F.element_at(F.split("path", "/"), -1).cast("long"))
+    return found.select("doc_id", "path", "own_licence", "cosine", "licence_file", "licence", "inherited_from")
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from churnkit.llm.weak_quality import classify
     return classify(documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", "weak_label", "quality_score", "quality_keep")
@@ -47,6 +55,7 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_packing": op6_packing,
     "op7_mixing": op7_mixing,
     "op8_token_counts": op8_token_counts,
+    "op9_licenses": op9_licenses,
     "op10_quality": op10_quality,
 }
 
