@@ -16,6 +16,11 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup(documents(spark, sf_dir), shingle=4, max_bits=4).select("doc_id", "fingerprint", "component_id")
 
 
+def op3_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from churnkit.llm.ppm import score_corpus
+    return score_corpus(documents(spark, sf_dir))
+
+
 def op5_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     from churnkit.llm.exact import exact_dedup
     return exact_dedup(documents(spark, sf_dir), digest=True).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -51,6 +56,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op3_ppm": op3_ppm,
     "op5_exact": op5_exact,
     "op6_packing": op6_packing,
     "op7_mixing": op7_mixing,
