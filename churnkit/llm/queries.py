@@ -21,6 +21,11 @@ def op3_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_corpus(documents(spark, sf_dir))
 
 
+def op4_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from churnkit.llm.phrases import fingerprint_edits
+    return fingerprint_edits(documents(spark, sf_dir))
+
+
 def op5_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     from churnkit.llm.exact import exact_dedup
     return exact_dedup(documents(spark, sf_dir), digest=True).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -57,6 +62,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op3_ppm": op3_ppm,
+    "op4_phrases": op4_phrases,
     "op5_exact": op5_exact,
     "op6_packing": op6_packing,
     "op7_mixing": op7_mixing,
