@@ -3,8 +3,8 @@
 The model is a byte-context trie of up to ``ORDER`` symbols, trained on the
 corpus: counts n(context, symbol) of every order.  A symbol is coded in the
 longest context that training has seen; where that context has not seen the
-symbol, an escape (method C: as likely as the number of distinct symbols of the
-context) goes to the next shorter one, in which the symbols of the longer one
+symbol, an escape (method D: of a context seen t times with d distinct symbols,
+d / 2t, and a symbol seen n times has (2n - 1) / 2t) goes to the next shorter one, in which the symbols of the longer one
 are excluded, and at last to a uniform choice among the symbols left.  A text
 is coded with an end symbol, after a fixed begin mark.
 
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from churnkit.llm.common import as_bytes, batch, materialise, text_of
 
-ORDER = 4
+ORDER = 5
 BITS = 9
 END, BEGIN = 256, 257  # symbols beside the 256 bytes; BEGIN occurs in contexts only
 SYMBOLS = 257  # that can be coded: bytes and END
@@ -38,7 +38,7 @@ CHUNK = 1 << 22  # bytes of text handled at once in a task
 KEEP = 1 << 21  # distinct (context, symbol) pairs a task holds before it passes them on
 SHARD_BYTES = 64 << 20
 ENTRY_BYTES, CONTEXT_BYTES = 12, 24
-MIX = 0x9E3779B97F4A7C15
+MIX, PAIR_MIX = 0x9E3779B97F4A7C15, 0x9E3779B1
 
 
 def chunks(texts: list[bytes], size: int = CHUNK):
@@ -112,7 +112,7 @@ LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 def train(texts: DataFrame, order: int = ORDER) -> tuple[list[DataFrame], list[DataFrame]]:
     """Tables of every order 0..order: entries (key, n) and contexts (ctx, first, esc, next_den, next_esc).
 
-    All but key and ctx are log10 values: ``first`` the denominator n + distinct
+    All but key and ctx are log10 values: ``first`` the denominator 2t
     of a context that is the first tried; ``esc`` its escape; ``next_den`` and
     ``next_esc`` denominator and escape of the context one shorter when it is
     tried after this one, with this one's symbols excluded (null if no symbol is
@@ -134,11 +134,11 @@ def train(texts: DataFrame, order: int = ORDER) -> tuple[list[DataFrame], list[D
             cs = contexts[o - 1].select(F.col("ctx").alias("low_ctx"), F.col("t").alias("lt"), F.col("d").alias("ld"))
             own = (own.join(shared, "ctx").withColumn("low_ctx", F.col("ctx").bitwiseAND(F.lit((1 << BITS * (o - 1)) - 1)))
                    .join(cs, "low_ctx").withColumn("left", F.col("ld") - F.col("d"))
-                   .withColumn("den", F.when(F.col("left") > 0, F.log10(F.col("lt") - F.col("e") + F.col("left"))))
+                   .withColumn("den", F.when(F.col("left") > 0, F.log10(2 * (F.col("lt") - F.col("e")))))
                    .select("ctx", "t", "d", F.col("den").alias("next_den"), (F.log10(F.when(F.col("left") > 0, F.col("left"))) - F.col("den")).alias("next_esc")))
         else:
             own = own.select("ctx", "t", "d", F.lit(None).cast("double").alias("next_den"), F.lit(None).cast("double").alias("next_esc"))
-        den = F.log10(F.col("t") + F.col("d"))
+        den = F.log10(2 * F.col("t"))
         contexts.append(materialise(own.withColumn("first", den).withColumn("esc", F.log10("d") - den), "contexts"))
     return entries, contexts
 
@@ -242,8 +242,8 @@ class Trie:
 
 
 def shard_of(pair: np.ndarray, shards: int) -> np.ndarray:
-    """Shard of a context by its last two symbols."""
-    return ((pair * np.uint64(MIX)) >> np.uint64(40)) % np.uint64(shards)
+    """Shard of a context by its last two symbols (18 bits; the product stays below 2 ** 50)."""
+    return ((pair * np.uint64(PAIR_MIX)) >> np.uint64(12)) % np.uint64(shards)
 
 
 def collect_shard(entries: list[DataFrame], contexts: list[DataFrame], order: int, shard: int, shards: int) -> dict:
@@ -251,15 +251,15 @@ def collect_shard(entries: list[DataFrame], contexts: list[DataFrame], order: in
     def part(df: DataFrame, o: int, last: F.Column) -> DataFrame:
         if shards == 1 or o < 2:
             return df
-        mixed = F.shiftrightunsigned(last.bitwiseAND(F.lit((1 << 2 * BITS) - 1)) * F.lit(MIX - (1 << 64)), 40)
-        return df.where(F.pmod(mixed, F.lit(shards)) == shard)
+        mixed = F.shiftright(last.bitwiseAND(F.lit((1 << 2 * BITS) - 1)) * F.lit(PAIR_MIX), 12)
+        return df.where(mixed % F.lit(shards) == shard)
 
     def column(table: pa.Table, name: str) -> np.ndarray:
         return table.column(name).to_numpy()
 
     arrays: dict = {"entries": [], "contexts": []}
     for o in range(order + 1):
-        t = part(entries[o], o, F.shiftright("key", BITS)).select("key", F.log10("n").cast("float").alias("n")).toArrow()
+        t = part(entries[o], o, F.shiftright("key", BITS)).select("key", F.log10(2 * F.col("n") - 1).cast("float").alias("n")).toArrow()
         by = np.argsort(column(t, "key"))
         arrays["entries"].append((column(t, "key")[by], column(t, "n")[by]))
         names = ["first", "esc", "next_den", "next_esc"]
