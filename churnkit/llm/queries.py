@@ -16,6 +16,11 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup(documents(spark, sf_dir), shingle=4, max_bits=4).select("doc_id", "fingerprint", "component_id")
 
 
+def op2_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from churnkit.llm.suffix_dedup import dedup_passages
+    return dedup_passages(documents(spark, sf_dir), min_length=100)
+
+
 def op3_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
     from churnkit.llm.ppm import score_corpus
     return score_corpus(documents(spark, sf_dir))
@@ -61,6 +66,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op2_passages": op2_passages,
     "op3_ppm": op3_ppm,
     "op4_phrases": op4_phrases,
     "op5_exact": op5_exact,
