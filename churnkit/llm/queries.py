@@ -64,6 +64,11 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", "weak_label", "quality_score", "quality_keep")
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpus_pipeline import run
+    return run(spark, sf_dir)
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_passages": op2_passages,
@@ -75,6 +80,7 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_licenses": op9_licenses,
     "op10_quality": op10_quality,
+    "pipeline": pipeline,
 }
 
 LLM_ORACLE: dict[str, str] = {
