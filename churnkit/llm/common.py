@@ -51,3 +51,21 @@ def whole(batches: Iterator[pa.RecordBatch], schema_names: list[str]) -> dict[st
         for n in schema_names:
             parts[n].append(b.column(n).to_numpy(zero_copy_only=False))
     return {n: np.concatenate(p) if p else np.empty(0, dtype=np.int64) for n, p in parts.items()}
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """Arrow batches a few rows at a time, so that Python copies of texts stay small."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, altered where ``df`` has a column of that name already."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out

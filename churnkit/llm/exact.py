@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from churnkit.llm.common import materialise, text_of
+from churnkit.llm.common import fresh, materialise, text_of
 
 PREFIX = 64
 #: a table of (length, prefix hash) classes is broadcast up to so many rows of 16 bytes; beyond that it is joined by a shuffle
@@ -52,12 +52,13 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, all columns: one row of each group of equal texts."""
+    gid, ghash, stays = fresh(docs, "gone_id", "gone_hash", "stays")
     found = exact_dedup(docs, id_col, text_col)
-    gone = materialise(found.where("not kept").groupBy(F.col(id_col).alias("gone_id"), F.col("text_hash").alias("gone_hash"))
-                       .agg(F.count(F.lit(1)).alias("n_gone"), F.max(F.col(id_col).eqNullSafe(F.col("keep_id"))).alias("stays")), "gone")
-    key = F.col(id_col).eqNullSafe(F.col("gone_id")) & (F.xxhash64(text_of(text_col)) == F.col("gone_hash"))
-    out = docs.join(gone.where("not stays"), key, "left_anti")
-    repeated = gone.where("stays")  # the row that stays itself occurs several times: one of them is enough
+    gone = materialise(found.where("not kept").groupBy(F.col(id_col).alias(gid), F.col("text_hash").alias(ghash))
+                       .agg(F.max(F.col(id_col).eqNullSafe(F.col("keep_id"))).alias(stays)), "gone")
+    key = F.col(id_col).eqNullSafe(F.col(gid)) & (F.xxhash64(text_of(text_col)) == F.col(ghash))
+    out = docs.join(gone.where(~F.col(stays)), key, "left_anti")
+    repeated = gone.where(stays)  # the row that stays itself occurs several times: one of them is enough
     if repeated.isEmpty():
         return out
     many = out.join(repeated, key, "left_semi").dropDuplicates([id_col, text_col])

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from churnkit.functions.ordering import global_index
-from churnkit.llm.common import WORD, materialise, text_of
+from churnkit.llm.common import WORD, fresh, materialise, text_of
 
 #: weights dealt to the sources in the order of their names, repeating
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -155,15 +155,15 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """The rows of ``docs`` as often as the mix takes them, all columns."""
-    plan = mix(docs, id_col, text_col, source_col, **options)
-    plan = materialise(plan.where("copies > 0").select(F.col(id_col).alias("m_id"), F.col(source_col).alias("m_source"),
-                                                       F.col("text_hash").alias("m_hash"), F.col("again").alias("m_again"), "copies"), "mix")
-    rows = docs.withColumn("m_key", F.xxhash64(text_of(text_col)))
-    key = (F.col(id_col).cast("long").eqNullSafe(F.col("m_id")) & F.col(source_col).cast("string").eqNullSafe(F.col("m_source"))
-           & (F.col("m_key") == F.col("m_hash")))
-    if not plan.where("m_again > 1").isEmpty():  # rows that repeat are told apart by their number
-        one = Window.partitionBy(F.col(source_col).cast("string"), F.col(id_col).cast("long"), "m_key").orderBy(F.octet_length(text_of(text_col)))
-        rows = rows.withColumn("m_no", F.row_number().over(one))
-        key = key & (F.col("m_no") == F.col("m_again"))
-    taken = rows.join(plan, key)
-    return taken.withColumn("m_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+    mid, msource, mhash, magain, copies, number, copy = fresh(docs, "m_id", "m_source", "m_hash", "m_again", "m_copies", "m_number", "m_copy")
+    plan = mix(docs, id_col, text_col, source_col, **options).where("copies > 0")
+    plan = materialise(plan.select(F.col(id_col).alias(mid), F.col(source_col).alias(msource), F.col("text_hash").alias(mhash),
+                                   F.col("again").alias(magain), F.col("copies").cast("int").alias(copies)), "mix")
+    own = [F.col(source_col).cast("string"), F.col(id_col).cast("long"), F.xxhash64(text_of(text_col))]
+    key = own[0].eqNullSafe(F.col(msource)) & own[1].eqNullSafe(F.col(mid)) & (own[2] == F.col(mhash))
+    rows = docs
+    if not plan.where(F.col(magain) > 1).isEmpty():  # rows that repeat are told apart by their number
+        rows = rows.withColumn(number, F.row_number().over(Window.partitionBy(*own).orderBy(F.octet_length(text_of(text_col)))))
+        key = key & (F.col(number) == F.col(magain))
+    taken = rows.join(plan, key).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies))))
+    return taken.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from churnkit.llm.common import as_bytes, batch, materialise, partitions, text_of, whole
+from churnkit.llm.common import as_bytes, batch, fresh, materialise, partitions, text_of, whole
 from churnkit.llm.graph import components
 
 TILE = 4096
@@ -200,11 +200,14 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, max_bits: int = 4) -> DataFrame:
     """The rows of ``docs`` that stay, all columns: of each component the smallest id (then the smallest text hash; rows that
     repeat both are copies of one row and one of them stays)."""
+    sid, shash = fresh(docs, "stay_id", "stay_hash")
     found = simhash_dedup(docs, id_col, text_col, shingle, max_bits)
     found = found.withColumn("component_key", F.coalesce(F.col("component_id").cast("string"), F.col("fingerprint")))
-    stay = materialise(found.groupBy("component_key")
-                       .agg(F.min(F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("i"), F.col("text_hash").alias("h"))).alias("k"))
-                       .select(F.col("k.i").alias("stay_id"), F.col("k.h").alias("stay_hash")).distinct(), "stay")
-    kept = docs.join(stay, F.col(id_col).cast("long").eqNullSafe(F.col("stay_id"))
-                     & (F.xxhash64(text_of(text_col)) == F.col("stay_hash")), "left_semi")
-    return kept
+    first = F.min(F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("i"), F.col("text_hash").alias("h"))).alias("k")
+    stay = materialise(found.groupBy("component_key").agg(first).select(F.col("k.i").alias(sid), F.col("k.h").alias(shash)).distinct(), "stay")
+    key = F.col(id_col).cast("long").eqNullSafe(F.col(sid)) & (F.xxhash64(text_of(text_col)) == F.col(shash))
+    kept = docs.join(stay, key, "left_semi")
+    again = materialise(found.groupBy(F.col(id_col).alias(sid), F.col("text_hash").alias(shash)).count().where("count > 1").drop("count"), "repeated")
+    if again.isEmpty():
+        return kept
+    return kept.join(again, key, "left_anti").unionByName(kept.join(again, key, "left_semi").dropDuplicates([id_col, text_col]))
