@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from churnkit.llm.common import as_bytes, batch, materialise, text_of
+from churnkit.llm.common import as_bytes, batch, fresh, materialise, text_of
 
 #: the scorer is fitted on the documents with the smallest hashes, so many at most
 FIT_ROWS = 4096
@@ -71,14 +71,16 @@ def fit_labellers(patterns: np.ndarray, counts: np.ndarray, rounds: int = 500) -
 
     Starts from the belief that a document with a bad vote is bad.  Votes are
     independent given the class and whether a labeller votes at all says nothing
-    (an abstention is missing data); counts are smoothed.  There are several kinds
-    of bad documents, each seen by few labellers, so the likelihood alone would
-    call only the largest kind bad; the estimate is therefore held to labellers
-    that are wrong about few good documents (``MAX_ERROR``) and never worse than
-    chance.
+    (an abstention is missing data); counts are smoothed.  Two assumptions tell the
+    classes apart, since there are several kinds of bad documents, each seen by few
+    labellers, and the likelihood alone would as well call only the largest kind
+    bad, or everything: together the labellers see every kind, so a document
+    without a bad vote is good; and a labeller is wrong about few good documents
+    (``MAX_ERROR``) and never worse than chance.
     """
     is_bad, voted = patterns == BAD, patterns != ABSTAIN
-    good = np.where(is_bad.any(1), 0.1, 0.95)
+    seen = is_bad.any(1)
+    good = np.where(seen, 0.1, 1.0)
     rate, prior = np.full((patterns.shape[1], 2), 0.5), 0.5
     for _ in range(rounds):
         weight = np.stack([counts * (1 - good), counts * good], axis=1)  # class 0: bad
@@ -87,7 +89,7 @@ def fit_labellers(patterns: np.ndarray, counts: np.ndarray, rounds: int = 500) -
         rate[:, 1] = np.minimum(rate[:, 1], MAX_ERROR)
         rate[:, 0] = np.maximum(rate[:, 0], rate[:, 1])
         logs = np.log(np.array([1 - prior, prior]))[None, :] + is_bad @ np.log(rate) + (voted & ~is_bad) @ np.log(1 - rate)
-        new = 1 / (1 + np.exp(np.clip(logs[:, 0] - logs[:, 1], -500, 500)))
+        new = np.where(seen, 1 / (1 + np.exp(np.clip(logs[:, 0] - logs[:, 1], -500, 500))), 1.0)
         if np.abs(new - good).max() < 1e-9:
             break
         good = new
@@ -199,7 +201,7 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fi
                 names=[*cols, *scored.names])
 
     schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in full.schema], "weak_label double, quality_score double, quality_keep boolean"])
-    return full.withColumn("text for scoring", text_of(text_col)).mapInArrow(run, schema)
+    return full.withColumn(fresh(full, "text for scoring")[0], text_of(text_col)).mapInArrow(run, schema)
 
 
 def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
