@@ -11,12 +11,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from churnkit.llm.common import batch, materialise, text_of
+from churnkit.llm.common import batch, materialise, slices, text_of
 from churnkit.llm.tokens import encoder, tokenizer_path
 
 CAPACITY = 2048
 GROUP = 8192  # pieces a group holds on average
-END = 1
+END = (1).to_bytes(4, "little")
 
 
 class Tournament:
@@ -62,18 +62,17 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, id_col: str, text_col
 
     def run(batches):
         enc, seen = encoder(tokenizer), Counter()  # rows that repeat id and content are numbered, to spread them
-        for b in batches:
+        for part in slices(batches):
             seen.clear()
-            for at in range(0, b.num_rows, 256):
-                part = b.slice(at, 256)
-                rows = []
-                for i, ids in zip(part.column("id").to_pylist(), enc.encode(part.column("text").to_pylist())):
-                    raw, n = np.array([*ids, END], dtype="<u4"), len(ids) + 1
-                    cut = [(s, min(capacity, n - s), zlib.crc32(raw[s:s + capacity].tobytes())) for s in range(0, n, capacity)]
-                    again = seen[i, n, cut[0][2]]
-                    seen[i, n, cut[0][2]] += 1
-                    rows += [(i, *c, n, again) for c in cut]
-                yield batch(out, *zip(*rows))
+            rows = []
+            for i, ids in zip(part.column("id").to_pylist(), enc.encode(part.column("text").to_pylist())):
+                raw = ids + END
+                n = len(raw) // 4
+                cut = [(s, min(capacity, n - s), zlib.crc32(raw[4 * s:4 * (s + capacity)])) for s in range(0, n, capacity)]
+                again = seen[i, n, cut[0][2]]
+                seen[i, n, cut[0][2]] += 1
+                rows += [(i, *c, n, again) for c in cut]
+            yield batch(out, *zip(*rows))
 
     return docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text")).mapInArrow(
         run, "id long, start long, length long, ids_crc32 long, doc_tokens long, again long")
