@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from churnkit.llm.common import batch, materialise, partitions, text_of
+from churnkit.llm.common import batch, materialise, partitions, slices, text_of
 from churnkit.llm.tokens import encoder, tokenizer_path, tokenizer_version
 
 CACHE_SCHEMA = "version string, digest string, n_tokens long"
@@ -48,11 +48,9 @@ def count_tokens(docs: DataFrame, cache_path: str, tokenizer: str | None = None,
 
     def encode(batches):
         enc = encoder(path)
-        for b in batches:
-            for at in range(0, b.num_rows, 256):
-                part = b.slice(at, 256)
-                ids = enc.encode(part.column("text").to_pylist())
-                yield batch(out, part.column("digest").cast(pa.string()), [len(x) for x in ids])
+        for part in slices(batches):
+            ids = enc.encode(part.column("text").to_pylist())
+            yield batch(out, part.column("digest").cast(pa.string()), [len(x) // 4 for x in ids])
 
     (missing.repartition(partitions(spark), "digest").mapInArrow(encode, "digest string, n_tokens long")
      .select(F.lit(version).alias("version"), "digest", "n_tokens").write.mode("append").parquet(cache_path))
