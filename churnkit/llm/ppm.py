@@ -19,7 +19,6 @@ from __future__ import annotations
 
 import math
 import uuid
-from itertools import pairwise
 
 import numpy as np
 import pandas as pd
@@ -27,16 +26,18 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest
 
-from churnkit.llm.common import as_bytes, batch, materialise, text_of
+from churnkit.llm.common import as_bytes, batch, materialise, partitions, slices, text_of
 
 ORDER = 5
 BITS = 9
 END, BEGIN = 256, 257  # symbols beside the 256 bytes; BEGIN occurs in contexts only
 SYMBOLS = 257  # that can be coded: bytes and END
-CHUNK = 1 << 22  # bytes of text handled at once in a task
-KEEP = 1 << 21  # distinct (context, symbol) pairs a task holds before it passes them on
+CHUNK = 1 << 20  # bytes of text whose positions are handled at once in a task
+KEEP = 1 << 20  # distinct (context, symbol) pairs a task holds before it passes them on
 SHARD_BYTES = 64 << 20
+WORD_CHUNK = 1 << 23  # bytes of text that share a list of words
 ENTRY_BYTES, CONTEXT_BYTES = 12, 24
 MIX, PAIR_MIX = 0x9E3779B97F4A7C15, 0x9E3779B1
 
@@ -88,7 +89,7 @@ def count_grams(texts: DataFrame, order: int = ORDER) -> DataFrame:
 
     def run(batches):
         held, size = [], 0
-        for b in batches:
+        for b in slices(batches):
             own = as_bytes(b.column("text"))
             for i, j in chunks(own):
                 s = pd.Series(grams([t.translate(LOWER) for t in own[i:j]], order)[0].view(np.int64)).value_counts(sort=False)
@@ -110,13 +111,10 @@ LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
 def train(texts: DataFrame, order: int = ORDER) -> tuple[list[DataFrame], list[DataFrame]]:
-    """Tables of every order 0..order: entries (key, n) and contexts (ctx, first, esc, next_den, next_esc).
+    """Tables of every order 0..order: entries (key, n) and contexts (ctx, t, d, next_t, left).
 
-    All but key and ctx are log10 values: ``first`` the denominator 2t
-    of a context that is the first tried; ``esc`` its escape; ``next_den`` and
-    ``next_esc`` denominator and escape of the context one shorter when it is
-    tried after this one, with this one's symbols excluded (null if no symbol is
-    left there, so the step is skipped).
+    t and d are a context's symbols and distinct symbols; next_t and left are those
+    of the context one shorter without the symbols that this one has seen.
     """
     entries: list[DataFrame] = [None] * (order + 1)
     entries[order] = materialise(count_grams(texts, order), "grams")
@@ -133,13 +131,10 @@ def train(texts: DataFrame, order: int = ORDER) -> tuple[list[DataFrame], list[D
                       .groupBy(F.shiftright("key", BITS).alias("ctx")).agg(F.sum("low_n").alias("e")))
             cs = contexts[o - 1].select(F.col("ctx").alias("low_ctx"), F.col("t").alias("lt"), F.col("d").alias("ld"))
             own = (own.join(shared, "ctx").withColumn("low_ctx", F.col("ctx").bitwiseAND(F.lit((1 << BITS * (o - 1)) - 1)))
-                   .join(cs, "low_ctx").withColumn("left", F.col("ld") - F.col("d"))
-                   .withColumn("den", F.when(F.col("left") > 0, F.log10(2 * (F.col("lt") - F.col("e")))))
-                   .select("ctx", "t", "d", F.col("den").alias("next_den"), (F.log10(F.when(F.col("left") > 0, F.col("left"))) - F.col("den")).alias("next_esc")))
+                   .join(cs, "low_ctx").select("ctx", "t", "d", (F.col("lt") - F.col("e")).alias("next_t"), (F.col("ld") - F.col("d")).alias("left")))
         else:
-            own = own.select("ctx", "t", "d", F.lit(None).cast("double").alias("next_den"), F.lit(None).cast("double").alias("next_esc"))
-        den = F.log10(2 * F.col("t"))
-        contexts.append(materialise(own.withColumn("first", den).withColumn("esc", F.log10("d") - den), "contexts"))
+            own = own.select("ctx", "t", "d", F.lit(0).cast("long").alias("next_t"), F.lit(0).cast("long").alias("left"))
+        contexts.append(materialise(own, "contexts"))
     return entries, contexts
 
 
@@ -151,9 +146,9 @@ class Trie:
         self.entries = [(k.view(np.uint64), v) for k, v in arrays["entries"]]
         self.contexts = [(c.view(np.uint64), *v) for c, *v in arrays["contexts"]]
         self.distinct0 = arrays["distinct0"]
-        keys, logn = self.entries[order]
-        first = self._context(order, keys >> np.uint64(BITS))[1][0] if len(keys) else np.empty(0)
-        self._table(keys, (logn - first).astype(np.float32))
+        keys, n = self.entries[order]
+        t = self._context(order, keys >> np.uint64(BITS))[1][0]
+        self._table(keys, np.log10((2 * n.astype(np.float64) - 1) / (2 * np.maximum(t, 1))).astype(np.float32))
 
     def _table(self, keys: np.ndarray, values: np.ndarray) -> None:
         self.bits = max(4, int(2 * len(keys)).bit_length())
@@ -198,7 +193,7 @@ class Trie:
     def _context(self, o: int, ctx: np.ndarray):
         table, *values = self.contexts[o]
         at, hit = self._find(table, ctx)
-        return hit, [v[at] if len(table) else np.zeros(len(ctx)) for v in values]
+        return hit, [v[at].astype(np.float64) if len(table) else np.zeros(len(ctx)) for v in values]
 
     def log10(self, keys: np.ndarray) -> np.ndarray:
         """log10 probability of each coded position; 0 for positions of other shards."""
@@ -211,22 +206,23 @@ class Trie:
         at = mine[~hit]
         key, logp = keys[at], np.zeros(len(at))
         after = np.zeros(len(at), dtype=bool)  # whether a longer context was tried
-        den, esc = np.zeros(len(at)), np.zeros(len(at))
-        seen0 = np.zeros(len(at))  # distinct symbols excluded at order 0
+        rest_t, rest_d = np.zeros(len(at)), np.zeros(len(at))  # of the context at hand without what longer ones have seen
         done = np.zeros(len(at), dtype=bool)
         for o in range(self.order, -1, -1):
             k = key & np.uint64((1 << BITS * (o + 1)) - 1)
-            known, (first, escape, next_den, next_esc) = self._context(o, k >> np.uint64(BITS))
+            known, (t, d, next_t, left) = self._context(o, k >> np.uint64(BITS))
             known &= ~done
-            d, e = np.where(after, den, first), np.where(after, esc, escape)
-            use = known & ~np.isnan(d)  # a context with no symbol left is passed without cost
+            total, new = np.where(after, rest_t, t), np.where(after, rest_d, d)
+            use = known & (new > 0)  # a context with no symbol left is passed without cost
             where, found = self._find(self.entries[o][0], k)
             found &= use
-            logp[found] += self.entries[o][1][where[found]] - d[found]
+            if found.any():
+                n = self.entries[o][1][where[found]].astype(np.float64)
+                logp[found] += np.log10((2 * n - 1) / (2 * total[found]))
             miss = use & ~found
-            logp[miss] += e[miss]
+            logp[miss] += np.log10(new[miss] / (2 * total[miss]))
             done |= found
-            den, esc = np.where(known, next_den, den), np.where(known, next_esc, esc)
+            rest_t, rest_d = np.where(known, next_t, rest_t), np.where(known, left, rest_d)
             after |= known
         rest = ~done
         logp[rest] -= np.where(after[rest], math.log10(max(1, SYMBOLS - self.distinct0)), math.log10(SYMBOLS))
@@ -257,15 +253,17 @@ def collect_shard(entries: list[DataFrame], contexts: list[DataFrame], order: in
     def column(table: pa.Table, name: str) -> np.ndarray:
         return table.column(name).to_numpy()
 
+    def narrow(x: np.ndarray) -> np.ndarray:
+        return x.astype(np.int32) if not len(x) or x.max() < 1 << 31 else x
+
     arrays: dict = {"entries": [], "contexts": []}
     for o in range(order + 1):
-        t = part(entries[o], o, F.shiftright("key", BITS)).select("key", F.log10(2 * F.col("n") - 1).cast("float").alias("n")).toArrow()
+        t = part(entries[o], o, F.shiftright("key", BITS)).select("key", "n").toArrow()
         by = np.argsort(column(t, "key"))
-        arrays["entries"].append((column(t, "key")[by], column(t, "n")[by]))
-        names = ["first", "esc", "next_den", "next_esc"]
-        t = part(contexts[o], o, F.col("ctx")).select("ctx", *[F.col(n).cast("float") for n in names]).toArrow()
+        arrays["entries"].append((column(t, "key")[by], narrow(column(t, "n")[by])))
+        t = part(contexts[o], o, F.col("ctx")).select("ctx", "t", "d", "next_t", "left").toArrow()
         by = np.argsort(column(t, "ctx"))
-        arrays["contexts"].append((column(t, "ctx")[by], *[column(t, n).astype(np.float32)[by] for n in names]))
+        arrays["contexts"].append((column(t, "ctx")[by], *[narrow(column(t, n)[by]) for n in ("t", "d", "next_t", "left")]))
     arrays["distinct0"] = len(arrays["entries"][0][0])
     return arrays
 
@@ -309,13 +307,13 @@ def score_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     entries, contexts = train(src.where("not held_out"), order)
     shards = plan_shards(entries, contexts)
     trie, _ = share(spark, entries, contexts, order, 0, shards)
-    table = materialise(_tokenised(src, trie), "token-chunks")
-    words = table.select("chunk", F.posexplode(F.arrays_zip("words", "trained")).alias("at", "w")).select("chunk", "at", "w.words", "w.trained")
-    totals = materialise(words.groupBy("words").agg(F.sum("trained").alias("c")), "word-counts")
-    n, v = totals.agg(F.sum("c"), F.count_if(F.col("c") > 0)).first()
+    buckets = partitions(spark)
+    table = materialise(_tokenised(src, trie, buckets), "token-chunks")
+    totals = materialise(_word_totals(table, buckets), "word-counts")
+    n, v = totals.where("bucket < 0").agg(F.sum("n"), F.sum("v")).first()
     n, v = n or 0, v or 0
-    counts = words.select("chunk", "at", "words").join(totals, "words").select(F.col("chunk").alias("of"), "at", "c")
-    base = table.drop("words", "trained").groupBy("chunk").cogroup(counts.groupBy("of")).applyInArrow(
+    counts = totals.where("bucket >= 0").select(F.col("chunk").alias("of"), "bucket", "counts")
+    base = table.drop("hashes", "trained").groupBy("chunk").cogroup(counts.groupBy("of")).applyInArrow(
         _base_scores, "id string, held_out boolean, text_hash long, n_tokens long, n_known long, log_sum double, score double")
     out = base.select(F.col("id").cast(dict(src.dtypes)["id"]).alias("id"), "held_out", "text_hash", "n_tokens", "n_known",
                       F.lit(n).cast("long").alias("train_tokens"),
@@ -325,48 +323,116 @@ def score_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return out.drop("text_hash").withColumnRenamed("id", id_col)
 
 
-def _tokenised(src: DataFrame, trie) -> DataFrame:
-    """Rows of about ``CHUNK`` bytes of text: documents as numbers into the row's own list of words."""
+def _tokenised(src: DataFrame, trie, buckets: int) -> DataFrame:
+    """Rows of about ``WORD_CHUNK`` bytes of text.
+
+    A row has its documents, their scores, and each document's words as sorted
+    numbers into the row's list of distinct words (uint16 steps, uint8 times).
+    The list itself, hashes in order and training counts, is cut by the hash in
+    ``buckets`` parts.  Words are told apart by 64-bit hashes.
+    """
+    schema = ("chunk long, id array<string>, held_out array<boolean>, text_hash array<long>, score array<double>, first array<long>, "
+              "steps binary, times binary, hashes array<binary>, trained array<binary>")
     out = pa.schema([("chunk", pa.int64()), ("id", pa.list_(pa.string())), ("held_out", pa.list_(pa.bool_())), ("text_hash", pa.list_(pa.int64())),
-                     ("score", pa.list_(pa.float64())), ("first", pa.list_(pa.int64())), ("word", pa.binary()), ("times", pa.binary()),
-                     ("words", pa.list_(pa.binary())), ("trained", pa.list_(pa.int64()))])
+                     ("score", pa.list_(pa.float64())), ("first", pa.list_(pa.int64())), ("steps", pa.binary()), ("times", pa.binary()),
+                     ("hashes", pa.list_(pa.binary())), ("trained", pa.list_(pa.binary()))])
 
     def run(batches):
         serial, task = 0, TaskContext.get().partitionId() << 32
-        for b in batches:
+        number: dict[bytes, int] = {b" ": 0}  # the end token: no word holds a space
+        docs: list[tuple] = []
+        tokens: list[np.ndarray] = []
+        size = 0
+
+        def flush():
+            known, inverse = np.unique(np.fromiter(map(xxh3_64_intdigest, number), dtype=np.uint64, count=len(number)), return_inverse=True)
+            lengths = np.array([len(t) for t in tokens])
+            held = np.array([d[1] for d in docs], dtype=bool)
+            word = inverse[np.concatenate(tokens)]
+            own = np.repeat(np.arange(len(docs), dtype=np.int64), lengths)
+            trained = np.bincount(word[~held[own]], minlength=len(known)).astype("<u4")
+            cell, times = np.unique(own << 32 | word, return_counts=True)
+            own, word = cell >> 32, cell & 0xFFFFFFFF
+            steps, times, first = _packed(own, word, times, len(docs))
+            edge = np.searchsorted(known, (np.arange(1, buckets, dtype=object) * 2**64 // buckets).astype(np.uint64))
+            ids, held, hashes, scores = map(list, zip(*docs))
+            return batch(out, [task + serial], [ids], [held], [hashes], [scores], [first.tolist()], [steps.tobytes()], [times.tobytes()],
+                         [[x.astype("<u8").tobytes() for x in np.split(known, edge)]], [[x.tobytes() for x in np.split(trained, edge)]])
+
+        for b in slices(batches):
             texts = [t.translate(LOWER) for t in as_bytes(b.column("text"))]
-            ids, held, hashes = (b.column(c).to_pylist() for c in ("id", "held_out", "text_hash"))
-            for i, j in chunks(texts):
-                number: dict[bytes, int] = {b" ": 0}  # the end token: no word holds a space
-                flat, times, first = [], [], [0]
-                for t in texts[i:j]:
-                    own = np.fromiter((number.setdefault(w, len(number)) for w in t.split()), dtype=np.int32)
-                    w, k = np.unique(np.r_[own, np.int32(0)], return_counts=True)
-                    flat.append(w)
-                    times.append(k)
-                    first.append(first[-1] + len(w))
-                word, k = np.concatenate(flat).astype("<i4"), np.concatenate(times).astype("<i4")
-                train = np.repeat(~np.array(held[i:j], dtype=bool), np.diff(first))
-                trained = np.bincount(word[train], weights=k[train], minlength=len(number)).astype(np.int64)
-                yield batch(out, [task + serial], [ids[i:j]], [held[i:j]], [hashes[i:j]], [trie().scores(texts[i:j]).tolist()],
-                            [first], [word.tobytes()], [k.tobytes()], [list(number)], [trained.tolist()])
-                serial += 1
-
-    return src.withColumn("id", F.col("id").cast("string")).select("id", "held_out", "text_hash", "text").mapInArrow(
-        run, "chunk long, id array<string>, held_out array<boolean>, text_hash array<long>, score array<double>, first array<long>, "
-        "word binary, times binary, words array<binary>, trained array<long>")
+            docs += zip(*(b.column(c).to_pylist() for c in ("id", "held_out", "text_hash")), trie().scores(texts).tolist())
+            for t in texts:
+                own = np.fromiter((number.setdefault(w, len(number)) for w in t.split()), dtype=np.int32)
+                tokens.append(np.r_[own, np.int32(0)])
+                size += len(t)
+            if size > WORD_CHUNK:
+                yield flush()
+                serial, number, docs, tokens, size = serial + 1, {b" ": 0}, [], [], 0
+        if docs:
+            yield flush()
+
+    return src.withColumn("id", F.col("id").cast("string")).select("id", "held_out", "text_hash", "text").mapInArrow(run, schema)
+
+
+def _packed(own: np.ndarray, word: np.ndarray, times: np.ndarray, n_docs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(uint16 steps from word to word of a document, uint8 times, first cell of each document and the end).
+
+    A step or number of times beyond its type is spread over several cells; cells of no times only step.
+    """
+    step = np.where(np.r_[True, own[1:] != own[:-1]], word, np.diff(word, prepend=0))
+    far, many = step // 0xFFFF, (np.maximum(times, 1) - 1) // 0xFF
+    cells = 1 + far + many
+    at = np.cumsum(cells) - cells
+    steps, out = np.zeros(int(cells.sum()), dtype="<u2"), np.zeros(int(cells.sum()), dtype=np.uint8)
+    for k in np.flatnonzero(far):
+        steps[at[k]:at[k] + far[k]] = 0xFFFF
+    steps[at + far] = step % 0xFFFF
+    out[at + far] = times - 255 * many
+    for k in np.flatnonzero(many):
+        out[at[k] + far[k] + 1:at[k] + cells[k]] = 255
+    first = np.r_[np.searchsorted(own, np.arange(n_docs)), len(own)]
+    return steps, out, np.r_[at, len(steps)][first]
+
+
+def _word_totals(table: DataFrame, buckets: int) -> DataFrame:
+    """Rows (chunk, bucket, counts): training counts over the corpus of the words of a part of a list, in its order;
+    and one row of each bucket with bucket -1: n training tokens, v distinct words of them."""
+    parts = table.select("chunk", F.posexplode(F.arrays_zip("hashes", "trained")).alias("bucket", "w")).select("chunk", "bucket", "w.hashes", "w.trained")
+    out = pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("counts", pa.binary()), ("n", pa.int64()), ("v", pa.int64())])
+
+    def run(batches):
+        rows = [(c, k, np.frombuffer(h, "<u8"), np.frombuffer(t, "<u4")) for b in batches
+                for c, k, h, t in zip(*(b.column(x).to_pylist() for x in ("chunk", "bucket", "hashes", "trained")))]
+        if not rows:
+            return
+        known, inverse = np.unique(np.concatenate([r[2] for r in rows]), return_inverse=True)
+        total = np.bincount(inverse, weights=np.concatenate([r[3] for r in rows]), minlength=len(known)).astype(np.int64)
+        yield batch(out, [-1], [-1], [b""], [int(total.sum())], [int((total > 0).sum())])
+        at = 0
+        for c, k, h, _ in rows:
+            yield batch(out, [c], [k], [total[inverse[at:at + len(h)]].astype("<i8").tobytes()], [0], [0])
+            at += len(h)
+
+    return parts.repartition(buckets, "bucket").mapInArrow(run, "chunk long, bucket int, counts binary, n long, v long")
 
 
 def _base_scores(chunk: pa.Table, counts: pa.Table) -> pa.Table:
     names = ["id", "held_out", "text_hash", "n_tokens", "n_known", "log_sum", "score"]
     types = [pa.string(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-    r = chunk.to_pylist()[0] if chunk.num_rows else {n: [] for n in [*names, "first"]} | {"word": b"", "times": b""}
-    c = np.zeros(counts.num_rows)
-    c[counts.column("at").to_numpy()] = counts.column("c").to_numpy()
-    word, times = np.frombuffer(r["word"], "<i4"), np.frombuffer(r["times"], "<i4").astype(np.int64)
-    cells = np.stack([times, times * (c[word] > 0), times * np.log10(c[word] + 0.5)]) if len(word) else np.zeros((3, 0))
-    sums = np.stack([cells[:, a:b].sum(1) for a, b in pairwise(r["first"])], axis=1) if r["id"] else np.zeros((3, 0))
-    columns = [r["id"], r["held_out"], r["text_hash"], sums[0].astype(np.int64), sums[1].astype(np.int64), sums[2], r["score"]]
+    columns: list = [[] for _ in names]
+    if chunk.num_rows:
+        r = chunk.to_pylist()[0]
+        by = sorted(zip(counts.column("bucket").to_pylist(), counts.column("counts").to_pylist()))
+        c = np.frombuffer(b"".join(x for _, x in by), "<i8")
+        first, times = np.array(r["first"]), np.frombuffer(r["times"], np.uint8).astype(np.int64)
+        walk = np.cumsum(np.frombuffer(r["steps"], "<u2").astype(np.int64))
+        begin = np.r_[0, walk][first[:-1]]
+        word = walk - np.repeat(begin, np.diff(first))
+        seen = c[np.minimum(word, len(c) - 1)]
+        cells = np.stack([times, times * (seen > 0), times * np.log10(seen + 0.5)])
+        sums = np.add.reduceat(cells, first[:-1], axis=1)  # every document has its end token
+        columns = [r["id"], r["held_out"], r["text_hash"], sums[0].astype(np.int64), sums[1].astype(np.int64), sums[2], r["score"]]
     return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(columns, types)], names=names)
 
 
@@ -375,7 +441,7 @@ def _add_shard(spark: SparkSession, src: DataFrame, out: DataFrame, entries, con
     schema = pa.schema([("text_hash", pa.int64()), ("more", pa.float64())])
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             texts = [t.translate(LOWER) for t in as_bytes(b.column("text"))]
             yield batch(schema, b.column("text_hash"), trie().scores(texts))
 

@@ -23,7 +23,7 @@ from churnkit.llm.common import as_bytes, batch, fresh, materialise, text_of
 FIT_ROWS = 4096
 DIMS = 1 << 12  # hashed byte trigrams; DIMS and DIMS + 1 are the share of repeated words and of repeated lines
 #: a labeller votes bad on at most this share of good documents
-MAX_ERROR = 0.001
+MAX_ERROR = 0.0002
 ABSTAIN, BAD, GOOD = 0, 1, 2
 #: very common words of English, French, German and Spanish (fixed values)
 COMMON = frozenset(b"the of and to in is that a de la le les et un une des en der die das und ist zu el los las que y por con es".split())
