@@ -250,7 +250,8 @@ def _ordered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _find_blocks(docs: DataFrame, length: int, k: int, buckets: int, hot: np.ndarray) -> DataFrame:
-    """Rows (bucket, g, h, ord, block, done): done blocks repeat an earlier one of the same batch."""
+    """Rows (bucket, g, h, ord, block, done): done blocks repeat an earlier one of the same batch; nothing more
+    needs to be known of them, so they are dealt out evenly."""
     out = pa.schema([("bucket", pa.int32()), ("g", pa.int64()), ("h", pa.int64()), ("ord", pa.int64()), ("block", pa.int64()), ("done", pa.bool_())])
 
     def groups(rows: list[tuple[int, bytes]]):
@@ -286,7 +287,9 @@ def _find_blocks(docs: DataFrame, length: int, k: int, buckets: int, hot: np.nda
             done = np.zeros(len(g), dtype=bool)
             done[order] = repeat
             salt = np.where(np.isin(g, hot), h % np.uint64(SPREAD), np.uint64(0)) if len(hot) else np.uint64(0)
-            bucket = (mixed(g + salt * np.uint64(0xA0761D6478BD642F)) % np.uint64(buckets)).astype(np.int32)
+            place = mixed(g + salt * np.uint64(0xA0761D6478BD642F))
+            place[done] = mixed(o[done].view(np.uint64) ^ block[done].view(np.uint64) * np.uint64(0xA0761D6478BD642F))  # settled: anywhere
+            bucket = (place % np.uint64(buckets)).astype(np.int32)
             for at in range(0, len(g), 1 << 16):
                 z = slice(at, at + (1 << 16))
                 yield batch(out, bucket[z], g[z].view(np.int64), h[z].view(np.int64), o[z], block[z], done[z])
@@ -314,21 +317,27 @@ def _marks(docs: DataFrame, length: int, k: int) -> DataFrame:
         if not len(g):
             return
         done = done.astype(bool)
-        order = np.lexsort((block, o, h, g))
-        g, h, o, block, done = g[order], h[order], o[order], block[order], done[order]
-        new_g = np.r_[True, g[1:] != g[:-1]]
-        first = new_g | np.r_[True, h[1:] != h[:-1]]
-        first &= ~done | first  # an earliest block is never a repeat of its batch
-        number = np.cumsum(new_g) - 1
-        several = (np.bincount(number[first], minlength=number[-1] + 1) > 1)[number]
-        if len(hot):
-            several |= np.isin(g.view(np.uint64), hot)
-        for keep, flag in ((~first, True), (first & several, False)):
-            at = np.flatnonzero(keep)
+
+        def rows_of(at: np.ndarray, flag: bool):
             for i in range(0, len(at), 1 << 16):
                 z = at[i:i + (1 << 16)]
                 yield batch(out, g[z], o[z], block[z], np.full(len(z), flag))
 
+        yield from rows_of(np.flatnonzero(done), True)
+        live = np.flatnonzero(~done)
+        order = live[np.lexsort((block[live], o[live], h[live], g[live]))]
+        if not len(order):
+            return
+        gs, hs = g[order], h[order]
+        new_g = np.r_[True, gs[1:] != gs[:-1]]
+        first = new_g | np.r_[True, hs[1:] != hs[:-1]]
+        number = np.cumsum(new_g) - 1
+        several = (np.bincount(number[first], minlength=number[-1] + 1) > 1)[number]
+        if len(hot):
+            several |= np.isin(gs.view(np.uint64), hot)
+        yield from rows_of(order[~first], True)
+        yield from rows_of(order[first & several], False)
+
     marked = materialise(found.mapInArrow(collapse, "g long, ord long, block long, done boolean"), "blocks")
     start = F.shiftright("block", 2 * FIELD).alias("start")
     windows = F.shiftright("block", FIELD).bitwiseAND(F.lit((1 << FIELD) - 1)).cast("int").alias("windows")
