@@ -64,7 +64,6 @@ LABELS = {
     "HomeownershipKnown": "Imovel proprio informado",
     "MissingBillingInfo": "Sem dados de fatura",
     "ServiceAreaFreq": "Porte da area de servico",
-    "MonthsInService_x": "Meses de contrato",
     "NewCellphoneUser": "Usuario novo de celular",
     "NotNewCellphoneUser": "Usuario experiente de celular",
     "BuysViaMailOrder": "Compra por catalogo",

@@ -72,25 +72,30 @@ def running_sums(df: DataFrame, index_col: str, value_cols: Sequence[str],
                  suffix: str = "_cum", chunk: int = 4096) -> DataFrame:
     """Inclusive prefix sums along a dense integer ``index_col``.
 
-    Rows are grouped into chunks of ``chunk`` consecutive indexes; each chunk
-    is a window partition, and the chunk totals (one row per chunk) give the
-    offsets.
+    Rows are grouped into chunks of ``chunk`` consecutive indexes; each chunk is a
+    window partition.  The chunk totals, one row per chunk, are summed the same
+    way, level by level, until one chunk holds them all; so no task sums more
+    than ``chunk`` rows and nothing is broadcast that grows with the data.
     """
-    ck = F.floor(F.col(index_col) / F.lit(chunk)).alias("_ck_chunk")
-    base = df.withColumn("_ck_chunk", ck)
-    wl = (Window.partitionBy("_ck_chunk").orderBy(index_col)
+    top = df.agg(F.max(index_col)).first()[0]
+    return _running(df, index_col, list(value_cols), suffix, chunk, 0 if top is None else int(top), 0)
+
+
+def _running(df: DataFrame, index_col: str, value_cols: list[str], suffix: str, chunk: int, top: int, level: int) -> DataFrame:
+    part, of, off = f"_ck_chunk{level}", f"_ck_of{level}", f"_ck_off{level}_"
+    base = df.withColumn(part, F.floor(F.col(index_col) / F.lit(chunk)))
+    wl = (Window.partitionBy(part).orderBy(index_col)
                 .rowsBetween(Window.unboundedPreceding, 0))
-    local = base.select("*", *[F.sum(c).over(wl).alias(f"_ck_l_{c}") for c in value_cols])
-    totals = base.groupBy("_ck_chunk").agg(*[F.sum(c).alias(f"_ck_t_{c}") for c in value_cols])
-    wo = Window.orderBy("_ck_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    offs = totals.select("_ck_chunk", *[
-        F.coalesce(F.sum(f"_ck_t_{c}").over(wo), F.lit(0)).alias(f"_ck_o_{c}")
-        for c in value_cols])
-    out = local.join(F.broadcast(offs), "_ck_chunk")
+    local = base.select("*", *[F.sum(c).over(wl).alias(f"{c}{suffix}") for c in value_cols])
+    if top < chunk:  # one chunk holds every index
+        return local.drop(part)
+    totals = base.groupBy(F.col(part).alias(of)).agg(*[F.sum(c).alias(c) for c in value_cols])
+    before = _running(totals, of, value_cols, "_ck_sum", chunk, top // chunk, level + 1)
+    before = before.select(of, *[(F.col(f"{c}_ck_sum") - F.col(c)).alias(off + c) for c in value_cols])
+    out = local.join(before, F.col(part) == F.col(of))
     for c in value_cols:
-        out = out.withColumn(f"{c}{suffix}", F.col(f"_ck_l_{c}") + F.col(f"_ck_o_{c}"))
-    drop = ["_ck_chunk"] + [f"_ck_l_{c}" for c in value_cols] + [f"_ck_o_{c}" for c in value_cols]
-    return out.drop(*drop)
+        out = out.withColumn(f"{c}{suffix}", F.col(f"{c}{suffix}") + F.col(off + c))
+    return out.drop(part, of, *[off + c for c in value_cols])
 
 
 def trailing_sums(df: DataFrame, index_col: str, value_cols: Sequence[str],

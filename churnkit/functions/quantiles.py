@@ -1,10 +1,13 @@
 """Exact quantiles (linear interpolation) by distributed selection.
 
 Spark's exact ``percentile`` keeps every distinct value of a column in one
-final task.  Here each column is narrowed to a bracket around the wanted
-ranks with ``percentile_approx`` and two counting passes, and only the
-bracket (at most ``max_bracket`` values) is sorted in one task.  The result
-is exact: the same value as ``quantile_cont`` / ``pandas.Series.quantile``.
+final task.  Here each wanted rank is enclosed between two values of
+``percentile_approx``; one counting pass says how many rows lie below, on and
+between them.  A rank that falls on an end is that value, however many rows
+hold it; any other lies strictly between, and the next round works on these
+rows only.  When at most ``max_bracket`` rows are left between, their distinct
+values are read.  The result is exact: the same value as ``quantile_cont`` /
+``pandas.Series.quantile``.
 """
 
 from __future__ import annotations
@@ -16,130 +19,132 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def _ranks(n: int, qs: Sequence[float]) -> list[tuple[int, int, float]]:
-    out = []
-    for q in qs:
-        h = (n - 1) * float(q)
-        lo = math.floor(h)
-        out.append((lo, math.ceil(h), h - lo))
-    return out
+class _Rank:
+    """One wanted rank (0-based) of one column; the value is above lo and below hi until it is known."""
+
+    def __init__(self, col: str, rank: int, n: int):
+        self.col, self.rank = col, rank
+        self.lo = self.hi = None
+        self.below, self.inside = 0, n
+        self.value: float | None = None
+
+    def between(self):
+        c = F.col(self.col)
+        cond = c.isNotNull()
+        if self.lo is not None:
+            cond = cond & (c > F.lit(self.lo))
+        if self.hi is not None:
+            cond = cond & (c < F.lit(self.hi))
+        return cond
+
+
+def _narrow(df: DataFrame, todo: list[_Rank], accuracy: int) -> None:
+    """One round: two passes over the rows, for all ranks together."""
+    asks = []
+    for k, r in enumerate(todo):
+        m = max(4.0 / accuracy, 2.0 / r.inside)
+        p = (r.rank - r.below + 0.5) / r.inside
+        shares = F.array(F.lit(max(0.0, p - m)), F.lit(min(1.0, p + m)))
+        asks.append(F.percentile_approx(F.when(r.between(), F.col(r.col)), shares, accuracy).alias(f"a{k}"))
+    ends = df.agg(*asks).first()
+    counts = []
+    for k, r in enumerate(todo):
+        (lo, hi), c = ends[f"a{k}"], F.col(r.col)
+        inside = r.between()
+        counts += [F.count_if(inside & (c < F.lit(lo))).alias(f"b{k}"), F.count_if(inside & (c == F.lit(lo))).alias(f"l{k}"),
+                   F.count_if(inside & (c > F.lit(lo)) & (c < F.lit(hi))).alias(f"m{k}"),
+                   F.count_if(inside & (c == F.lit(hi))).alias(f"h{k}")]
+    got = df.agg(*counts).first()
+    for k, r in enumerate(todo):
+        (lo, hi), at = ends[f"a{k}"], r.rank - r.below
+        below, on_lo, mid, on_hi = (int(got[f"{x}{k}"]) for x in "blmh")
+        if lo == hi:
+            on_hi = 0
+        if at < below:  # the approximation missed the rank on this side
+            r.hi, r.inside = lo, below
+        elif at < below + on_lo:
+            r.value = float(lo)
+        elif at < below + on_lo + mid:
+            r.lo, r.hi, r.below, r.inside = lo, hi, r.below + below + on_lo, mid
+        elif at < below + on_lo + mid + on_hi:
+            r.value = float(hi)
+        else:
+            r.lo, r.below, r.inside = hi, r.below + below + on_lo + mid + on_hi, r.inside - below - on_lo - mid - on_hi
+
+
+def _read(df: DataFrame, small: list[_Rank]) -> None:
+    """Distinct values (with counts) strictly inside the brackets of ranks that have few rows left."""
+    held = F.array(*[F.when(r.between(), F.struct(F.lit(k).alias("k"), F.col(r.col).cast("double").alias("v")))
+                     for k, r in enumerate(small)])
+    rows = (df.select(F.explode(F.filter(held, lambda x: x.isNotNull())).alias("x")).groupBy("x.k", "x.v").count().collect())
+    by: dict[int, list] = {}
+    for k, v, n in sorted((r["k"], r["v"], r["count"]) for r in rows):
+        by.setdefault(k, []).append((v, n))
+    for k, r in enumerate(small):
+        at = r.rank - r.below
+        for v, n in by[k]:
+            if at < n:
+                r.value = v
+                break
+            at -= n
 
 
-def exact_quantiles(df: DataFrame, spec: Mapping[str, Sequence[float]],
-                    max_bracket: int = 200_000, accuracy: int = 20_000,
-                    max_rounds: int = 8, extra_aggs: Sequence = (),
-                    extra_out: dict | None = None,
-                    n_rows: int | None = None) -> dict[str, list[float | None]]:
+def exact_quantiles(df: DataFrame, spec: Mapping[str, Sequence[float]], max_bracket: int = 1024, accuracy: int = 20_000,
+                    extra_aggs: Sequence = (), extra_out: dict | None = None) -> dict[str, list[float | None]]:
     """Return ``{column: [quantile value per q]}``; ``None`` for an all-null column.
 
-    Nulls are ignored (as in pandas).  Work per column: one count pass, then
-    narrowing rounds (two passes each, only while more than ``max_bracket``
-    values remain), then one pass that sorts the bracket.  All columns share
-    the passes.  ``extra_aggs`` (bounded aggregates of the caller) ride along
-    in the first pass; their values are put in ``extra_out``.  When the
-    caller knows the row count ``n_rows`` and it is within ``max_bracket``,
-    the columns are sorted whole in a single pass.
+    Nulls are ignored (as in pandas).  One path at all sizes: a count pass, at
+    least one narrowing round of two passes, a pass that reads the values left
+    and one for the values to interpolate with; every pass serves all columns and is a plain aggregate.  A round leaves
+    about ``8 / accuracy`` of the rows it starts with, whatever values repeat, so
+    the rounds grow with the logarithm of the rows.  At most ``max_bracket``
+    values of a rank reach the driver.  ``extra_aggs`` (bounded aggregates of the
+    caller) ride along in the first pass; their values are put in ``extra_out``.
     """
     cols = list(spec)
-    if n_rows is not None and n_rows <= max_bracket and cols:
-        row = df.agg(*[F.array_sort(F.collect_list(F.col(c))).alias(f"arr_{i}") for i, c in enumerate(cols)],
-                     *extra_aggs).first()
-        if extra_out is not None:
-            extra_out.update(row.asDict())
-        out: dict[str, list[float | None]] = {}
-        for i, c in enumerate(cols):
-            vals = row[f"arr_{i}"]
-            n = len(vals)
-            if n == 0:
-                out[c] = [None for _ in spec[c]]
-                continue
-            res = []
-            for lo, hi, frac in _ranks(n, spec[c]):
-                a, b = float(vals[lo]), float(vals[hi])
-                res.append(a if hi == lo else a + (b - a) * frac)
-            out[c] = res
-        return out
-    counts = df.agg(*[F.count(F.col(c)).alias(f"n{i}") for i, c in enumerate(cols)], *extra_aggs).first()
+    counts = df.agg(F.count(F.lit(1)), *[F.count(F.col(c)).alias(f"n{i}") for i, c in enumerate(cols)], *extra_aggs).first()
     if extra_out is not None:
         extra_out.update(counts.asDict())
-    if not cols:
-        return {}
-    st = {}
+    ranks: dict[tuple[str, int], _Rank] = {}
     for i, c in enumerate(cols):
         n = int(counts[f"n{i}"])
-        st[c] = {"n": n, "lo": None, "hi": None, "below": 0, "inside": n,
-                 "done": n == 0, "vals": None, "margin": 4.0 / accuracy}
-
-    def in_bracket(c):
-        s = st[c]
-        cond = F.col(c).isNotNull()
-        if s["lo"] is not None:
-            cond = cond & (F.col(c) >= F.lit(s["lo"]))
-        if s["hi"] is not None:
-            cond = cond & (F.col(c) <= F.lit(s["hi"]))
-        return cond
-
-    for rnd in range(max_rounds):
-        todo = [c for c in cols if not st[c]["done"]]
-        if not todo:
-            break
-        last = rnd == max_rounds - 1
-        small = [c for c in todo
-                 if st[c]["inside"] <= max_bracket or st[c].get("force") or last]
-        large = [c for c in todo if c not in small]
-        aggs = []
-        for c in small:
-            aggs.append(F.array_sort(F.collect_list(F.when(in_bracket(c), F.col(c))))
-                        .alias(f"arr_{cols.index(c)}"))
-        for c in large:
-            s = st[c]
-            rs = [r for lo, hi, _ in _ranks(s["n"], spec[c]) for r in (lo, hi)]
-            p_lo = max(0.0, (min(rs) - s["below"]) / s["inside"] - s["margin"])
-            p_hi = min(1.0, (max(rs) - s["below"] + 1) / s["inside"] + s["margin"])
-            aggs.append(F.percentile_approx(F.when(in_bracket(c), F.col(c)),
-                                            F.array(F.lit(p_lo), F.lit(p_hi)), accuracy)
-                        .alias(f"pa_{cols.index(c)}"))
-        row = df.agg(*aggs).first()
-        for c in small:
-            st[c]["vals"] = list(row[f"arr_{cols.index(c)}"])
-            st[c]["done"] = True
+        for q in spec[c] if n else ():
+            r = math.floor((n - 1) * float(q))
+            ranks.setdefault((c, r), _Rank(c, r, n))
+    todo, first = list(ranks.values()), True
+    while todo:
+        large = [r for r in todo if first or r.inside > max_bracket]
+        small = [r for r in todo if not first and r.inside <= max_bracket]
+        if small:
+            _read(df, small)
         if large:
-            cand = {c: row[f"pa_{cols.index(c)}"] for c in large}
-            cnt_aggs = []
-            for c in large:
-                lo, hi = cand[c]
-                i = cols.index(c)
-                cnt_aggs += [F.count_if(F.col(c) < F.lit(lo)).alias(f"b{i}"),
-                             F.count_if((F.col(c) >= F.lit(lo)) & (F.col(c) <= F.lit(hi))).alias(f"m{i}")]
-            crow = df.agg(*cnt_aggs).first()
-            for c in large:
-                s, i = st[c], cols.index(c)
-                below, inside = int(crow[f"b{i}"]), int(crow[f"m{i}"])
-                rs = [r for lo, hi, _ in _ranks(s["n"], spec[c]) for r in (lo, hi)]
-                if below <= min(rs) and max(rs) < below + inside and inside < s["inside"]:
-                    s["lo"], s["hi"] = cand[c]
-                    s["below"], s["inside"] = below, inside
-                else:
-                    s["margin"] *= 4
-                    if s["margin"] >= 0.5:
-                        s["force"] = True  # sort the last verified bracket as it is
+            _narrow(df, large, accuracy)
+        todo, first = [r for r in todo if r.value is None], False
+    after = _following(df, [(c, r) for (c, r) in ranks if any((counts[f"n{cols.index(c)}"] - 1) * float(q) % 1 for q in spec[c])], ranks)
     out: dict[str, list[float | None]] = {}
-    for c in cols:
-        s = st[c]
-        if s["n"] == 0:
-            out[c] = [None for _ in spec[c]]
-            continue
-        if s["vals"] is None:
-            raise RuntimeError(f"quantile selection did not converge for {c}")
-        res = []
-        for lo, hi, frac in _ranks(s["n"], spec[c]):
-            a = float(s["vals"][lo - s["below"]])
-            b = float(s["vals"][hi - s["below"]])
-            res.append(a if hi == lo else a + (b - a) * frac)
-        out[c] = res
+    for i, c in enumerate(cols):
+        n = int(counts[f"n{i}"])
+        out[c] = []
+        for q in spec[c]:
+            h = (n - 1) * float(q)
+            a = ranks[c, math.floor(h)].value if n else None
+            out[c].append(a if not n or h == math.floor(h) else a + (after[c, math.floor(h)] - a) * (h - math.floor(h)))
     return out
 
 
+def _following(df: DataFrame, wanted: list[tuple[str, int]], ranks: dict[tuple[str, int], _Rank]) -> dict[tuple[str, int], float]:
+    """The value one rank further on, in one pass: the same value while rows of it are left, else the next larger one."""
+    if not wanted:
+        return {}
+    asks = []
+    for k, (c, r) in enumerate(wanted):
+        x, v = F.col(c), F.lit(ranks[c, r].value)
+        asks += [F.count_if(x <= v).alias(f"n{k}"), F.min(F.when(x > v, x)).alias(f"v{k}")]
+    got = df.agg(*asks).first()
+    return {(c, r): ranks[c, r].value if r + 1 < got[f"n{k}"] or got[f"v{k}"] is None else float(got[f"v{k}"])
+            for k, (c, r) in enumerate(wanted)}
+
+
 def approx_quantiles(df: DataFrame, spec: Mapping[str, Sequence[float]],
                      accuracy: int = 10_000) -> dict[str, list[float | None]]:
     """One pass of ``percentile_approx`` per column (bounded memory, rank error 1/accuracy)."""

@@ -37,7 +37,7 @@ def test_index_within_equals_partitioned_row_number(frame):
 def test_running_and_trailing_sums(spark):
     rows = [(i, i % 7, (i * 3) % 5) for i in range(1000)]
     df = spark.createDataFrame(rows, "k long, a long, b long")
-    got = running_sums(df, "k", ["a", "b"], chunk=37).orderBy("k").collect()
+    got = running_sums(df, "k", ["a", "b"], chunk=7).orderBy("k").collect()  # four levels of chunks
     ca = np.cumsum([r[1] for r in rows])
     cb = np.cumsum([r[2] for r in rows])
     assert [r["a_cum"] for r in got] == list(ca)
@@ -63,11 +63,24 @@ def test_exact_quantiles_matches_pandas_median(spark):
     assert exact_quantiles(df, {"x": [0.5]})["x"][0] == pd.Series(vals).median()
 
 
-def test_single_pass_with_known_row_count(frame):
-    qs = [0.1, 0.5, 0.75]
-    two = exact_quantiles(frame, {"x": qs})
-    one = exact_quantiles(frame, {"x": qs}, n_rows=frame.count())
-    assert one == two
+def test_quantiles_with_a_hot_value(spark, monkeypatch):
+    """A value that holds a third of the rows: no array reaches the driver, passes stay few."""
+    from churnkit.functions import quantiles as qt
+    n = 90_000
+    df = spark.range(n).selectExpr("case when id % 3 = 0 then 7.0 else cast((id * 7919) % 10007 as double) / 100 end as x").persist()
+    xs = np.sort(df.toPandas()["x"].to_numpy())
+    read, rounds = [], []
+    one, two = qt._read, qt._narrow
+    monkeypatch.setattr(qt, "_read", lambda d, small: (read.extend(r.inside for r in small), one(d, small)))
+    monkeypatch.setattr(qt, "_narrow", lambda d, todo, acc: (rounds.append(len(todo)), two(d, todo, acc)))
+    for qs in ([0.0, 0.02, 0.069, 0.07, 0.2, 0.35, 0.402, 0.41, 0.9, 1.0], [0.5], [1 / 3]):
+        read.clear()
+        rounds.clear()
+        got = exact_quantiles(df, {"x": qs}, max_bracket=50, accuracy=500)["x"]
+        assert np.allclose(got, np.quantile(xs, qs), rtol=0, atol=1e-12)
+        assert all(r <= 50 for r in read) and len(rounds) <= 6
+    source = __import__("inspect").getsource(qt)
+    assert "collect_list" not in source and "n_rows" not in source
 
 
 def test_global_index_is_stable_when_recomputed(frame):
