@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from churnkit.functions.columns import fixed, safe_div
-from churnkit.functions.ordering import global_index
+from churnkit.functions.ordering import global_index, running_sums
 
 BP = 10_000
 # Fixed values of the reference evaluation.
@@ -184,6 +184,26 @@ def average_precision(sc: DataFrame) -> DataFrame:
     return cum.agg(F.sum(term).alias("average_precision"))
 
 
+def exact_metrics(scores: DataFrame, t: float = 0.5, prob: str = "prob_churn", label: str = "churn_real") -> dict[str, float]:
+    """recall, precision, F1 at t, AUC-ROC and average precision of raw scores (not cut to basis points).
+
+    Distinct scores are numbered from the highest down and summed level by level
+    (``running_sums``), so there is no one-task window; only sums reach the driver.
+    """
+    y = F.col(label)
+    each = scores.groupBy(F.col(prob).alias("p")).agg(F.count_if(y == 1).alias("pos"), F.count_if(y != 1).alias("neg"))
+    cum = running_sums(global_index(each, [F.desc("p")], "i"), "i", ["pos", "neg"], suffix="_cum")
+    s = cum.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"),
+                F.sum(F.col("pos") * F.col("pos_cum") / (F.col("pos_cum") + F.col("neg_cum"))).alias("ap"),
+                F.sum(F.col("neg") * (F.col("pos_cum") - F.col("pos") / 2.0)).alias("area"),
+                F.sum(F.when(F.col("p") >= t, F.col("pos")).otherwise(0)).alias("tp"),
+                F.sum(F.when(F.col("p") >= t, F.col("neg")).otherwise(0)).alias("fp")).first()
+    pos, neg, tp, fp = (float(s[c] or 0) for c in ("P", "N", "tp", "fp"))
+    recall, precision = (tp / pos if pos else 0.0), (tp / (tp + fp) if tp + fp else 0.0)
+    return {"recall": recall, "precision": precision, "f1": 2 * precision * recall / (precision + recall) if tp else 0.0,
+            "roc_auc": float(s["area"] or 0) / (pos * neg) if pos and neg else 0.0, "auc_pr": float(s["ap"] or 0) / pos if pos else 0.0}
+
+
 def score_histogram(sc: DataFrame, bins: int = HIST_BINS) -> DataFrame:
     """Per-class counts in ``bins`` equal bins on [0, 1] (float edges), empty bins kept."""
     step = 1.0 / bins

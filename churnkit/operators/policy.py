@@ -142,9 +142,9 @@ def thompson_assign(segments: DataFrame, counts: DataFrame, seed: int = 42) -> D
 
     Each customer draws Beta(accepts + 1, refusals + 1) for every action of its
     segment and takes the largest.  The posterior table (segments x actions)
-    is collected once - it is bounded by the two dimensions - and the draws
-    run vectorised per Arrow batch with a generator seeded by
-    (seed, partition, batch), reproducible on task retry.
+    is collected once - it is bounded by the two dimensions.  A customer's draws
+    come from a counter-based generator keyed by (seed, customer id), so they are
+    the customer's own under any partitioning, order or retry.
     """
     acts = [a for a, _, _ in ACTIONS]
     segs = list(SEGMENTS)
@@ -160,16 +160,14 @@ def thompson_assign(segments: DataFrame, counts: DataFrame, seed: int = 42) -> D
     acts_arr = np.array(acts, dtype=object)
 
     def draw(batches):
-        from pyspark import TaskContext
-        ctx = TaskContext.get()
-        pid = ctx.partitionId() if ctx else 0
-        for bi, pdf in enumerate(batches):
-            if len(pdf) == 0:
-                continue
-            rng = np.random.default_rng([seed, pid, bi])
+        for pdf in batches:
             idx = pd.Categorical(pdf["segmento"], categories=segs).codes.astype(int)
             idx[idx < 0] = len(segs)
-            samples = rng.beta(alpha[idx], beta[idx])
+            keys = pdf["CustomerID"].to_numpy(dtype="int64").view(np.uint64)
+            samples = np.empty((len(pdf), len(acts)))
+            for k, (customer, i) in enumerate(zip(keys, idx)):
+                rng = np.random.Generator(np.random.Philox(key=np.array([seed, customer], dtype=np.uint64)))
+                samples[k] = rng.beta(alpha[i], beta[i])
             best = samples.argmax(axis=1)
             yield pd.DataFrame({"CustomerID": pdf["CustomerID"].astype("int64"),
                                 "segmento": pdf["segmento"],

@@ -120,13 +120,12 @@ def profile_domains(df: DataFrame, max_levels: int = DOMAIN_MAX_LEVELS) -> DataF
     if not small:
         return df.sparkSession.createDataFrame([], "coluna string, valor string, posicao int")
     row = df.agg(*[F.array_sort(F.collect_set(c)).alias(f"d{i}") for i, c in enumerate(small)])
-    parts = [row.select(F.lit(c).alias("coluna"),
-                        F.posexplode(f"d{i}").alias("posicao", "valor"))
-             for i, c in enumerate(small)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.select("coluna", "valor", (F.col("posicao") + 1).cast("int").alias("posicao"))
+
+    def numbered(column: str):
+        return lambda v, k: F.struct(F.lit(column).alias("coluna"), v.alias("valor"), (k + 1).cast("int").alias("posicao"))
+
+    each = [F.transform(f"d{i}", numbered(c)) for i, c in enumerate(small)]
+    return row.select(F.explode(F.flatten(F.array(*each))).alias("d")).select("d.coluna", "d.valor", "d.posicao")
 
 
 def profile_describe(df: DataFrame, method: str = "exact") -> DataFrame:

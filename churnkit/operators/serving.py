@@ -169,7 +169,9 @@ def ranking_preview(ranking: DataFrame, rows: int = PREVIEW_ROWS) -> DataFrame:
 
 
 def factor_scale(factors: DataFrame, floor: float = 0.01) -> DataFrame:
-    """Each factor's size relative to the customer's largest one (at least ``floor``)."""
-    w = Window.partitionBy("CustomerID")
-    m = F.greatest(F.max(F.abs("shap")).over(w), F.lit(floor))
+    """Each factor's size relative to the customer's largest one (at least ``floor``).
+
+    The largest one comes with each factor (``maior``), from the row it was made in.
+    """
+    m = F.greatest(F.col("maior"), F.lit(floor))
     return factors.select("CustomerID", "variavel", "shap", fixed(F.abs("shap") / m, 4).alias("escala"))

@@ -19,7 +19,7 @@ from churnkit.sources import io as sio
 
 def members(c: Chain) -> dict[str, DataFrame]:
     sc = cv.score_counts(c.scores)
-    long = ex.attribution_linear(c.features, ex.FIXTURE_COEFS, ex.FIXTURE_INTERCEPT)
+    long = ex.attribution_linear(c.features, ex.FIXTURE_COEFS, ex.FIXTURE_INTERCEPT, rounded=False)
     return {
         "meta": cv.bundle_meta(c.scores, sc),
         "scores": c.ranking,

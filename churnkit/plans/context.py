@@ -68,8 +68,7 @@ class Fixture:
 
     @cached_property
     def cuts(self) -> dict[str, float]:
-        # features keep every treated row: the fit's row count applies
-        return seg.fit_cuts(self.features, self.qm, n_rows=self.params.rows)
+        return seg.fit_cuts(self.features, self.qm)
 
     @cached_property
     def segments(self) -> DataFrame:
@@ -81,18 +80,25 @@ class Fixture:
 
     @cached_property
     def offers(self) -> DataFrame:
+        """The numbered log, for what reads or returns the round number."""
         return fixtures.offers(self.spark, self.sf_dir, self.segments)
 
+    @cached_property
+    def offer_events(self) -> DataFrame:
+        """The log without round numbers, for counters."""
+        return fixtures.offer_events(self.spark, self.sf_dir, self.segments)
+
 
 class Chain(Fixture):
     """Fixture plus policy, ranking, attribution and split pieces."""
 
     @cached_property
     def counts(self) -> DataFrame:
-        """The learned policy counters (segments x actions rows), materialised
-        once: every policy, recommendation and campaign plan starts from it."""
+        """The learned policy counters, read once (segments x actions rows): every
+        policy, recommendation and campaign plan starts from this local table."""
         from churnkit.operators import policy as pol
-        return pol.policy_counts(self.offers).checkpoint(eager=True)
+        counts = pol.policy_counts(self.offer_events)
+        return self.spark.createDataFrame(counts.collect(), counts.schema)
 
     @cached_property
     def order(self) -> DataFrame:
@@ -126,24 +132,44 @@ class Chain(Fixture):
     def campaign_input(self, top_n: int) -> tuple[DataFrame, int]:
         """Recommendations of the ``top_n`` highest risks among the customers
         that have one, and how many rows that gives (fewer than ``top_n`` only
-        when ``top_n`` exceeds the eligible customers; no full count needed)."""
-        from churnkit.operators import curves as cv
-        eligible = self.scores.join(self.reco.select("CustomerID"), "CustomerID", "left_semi")
-        head = cv.top_ranked(eligible, top_n).select("CustomerID", "prob_churn", "rank_risco").cache()
-        n = head.count()  # at most top_n rows
-        return self.reco.join(head, "CustomerID"), n
+        when ``top_n`` exceeds the eligible customers; no full count needed).
+
+        Score, segment and recommendation stand in one row per customer, so the
+        bounded top-k takes them all from one join."""
+        from pyspark.sql import Window
+
+        from churnkit.functions.columns import fixed
+        reco = self.reco.join(self.scores.select("CustomerID", fixed("prob_churn", 4).alias("prob_churn")), "CustomerID")
+        order = [F.desc("prob_churn"), F.asc("CustomerID")]
+        head = reco.orderBy(*order).limit(int(top_n))
+        head = head.withColumn("rank_risco", F.row_number().over(Window.orderBy(*order)).cast("long")).collect()  # top_n rows
+        schema = reco.schema.add("rank_risco", "long")
+        return self.spark.createDataFrame(head, schema), len(head)
+
+    def factors_of(self, customers: DataFrame | None = None) -> DataFrame:
+        """Labelled top factors of all customers, or of a few: those are chosen
+        before a row becomes several (``customers`` is a bounded list, broadcast)."""
+        from churnkit.functions.labels import with_labels
+        from churnkit.operators import explain as ex
+        rows = self.features
+        coefs = {c: k for c, k in ex.FIXTURE_COEFS.items() if c in rows.columns}
+        if customers is not None:
+            rows = rows.join(F.broadcast(customers.select("CustomerID")), "CustomerID", "left_semi")
+        return with_labels(ex.top_factors_in_row(rows, coefs, ex.FIXTURE_INTERCEPT, fit_on=self.features))
 
     @cached_property
     def factors(self) -> DataFrame:
-        from churnkit.functions.labels import with_labels
-        from churnkit.operators import explain as ex
-        top = ex.top_factors_in_row(self.features, ex.FIXTURE_COEFS, ex.FIXTURE_INTERCEPT)
-        return with_labels(top)
+        return self.factors_of()
+
+    def detail_of(self, head: DataFrame) -> DataFrame:
+        """Detail of a bounded head of the ranking."""
+        from churnkit.operators import serving as sv
+        return sv.client_detail(head, self.reco, self.factors_of(head))
 
     @cached_property
     def detail(self) -> DataFrame:
         from churnkit.operators import serving as sv
-        return sv.client_detail(self.top(sv.DETAIL_TOP), self.reco, self.factors)
+        return self.detail_of(self.top(sv.DETAIL_TOP))
 
     @cached_property
     def split(self) -> DataFrame:
@@ -151,10 +177,34 @@ class Chain(Fixture):
         return sp.split_stratified(self.treated)
 
 
+_DECIDED: dict[tuple[str, str], dict] = {}
+
+
 class ModelChain(Chain):
-    """Train / test frames with folds for the Spark ML operators."""
+    """Train / test frames with folds, and the chain of decisions on them:
+    ablation -> search -> champion -> out-of-fold threshold -> fitted winner.
+
+    The split is drawn first and the treatment is fitted on train rows only.
+    Each step is done once per session and table folder and shared by its keys.
+    """
 
-    folds_k = 3
+    folds_k, search_k = 5, 3
+
+    def _once(self, name: str, make):
+        held = _DECIDED.setdefault((self.spark.sparkContext.applicationId, self.sf_dir), {})
+        if name not in held:
+            held[name] = make()
+        return held[name]
+
+    @cached_property
+    def split(self) -> DataFrame:
+        """The split of the labels (which the treatment does not change)."""
+        return self._once("split", lambda: Chain(self.spark, self.sf_dir).split.checkpoint(eager=True))
+
+    @cached_property
+    def params(self) -> prep.TreatParams:
+        from churnkit.operators import split as sp
+        return self._once("params", lambda: prep.fit(sp.split_align(self.raw, self.split, sp.TRAIN), self.spec, self.qm))
 
     @cached_property
     def cols(self) -> list[str]:
@@ -170,17 +220,87 @@ class ModelChain(Chain):
         from churnkit.operators import models as md
         return md.prepared(self.features, self.treated)
 
+    def _folds(self, k: int) -> DataFrame:
+        from churnkit.operators import split as sp
+        folds = sp.folds_stratified(self.split, k).select("CustomerID", "fold")
+        return sp.split_align(self.labelled, self.split, sp.TRAIN).join(folds, "CustomerID").checkpoint(eager=True)
+
     @cached_property
     def train(self) -> DataFrame:
-        from churnkit.operators import split as sp
-        folds = sp.folds_stratified(self.split, self.folds_k).select("CustomerID", "fold")
-        return sp.split_align(self.labelled, self.split, sp.TRAIN).join(folds, "CustomerID").cache()
+        return self._once("train", lambda: self._folds(self.folds_k))
+
+    @cached_property
+    def train_search(self) -> DataFrame:
+        return self._once("train_search", lambda: self._folds(self.search_k))
 
     @cached_property
     def test(self) -> DataFrame:
         from churnkit.operators import split as sp
-        return sp.split_align(self.labelled, self.split, sp.TEST).cache()
+        return self._once("test", lambda: sp.split_align(self.labelled, self.split, sp.TEST).checkpoint(eager=True))
 
     def weighted(self, df: DataFrame, positive_only: bool) -> DataFrame:
         from churnkit.operators import models as md
         return md.with_balanced_weights(df, positive_only)
+
+    # ------------------------------------------------------- decisions
+    def ablation(self) -> tuple[DataFrame, bool]:
+        """With and without the derived features (average precision, 3 folds)."""
+        from churnkit.operators import models as md
+
+        def make():
+            res = md.cv_summary({"sem_features": md.boosted_factory(self.base_cols, **md.coarse({})),
+                                 "com_features": md.boosted_factory(self.cols, **md.coarse({}))},
+                                self.weighted(self.train_search, True), self.search_k, ("auc_pr",))
+            r = {x["modelo"]: x["media"] for x in res.collect()}
+            return res, r["com_features"] >= r["sem_features"]
+
+        return self._once("ablation", make)
+
+    def chosen_cols(self) -> list[str]:
+        return self.cols if self.ablation()[1] else self.base_cols
+
+    def search(self) -> tuple[dict, DataFrame]:
+        """M10 on the columns that the ablation keeps."""
+        from churnkit.operators import models as md
+        return self._once("search", lambda: md.random_search(
+            self.chosen_cols(), self.weighted(self.train_search, True), md.draw_candidates(md.SEARCH_DRAWS), self.search_k))
+
+    def champion(self) -> tuple[DataFrame, str, dict]:
+        """The incumbent's settings against the best candidate's, 5 folds; (table, winner, settings)."""
+        from churnkit.operators import models as md
+
+        def make():
+            best, _ = self.search()
+            res = md.cv_summary({"incumbente": md.boosted_factory(self.chosen_cols(), **md.coarse({})),
+                                 "desafiante": md.boosted_factory(self.chosen_cols(), **md.coarse(best))},
+                                self.weighted(self.train, True), self.folds_k, ("auc_pr",))
+            win = md.champion({x["modelo"]: x["media"] for x in res.collect()}, "incumbente", "desafiante")
+            return res, win, best if win == "desafiante" else dict(md.BOOSTED_FULL)
+
+        return self._once("champion", make)
+
+    def oof(self) -> DataFrame:
+        """M9: out-of-fold scores of the champion's settings, written once."""
+        from churnkit.operators import models as md
+
+        def make():
+            _, _, params = self.champion()
+            return md.oof_scores(md.boosted_factory(self.chosen_cols(), **md.coarse(params)),
+                                 self.weighted(self.train, True), self.folds_k).checkpoint(eager=True)
+
+        return self._once("oof", make)
+
+    def winner(self):
+        """The champion fitted on all train rows with its full settings (saved and loaded again)."""
+        from pyspark.ml import PipelineModel
+
+        from churnkit.operators import models as md
+        from churnkit.session import scratch_path
+
+        def make():
+            _, _, params = self.champion()
+            path = scratch_path(self.spark, "pipeline-model")
+            md.boosted_pipeline(self.chosen_cols(), **params).fit(self.weighted(self.train, True)).write().overwrite().save(path)
+            return path
+
+        return PipelineModel.load(self._once("winner", make))

@@ -408,7 +408,8 @@ def q_queue_search(spark, sf_dir):
 def q_client_lookup(spark, sf_dir):
     c = ch(spark, sf_dir)
     first = c.top(1).select("CustomerID").first()[0]
-    return sv.client_lookup(c.detail, first)
+    head = c.top(sv.DETAIL_TOP).where(F.col("CustomerID") == first)  # one customer from here on
+    return sv.client_lookup(c.detail_of(head), first)
 
 
 @query("offer_outcome")
@@ -420,7 +421,7 @@ def q_offer_outcome(spark, sf_dir):
 @query("next_best_offer")
 def q_next_best_offer(spark, sf_dir):
     c = ch(spark, sf_dir)
-    return sv.next_best_offer(c.segments, c.offers, c.order)
+    return sv.next_best_offer(c.segments, c.offer_events, c.order)
 
 
 CAMPAIGN_TOP, CAMPAIGN_LTV = 500, 600.0  # the reference's worked example
@@ -449,21 +450,23 @@ def q_attribution_linear(spark, sf_dir):
     return ex.attribution_linear(fx(spark, sf_dir).features, ex.FIXTURE_COEFS, ex.FIXTURE_INTERCEPT)
 
 
+def _attributions(spark, sf_dir):
+    return ex.attribution_linear(fx(spark, sf_dir).features, ex.FIXTURE_COEFS, ex.FIXTURE_INTERCEPT, rounded=False)
+
+
 @query("attribution_top5")
 def q_attribution_top5(spark, sf_dir):
-    return ex.top_factors_in_row(fx(spark, sf_dir).features, ex.FIXTURE_COEFS, ex.FIXTURE_INTERCEPT)
+    return ex.top_factors_in_row(fx(spark, sf_dir).features, ex.FIXTURE_COEFS, ex.FIXTURE_INTERCEPT).drop("maior")
 
 
 @query("attribution_global")
 def q_attribution_global(spark, sf_dir):
-    long = ex.attribution_linear(fx(spark, sf_dir).features, ex.FIXTURE_COEFS, ex.FIXTURE_INTERCEPT)
-    return ex.attribution_global(long)
+    return ex.attribution_global(_attributions(spark, sf_dir))
 
 
 @query("factor_scale_global")
 def q_factor_scale_global(spark, sf_dir):
-    long = ex.attribution_linear(fx(spark, sf_dir).features, ex.FIXTURE_COEFS, ex.FIXTURE_INTERCEPT)
-    return ex.global_scale(ex.attribution_global(long))
+    return ex.global_scale(ex.attribution_global(_attributions(spark, sf_dir)))
 
 
 @query("factor_labels")
@@ -579,13 +582,13 @@ def q_threshold_record(spark, sf_dir):
 @query("policy_stream")
 def q_policy_stream(spark, sf_dir):
     """Counters from a Structured Streaming run over the offer log; equal to R5."""
-    from churnkit.streaming.policy_stream import run_policy_stream
+    from churnkit.streaming.policy_stream import read_counters, run_policy_stream
     c = ch(spark, sf_dir)
     log_dir = scratch_path(spark, "offer-log")
-    c.offers.repartition(4, "rodada").write.mode("overwrite").parquet(log_dir)
+    c.offer_events.select("CustomerID", "segmento", "acao", "aceitou").write.mode("overwrite").parquet(log_dir)
     out_dir, ck = scratch_path(spark, "policy-out"), scratch_path(spark, "policy-ck")
-    run_policy_stream(spark, log_dir, out_dir, ck, files_per_trigger=1)
-    counts = spark.read.parquet(out_dir)
+    run_policy_stream(spark, log_dir, out_dir, ck)
+    counts = read_counters(spark, out_dir)
     grid = pol.policy_grid(spark)
     from churnkit.functions.columns import fixed, safe_div
     return (grid.join(F.broadcast(counts), ["segmento", "acao"], "left")
@@ -605,92 +608,75 @@ def mc(spark, sf_dir) -> ModelChain:
     return ModelChain(spark, sf_dir)
 
 
-def _fit_boosted(m: ModelChain, cols=None, **params):
-    tr = m.weighted(m.train, positive_only=True)
-    return md.boosted_pipeline(cols or m.cols, **params).fit(tr)
-
-
 def _scored(model, df):
     return md.score(model, df).select("CustomerID", fixed("prob_churn", 4).alias("prob_churn"), "churn_real")
 
 
 @query("model_logistic")
 def q_model_logistic(spark, sf_dir):
+    """M6 at the reference's settings."""
     m = mc(spark, sf_dir)
     tr = m.weighted(m.train, positive_only=False)
-    n_eff = tr.agg(F.sum(md.WEIGHT)).first()[0]
-    model = md.logistic_pipeline(m.cols, n_eff, max_iter=200).fit(tr)
-    return _scored(model, m.test)
+    return _scored(md.logistic_factory(m.cols)(tr).fit(tr), m.test)
 
 
 @query("model_boosted")
 def q_model_boosted(spark, sf_dir):
+    """M7, coarse settings (the full fit is model_score's)."""
     m = mc(spark, sf_dir)
-    return _scored(_fit_boosted(m), m.test)
+    return _scored(md.boosted_pipeline(m.cols, **md.coarse({})).fit(m.weighted(m.train, positive_only=True)), m.test)
 
 
 @query("cv_summary")
 def q_cv_summary(spark, sf_dir):
     m = mc(spark, sf_dir)
-    tr_b = m.weighted(m.train, positive_only=False)
-    n_eff = tr_b.agg(F.sum(md.WEIGHT)).first()[0]
-    pipes = {"logistica": md.logistic_pipeline(m.cols, n_eff, max_iter=200),
-             "boosted": md.boosted_pipeline(m.cols)}
-    return round_doubles(md.cv_summary(pipes, tr_b, m.folds_k), 6)
+    models = {"logistica": md.logistic_factory(m.cols), "boosted": md.boosted_factory(m.cols, **md.coarse({}))}
+    return round_doubles(md.cv_summary(models, m.weighted(m.train, positive_only=False), m.folds_k), 6)
 
 
 @query("oof_scores")
 def q_oof_scores(spark, sf_dir):
-    m = mc(spark, sf_dir)
-    tr = m.weighted(m.train, positive_only=True)
-    return md.oof_scores(md.boosted_pipeline(m.cols), tr, m.folds_k)
+    return mc(spark, sf_dir).oof()
 
 
 @query("random_search")
 def q_random_search(spark, sf_dir):
-    m = mc(spark, sf_dir)
-    tr = m.weighted(m.train, positive_only=True)
-    _, table = md.random_search(m.cols, tr, md.draw_candidates(3), max_iter_cap=10)
-    return table
+    return mc(spark, sf_dir).search()[1]
 
 
 @query("ablation")
 def q_ablation(spark, sf_dir):
     """Boosted model with and without the derived features (AUC-PR, same folds)."""
-    m = mc(spark, sf_dir)
-    tr = m.weighted(m.train, positive_only=True)
-    res = md.cv_summary({"sem_features": md.boosted_pipeline(m.base_cols),
-                         "com_features": md.boosted_pipeline(m.cols)}, tr, m.folds_k, ("auc_pr",))
-    r = {x["modelo"]: x["media"] for x in res.collect()}
-    keep = r["com_features"] >= r["sem_features"]
+    res, keep = mc(spark, sf_dir).ablation()
     return res.withColumn("usa_features", F.lit(int(keep)))
 
 
 @query("champion")
 def q_champion(spark, sf_dir):
     """Incumbent settings vs the best searched candidate by AUC-PR; ties to the challenger."""
-    m = mc(spark, sf_dir)
-    tr = m.weighted(m.train, positive_only=True)
-    best, _ = md.random_search(m.cols, tr, md.draw_candidates(3), max_iter_cap=10)
-    best = dict(best, maxIter=min(best["maxIter"], 10))
-    res = md.cv_summary({"incumbente": md.boosted_pipeline(m.cols),
-                         "desafiante": md.boosted_pipeline(m.cols, **best)}, tr, m.folds_k, ("auc_pr",))
-    r = {x["modelo"]: x["media"] for x in res.collect()}
-    win = md.champion(r, "incumbente", "desafiante")
+    res, win, _ = mc(spark, sf_dir).champion()
     return res.withColumn("vencedor", F.lit(win))
 
 
+@query("model_threshold")
+def q_model_threshold(spark, sf_dir):
+    """S10 + E4 of the chain: the threshold that the champion's out-of-fold scores give, with its settings."""
+    from churnkit.operators import curves as cv
+    m = mc(spark, sf_dir)
+    _, win, params = m.champion()
+    t = cv.threshold_recall(cv.score_counts(m.oof())).first()["threshold"]
+    rec = sio.threshold_record(spark, t, "max precisao com recall OOF >= 0.9", m.ablation()[1], params)
+    path = sio.write_json(rec, scratch_path(spark, "model-threshold"))
+    return spark.read.schema(rec.schema).json(path)
+
+
 @query("model_score")
 def q_model_score(spark, sf_dir):
-    """M13 + M15 + S9: fit on train, save and reload the pipeline model, score
-    the test rows, rank them."""
-    from pyspark.ml import PipelineModel
-
+    """M13 + M15 + S9: the champion fitted on train with its full settings, saved and
+    reloaded, scores the test rows, ranked."""
     from churnkit.operators import curves as cv
     m = mc(spark, sf_dir)
-    path = scratch_path(spark, "pipeline-model")
-    _fit_boosted(m).write().overwrite().save(path)
-    return cv.risk_ranking(_scored(PipelineModel.load(path), m.test))
+    return cv.risk_ranking(_scored(m.winner(), m.test))
 
 
 def _saved_nodes(spark, model):
@@ -703,23 +689,23 @@ def _saved_nodes(spark, model):
 def q_importance_gain(spark, sf_dir):
     """Mean gain per split over the saved node table, top 20."""
     m = mc(spark, sf_dir)
-    return md.gain_per_split(_saved_nodes(spark, _fit_boosted(m)), m.cols)
+    return md.gain_per_split(_saved_nodes(spark, m.winner()), m.chosen_cols())
 
 
 @query("importance_normalised")
 def q_importance_normalised(spark, sf_dir):
     """Normalised importances of the boosted model, top 20."""
     m = mc(spark, sf_dir)
-    return md.importance_table(_fit_boosted(m), m.cols)
+    return md.importance_table(m.winner(), m.chosen_cols())
 
 
 @query("attribution_tree")
 def q_attribution_tree(spark, sf_dir):
     """X1(b): exact tree attributions of the boosted model on the test rows, top 5 per row."""
     m = mc(spark, sf_dir)
-    model = _fit_boosted(m)
+    model = m.winner()
     nodes = _saved_nodes(spark, model).collect()  # model-sized
-    out = ts.tree_attributions(m.test, m.cols, nodes, model.stages[-1].treeWeights)
+    out = ts.tree_attributions(m.test, m.chosen_cols(), nodes, model.stages[-1].treeWeights)
     return out.select("CustomerID", "ordem", "variavel", fixed("shap", 4).alias("shap"),
                       fixed("valor", 3).alias("valor"), fixed("base", 4).alias("base"))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -38,13 +39,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder the cluster names.
 
     The setting is read from the session; a folder of our own is set only
-    when none is configured (local tests).
+    when none is configured and everything runs in this machine's JVM.  On a
+    cluster a machine's own folder would hold files no other machine sees, so
+    a missing setting is an error there.
     """
     sc = spark.sparkContext
     cur = sc.getCheckpointDir()
     if not cur:
         cur = spark.conf.get("spark.checkpoint.dir", None)
         if not cur:
+            if not re.match(r"local(\[|$)", sc.master):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             cur = tempfile.mkdtemp(prefix="churnkit-ckpt-")
         sc.setCheckpointDir(cur)
         cur = sc.getCheckpointDir()

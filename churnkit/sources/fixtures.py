@@ -176,24 +176,27 @@ def scores(spark: SparkSession, sf_dir: str, sub: DataFrame | None = None) -> Da
         churn.cast("int").alias("churn_real"))
 
 
-def offers(spark: SparkSession, sf_dir: str, segments: DataFrame) -> DataFrame:
-    """Offer log ``(rodada, CustomerID, segmento, acao, aceitou)``.
+def offer_events(spark: SparkSession, sf_dir: str, segments: DataFrame) -> DataFrame:
+    """Offers in no order: ``(ts, event_id, CustomerID, segmento, acao, aceitou)``.
 
-    One offer per event of a known customer (``signup`` excluded); the
-    segment is the customer's rule segment from ``segments``
-    ``(CustomerID, segmento)``.  ``rodada`` is the dense 1..n round number
-    in (ts, event_id) order, made without a single-partition window.
+    One offer per event of a known customer (``signup`` excluded); the segment is
+    the customer's rule segment from ``segments`` ``(CustomerID, segmento)``.
+    Counters need no more than this: one join, no sort.
     """
-    from churnkit.functions.ordering import global_index
-
     ev = (table(spark, sf_dir, "events")
           .where(F.col("event_type").isin(list(EVENT_ACTION)))
           .select("event_id", "ts", "user_id", "event_type", "value"))
     amap = F.create_map(*[F.lit(x) for kv in EVENT_ACTION.items() for x in kv])
-    log = (ev.join(segments.select("CustomerID", "segmento"),
-                   ev.user_id == segments.CustomerID)
-             .select("event_id", "ts", "CustomerID", "segmento",
-                     amap[F.col("event_type")].alias("acao"),
-                     (F.col("value") >= ACCEPT_VALUE).cast("int").alias("aceitou")))
-    log = global_index(log, [F.col("ts").asc(), F.col("event_id").asc()], "rodada")
+    return (ev.join(segments.select("CustomerID", "segmento"), ev.user_id == segments.CustomerID)
+              .select("ts", "event_id", "CustomerID", "segmento", amap[F.col("event_type")].alias("acao"),
+                      (F.col("value") >= ACCEPT_VALUE).cast("int").alias("aceitou")))
+
+
+def offers(spark: SparkSession, sf_dir: str, segments: DataFrame) -> DataFrame:
+    """Offer log ``(rodada, CustomerID, segmento, acao, aceitou)``: ``offer_events``
+    with the dense 1..n round number in (ts, event_id) order, made without a
+    single-partition window."""
+    from churnkit.functions.ordering import global_index
+
+    log = global_index(offer_events(spark, sf_dir, segments), [F.col("ts").asc(), F.col("event_id").asc()], "rodada")
     return log.select("rodada", "CustomerID", "segmento", "acao", "aceitou")

@@ -508,42 +508,127 @@ ORACLE["regret_curve"] = f"WITH {LEARN} SELECT rodada, regret_medio FROM lc"
 ORACLE["posterior_mean"] = (f"WITH {POLICY} SELECT segmento, acao, tentativas, aceites, "
                             f"{R('CAST(aceites + 1 AS DOUBLE) / CAST(tentativas + 2 AS DOUBLE)', 4)} AS media_posterior FROM pc")
 
-COEFS = [("ReceitaPorMinuto", 1.5), ("CareCallsPorMes", 2.0), ("FalhasPorChamada", 0.8),
-         ("IdadeAparelhoMeses", 0.05), ("PrizmCode_ASIA", -0.4), ("ServiceAreaFreq", 3.0)]
+# A coefficient for every feature column.
+COEFS = [
+    ("MonthlyRevenue", 0.004), ("MonthlyMinutes", -0.0006), ("TotalRecurringCharge", -0.003), ("DirectorAssistedCalls", 0.01),
+    ("OverageMinutes", 0.007), ("RoamingCalls", 0.03), ("PercChangeMinutes", -0.0009), ("PercChangeRevenues", 0.0002),
+    ("DroppedBlockedCalls", 0.015), ("UnansweredCalls", 0.012), ("CustomerCareCalls", -0.02), ("ReceivedCalls", -0.04),
+    ("OutboundCalls", -0.03), ("InboundCalls", 0.02), ("MonthsInService", -0.011), ("UniqueSubs", 0.12), ("ActiveSubs", -0.09),
+    ("Handsets", 0.035), ("CurrentEquipmentDays", 0.0012), ("RetentionCalls", 0.14), ("AgeHH1", -0.006), ("HandsetPrice", -0.0045),
+    ("CreditRating", 0.05), ("MadeCallToRetentionTeam", 0.33), ("HomeownershipKnown", -0.08), ("MaritalStatus_No", 0.07),
+    ("MaritalStatus_Unknown", 0.045), ("MaritalStatus_Yes", -0.06), ("HandsetPriceKnown", 0.11), ("AgeHH1Known", -0.13),
+    ("MissingBillingInfo", 0.9), ("PrizmCode_AFRICA", 0.21), ("PrizmCode_AMERICA", -0.17), ("PrizmCode_ASIA", -0.4),
+    ("PrizmCode_EUROPE", 0.19), ("PrizmCode_MIDDLE EAST", 0.16), ("Occupation_AUTOMOBILE", 0.23), ("Occupation_BUILDING", -0.27),
+    ("Occupation_FURNITURE", 0.31), ("Occupation_HOUSEHOLD", -0.22), ("Occupation_MACHINERY", 0.26), ("ServiceAreaFreq", 3.0),
+    ("ReceitaPorMinuto", 1.5), ("RazaoOverage", 4.0), ("ReceitaPorMes", 0.018), ("FalhasPorChamada", 0.8),
+    ("NaoAtendidasPorChamada", 0.37), ("CareCallsPorMes", 2.0), ("RetentionPorMes", 1.7), ("IdadeAparelhoMeses", 0.05),
+    ("RazaoAparelhoContrato", 0.42), ("FimFidelizacao", 0.65), ("RazaoSubsAtivos", -0.75), ("QuedaUso", 0.0016)]
 _means = ", ".join(f'avg(CAST("{c}" AS DOUBLE)) AS "m_{c}"' for c, _ in COEFS)
 _base = "CAST(-1.0 AS DOUBLE)" + "".join(f' + CAST({k!r} AS DOUBLE) * mm."m_{c}"' for c, k in COEFS)
 ATTRIB = FEATURES + f""",
 mm AS (SELECT {_means} FROM sub_feat),
 attr AS ({" UNION ALL ".join(
     f"SELECT f.CustomerID, '{c}' AS variavel, "
-    f"{R(f'CAST({k!r} AS DOUBLE) * (CAST(f.\"{c}\" AS DOUBLE) - mm.\"m_{c}\")', 4)} AS shap, "
-    f"{R(f'CAST(f.\"{c}\" AS DOUBLE)', 3)} AS valor, {R(_base, 4)} AS base FROM sub_feat f CROSS JOIN mm"
+    f"CAST({k!r} AS DOUBLE) * (CAST(f.\"{c}\" AS DOUBLE) - mm.\"m_{c}\") AS raw, "
+    f"CAST(f.\"{c}\" AS DOUBLE) AS v, {R(_base, 4)} AS base FROM sub_feat f CROSS JOIN mm"
     for c, k in COEFS)}),
-top5 AS (SELECT CustomerID, CAST(ordem AS INTEGER) AS ordem, variavel, shap, valor, base FROM (
-           SELECT *, row_number() OVER (PARTITION BY CustomerID ORDER BY abs(shap) DESC, variavel) AS ordem FROM attr)
+top5 AS (SELECT CustomerID, CAST(ordem AS INTEGER) AS ordem, variavel, {R('raw', 4)} AS shap, {R('v', 3)} AS valor, base FROM (
+           SELECT *, row_number() OVER (PARTITION BY CustomerID ORDER BY abs(raw) DESC, variavel) AS ordem FROM attr)
          WHERE ordem <= 5)"""
 
 
+# Label of each variable.
+LABELS = [
+    ("CurrentEquipmentDays", "Dias com o aparelho atual"),
+    ("IdadeAparelhoMeses", "Idade do aparelho (meses)"),
+    ("MonthsInService", "Meses de contrato"),
+    ("MonthlyMinutes", "Minutos mensais"),
+    ("MonthlyRevenue", "Receita mensal"),
+    ("TotalRecurringCharge", "Mensalidade recorrente"),
+    ("PercChangeMinutes", "Variacao de minutos (%)"),
+    ("PercChangeRevenues", "Variacao de receita (%)"),
+    ("OverageMinutes", "Minutos excedentes"),
+    ("RazaoOverage", "Proporcao de minutos excedentes"),
+    ("ReceitaPorMinuto", "Receita por minuto (preco pago)"),
+    ("ReceitaPorMes", "Receita media por mes de contrato"),
+    ("DroppedCalls", "Chamadas caidas"),
+    ("BlockedCalls", "Chamadas bloqueadas"),
+    ("DroppedBlockedCalls", "Chamadas caidas + bloqueadas"),
+    ("FalhasPorChamada", "Falhas por chamada (qualidade)"),
+    ("NaoAtendidasPorChamada", "Nao atendidas por chamada"),
+    ("UnansweredCalls", "Chamadas nao atendidas"),
+    ("CustomerCareCalls", "Ligacoes ao atendimento"),
+    ("CareCallsPorMes", "Ligacoes ao atendimento por mes"),
+    ("RetentionCalls", "Ligacoes a equipe de retencao"),
+    ("RetentionPorMes", "Ligacoes a retencao por mes"),
+    ("MadeCallToRetentionTeam", "Ja ligou para a retencao"),
+    ("RetentionOffersAccepted", "Ofertas de retencao aceitas"),
+    ("HandsetPrice", "Preco do aparelho"),
+    ("HandsetPriceKnown", "Preco do aparelho informado"),
+    ("HandsetRefurbished", "Aparelho recondicionado"),
+    ("HandsetWebCapable", "Aparelho com internet"),
+    ("Handsets", "Qtde de aparelhos"),
+    ("HandsetModels", "Qtde de modelos de aparelho"),
+    ("RazaoAparelhoContrato", "Idade do aparelho vs contrato"),
+    ("FimFidelizacao", "Fim do periodo de fidelizacao (11-16m)"),
+    ("QuedaUso", "Queda recente de uso"),
+    ("RazaoSubsAtivos", "Proporcao de linhas ativas"),
+    ("UniqueSubs", "Linhas na conta"),
+    ("ActiveSubs", "Linhas ativas"),
+    ("ReceivedCalls", "Chamadas recebidas"),
+    ("OutboundCalls", "Chamadas realizadas"),
+    ("InboundCalls", "Chamadas de entrada"),
+    ("PeakCallsInOut", "Chamadas em horario de pico"),
+    ("OffPeakCallsInOut", "Chamadas fora de pico"),
+    ("CallWaitingCalls", "Chamadas em espera"),
+    ("ThreewayCalls", "Chamadas em conferencia"),
+    ("DirectorAssistedCalls", "Chamadas com auxilio de telefonista"),
+    ("RoamingCalls", "Chamadas em roaming"),
+    ("CallForwardingCalls", "Chamadas encaminhadas"),
+    ("CreditRating", "Nota de credito (1=melhor)"),
+    ("AdjustmentsToCreditRating", "Ajustes na nota de credito"),
+    ("IncomeGroup", "Faixa de renda"),
+    ("AgeHH1", "Idade do titular"),
+    ("AgeHH2", "Idade do 2o morador"),
+    ("AgeHH1Known", "Idade do titular informada"),
+    ("AgeHH2Known", "Idade do 2o morador informada"),
+    ("ChildrenInHH", "Criancas em casa"),
+    ("HomeownershipKnown", "Imovel proprio informado"),
+    ("MissingBillingInfo", "Sem dados de fatura"),
+    ("ServiceAreaFreq", "Porte da area de servico"),
+    ("NewCellphoneUser", "Usuario novo de celular"),
+    ("NotNewCellphoneUser", "Usuario experiente de celular"),
+    ("BuysViaMailOrder", "Compra por catalogo"),
+    ("RespondsToMailOffers", "Responde a ofertas por correio"),
+    ("OptOutMailings", "Recusou mala direta"),
+    ("OwnsComputer", "Tem computador"),
+    ("HasCreditCard", "Tem cartao de credito"),
+    ("ReferralsMadeBySubscriber", "Indicacoes feitas"),
+]
+
+
 def _label_values() -> str:
-    from churnkit.functions.labels import LABELS
-    return ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in LABELS.items())
+    return ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in LABELS)
+
+
+def _prefix_label(column: str) -> str:
+    rest = f"regexp_extract({column}, '^[^_]*_(.*)$', 1)"
+    cases = " ".join(f"WHEN {column} LIKE '{p}\\_%' ESCAPE '\\' THEN '{p}: ' || {rest}"
+                     for p in ("MaritalStatus", "PrizmCode", "Occupation"))
+    return f"CASE {cases} END"
 
 
 LABELLED = ATTRIB + f""",
 labels AS (SELECT * FROM (VALUES {_label_values()}) t(variavel, rotulo_dic)),
-fac AS (SELECT t.*, coalesce(l.rotulo_dic,
-          CASE WHEN t.variavel LIKE 'MaritalStatus\\_%' ESCAPE '\\' THEN 'MaritalStatus: ' || regexp_extract(t.variavel, '^[^_]*_(.*)$', 1)
-               WHEN t.variavel LIKE 'PrizmCode\\_%' ESCAPE '\\' THEN 'PrizmCode: ' || regexp_extract(t.variavel, '^[^_]*_(.*)$', 1)
-               WHEN t.variavel LIKE 'Occupation\\_%' ESCAPE '\\' THEN 'Occupation: ' || regexp_extract(t.variavel, '^[^_]*_(.*)$', 1)
-          END, t.variavel) AS rotulo
+fac AS (SELECT t.*, coalesce(l.rotulo_dic, {_prefix_label('t.variavel')}, t.variavel) AS rotulo
         FROM top5 t LEFT JOIN labels l ON t.variavel = l.variavel)"""
 
-ORACLE["attribution_linear"] = f"WITH {ATTRIB} SELECT * FROM attr"
+ORACLE["attribution_linear"] = f"WITH {ATTRIB} SELECT CustomerID, variavel, {R('raw', 4)} AS shap, {R('v', 3)} AS valor, base FROM attr"
 ORACLE["attribution_top5"] = f"WITH {ATTRIB} SELECT * FROM top5"
 ORACLE["attribution_global"] = f"""WITH {LABELLED},
-g AS (SELECT variavel, avg(abs(shap)) AS impacto FROM attr GROUP BY variavel ORDER BY impacto DESC, variavel LIMIT 15)
+g AS (SELECT variavel, avg(abs(raw)) AS impacto FROM attr GROUP BY variavel ORDER BY impacto DESC, variavel LIMIT 15)
 SELECT g.variavel, coalesce(l.rotulo_dic,
-          CASE WHEN g.variavel LIKE 'PrizmCode\\_%' ESCAPE '\\' THEN 'PrizmCode: ' || regexp_extract(g.variavel, '^[^_]*_(.*)$', 1) END,
+          {_prefix_label('g.variavel')},
           g.variavel) AS rotulo, {R('g.impacto', 4)} AS impacto_medio
 FROM g LEFT JOIN labels l ON g.variavel = l.variavel"""
 ORACLE["factor_labels"] = f"WITH {LABELLED} SELECT CustomerID, ordem, variavel, rotulo FROM fac"
@@ -677,9 +762,9 @@ SELECT * FROM (VALUES
 ) t(membro, linhas)"""
 
 ORACLE["factor_scale_global"] = f"""WITH {LABELLED},
-g AS (SELECT variavel, avg(abs(shap)) AS impacto FROM attr GROUP BY variavel ORDER BY impacto DESC, variavel LIMIT 15),
+g AS (SELECT variavel, avg(abs(raw)) AS impacto FROM attr GROUP BY variavel ORDER BY impacto DESC, variavel LIMIT 15),
 gl AS (SELECT g.variavel, coalesce(l.rotulo_dic,
-          CASE WHEN g.variavel LIKE 'PrizmCode\\_%' ESCAPE '\\' THEN 'PrizmCode: ' || regexp_extract(g.variavel, '^[^_]*_(.*)$', 1) END,
+          {_prefix_label('g.variavel')},
           g.variavel) AS rotulo, {R('g.impacto', 4)} AS impacto_medio
        FROM g LEFT JOIN labels l ON g.variavel = l.variavel),
 r AS (SELECT *, row_number() OVER (ORDER BY impacto_medio DESC, variavel) AS pos FROM gl)

@@ -33,23 +33,43 @@ def test_range_partitions_balanced_under_a_hot_score(spark):
 
 
 def test_stream_counters_grow_with_batches(spark, tmp_path):
-    from churnkit.streaming.policy_stream import LOG_SCHEMA, run_policy_stream
+    from churnkit.streaming.policy_stream import LOG_SCHEMA, read_counters, run_policy_stream
     log_dir, out, ck = str(tmp_path / "log"), str(tmp_path / "out"), str(tmp_path / "ck")
-    rows1 = [(1, 1, "Perfil geral", "desconto", 1), (2, 2, "Perfil geral", "bonus", 0)]
-    rows2 = [(3, 3, "Perfil geral", "desconto", 0)]
+    rows1 = [(1, "Perfil geral", "desconto", 1), (2, "Perfil geral", "bonus", 0)]
+    rows2 = [(3, "Perfil geral", "desconto", 0)]
     spark.createDataFrame(rows1, LOG_SCHEMA).write.mode("append").parquet(log_dir)
     run_policy_stream(spark, log_dir, out, ck)
-    first = {(r["segmento"], r["acao"]): (r["tentativas"], r["aceites"]) for r in spark.read.parquet(out).collect()}
+    first = {(r["segmento"], r["acao"]): (r["tentativas"], r["aceites"]) for r in read_counters(spark, out).collect()}
     assert first == {("Perfil geral", "desconto"): (1, 1), ("Perfil geral", "bonus"): (1, 0)}
     spark.createDataFrame(rows2, LOG_SCHEMA).write.mode("append").parquet(log_dir)
     run_policy_stream(spark, log_dir, out, ck)      # restarts from the checkpoint, reads only the new file
-    second = {(r["segmento"], r["acao"]): (r["tentativas"], r["aceites"]) for r in spark.read.parquet(out).collect()}
+    second = {(r["segmento"], r["acao"]): (r["tentativas"], r["aceites"]) for r in read_counters(spark, out).collect()}
     assert second[("Perfil geral", "desconto")] == (2, 1)
     batch = pol.policy_counts(spark.read.parquet(log_dir))
     got = {(r["segmento"], r["acao"]): (r["tentativas"], r["aceites"]) for r in batch.where("tentativas > 0").collect()}
     assert got == second                            # R13 = R5 on the same rows
 
 
+def test_an_unfinished_stream_is_an_error(spark, tmp_path):
+    from churnkit.streaming.policy_stream import LOG_SCHEMA, run_policy_stream
+    log_dir = str(tmp_path / "log")
+    spark.createDataFrame([(i, "Perfil geral", "bonus", 0) for i in range(40)], LOG_SCHEMA).repartition(40).write.parquet(log_dir)
+    with pytest.raises(TimeoutError):
+        run_policy_stream(spark, log_dir, str(tmp_path / "out"), str(tmp_path / "ck"), files_per_trigger=1, timeout=0.2)
+
+
+def test_thompson_draws_belong_to_the_customer(spark):
+    from churnkit.operators.segments import SEG_GENERAL
+    log = spark.createDataFrame([(i, SEG_GENERAL, a, i % 2) for i, a in enumerate(["suporte", "bonus", "desconto"] * 20)],
+                                "CustomerID long, segmento string, acao string, aceitou int")
+    counts = pol.policy_counts(log)
+    draws = []
+    for parts in (1, 4, 16):
+        segs = spark.range(500).selectExpr("id * 3 - 40 as CustomerID", f"'{SEG_GENERAL}' as segmento").repartition(parts)
+        draws.append(sorted(map(tuple, pol.thompson_assign(segs, counts).select("CustomerID", "acao", "amostra").collect())))
+    assert draws[0] == draws[1] == draws[2] and len({d[2] for d in draws[0]}) == 500
+
+
 def test_thompson_prefers_the_clear_winner(spark):
     from churnkit.operators.segments import SEG_GENERAL
     rows = ([(i, 1, SEG_GENERAL, "suporte", 1) for i in range(400)]
