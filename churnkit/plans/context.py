@@ -31,6 +31,14 @@ def round_doubles(df: DataFrame, digits: int = 6) -> DataFrame:
 
 
 _RAW: dict[tuple[str, str], DataFrame] = {}
+_DECIDED: dict[tuple[str, str], dict] = {}
+
+
+def forget(spark: SparkSession) -> None:
+    """Drop everything that queries of this session share: cached tables and model decisions."""
+    _RAW.clear()
+    _DECIDED.clear()
+    spark.catalog.clearCache()
 
 
 class Fixture:
@@ -177,9 +185,6 @@ class Chain(Fixture):
         return sp.split_stratified(self.treated)
 
 
-_DECIDED: dict[tuple[str, str], dict] = {}
-
-
 class ModelChain(Chain):
     """Train / test frames with folds, and the chain of decisions on them:
     ablation -> search -> champion -> out-of-fold threshold -> fitted winner.
