@@ -40,23 +40,30 @@ class _Rank:
 
 def _narrow(df: DataFrame, todo: list[_Rank], accuracy: int) -> None:
     """One round: two passes over the rows, for all ranks together."""
-    asks = []
+    # ranks of one column with the same bracket share one sketch
+    sketches: dict[tuple, list[int]] = {}
     for k, r in enumerate(todo):
-        m = max(4.0 / accuracy, 2.0 / r.inside)
-        p = (r.rank - r.below + 0.5) / r.inside
-        shares = F.array(F.lit(max(0.0, p - m)), F.lit(min(1.0, p + m)))
-        asks.append(F.percentile_approx(F.when(r.between(), F.col(r.col)), shares, accuracy).alias(f"a{k}"))
-    ends = df.agg(*asks).first()
+        sketches.setdefault((r.col, r.lo, r.hi), []).append(k)
+    asks = []
+    for j, members in enumerate(sketches.values()):
+        shares = []
+        for r in (todo[k] for k in members):
+            m, p = max(4.0 / accuracy, 2.0 / r.inside), (r.rank - r.below + 0.5) / r.inside
+            shares += [F.lit(max(0.0, p - m)), F.lit(min(1.0, p + m))]
+        one = todo[members[0]]
+        asks.append(F.percentile_approx(F.when(one.between(), F.col(one.col)), F.array(*shares), accuracy).alias(f"a{j}"))
+    got = df.agg(*asks).first()
+    ends = {k: got[f"a{j}"][2 * i:2 * i + 2] for j, members in enumerate(sketches.values()) for i, k in enumerate(members)}
     counts = []
     for k, r in enumerate(todo):
-        (lo, hi), c = ends[f"a{k}"], F.col(r.col)
+        (lo, hi), c = ends[k], F.col(r.col)
         inside = r.between()
         counts += [F.count_if(inside & (c < F.lit(lo))).alias(f"b{k}"), F.count_if(inside & (c == F.lit(lo))).alias(f"l{k}"),
                    F.count_if(inside & (c > F.lit(lo)) & (c < F.lit(hi))).alias(f"m{k}"),
                    F.count_if(inside & (c == F.lit(hi))).alias(f"h{k}")]
     got = df.agg(*counts).first()
     for k, r in enumerate(todo):
-        (lo, hi), at = ends[f"a{k}"], r.rank - r.below
+        (lo, hi), at = ends[k], r.rank - r.below
         below, on_lo, mid, on_hi = (int(got[f"{x}{k}"]) for x in "blmh")
         if lo == hi:
             on_hi = 0
@@ -76,7 +83,9 @@ def _read(df: DataFrame, small: list[_Rank]) -> None:
     """Distinct values (with counts) strictly inside the brackets of ranks that have few rows left."""
     held = F.array(*[F.when(r.between(), F.struct(F.lit(k).alias("k"), F.col(r.col).cast("double").alias("v")))
                      for k, r in enumerate(small)])
-    rows = (df.select(F.explode(F.filter(held, lambda x: x.isNotNull())).alias("x")).groupBy("x.k", "x.v").count().collect())
+    # outer: else Catalyst pushes a filter on the whole array expression down
+    rows = (df.select(F.explode_outer(F.filter(held, lambda x: x.isNotNull())).alias("x")).where("x is not null")
+            .groupBy("x.k", "x.v").count().collect())
     by: dict[int, list] = {}
     for k, v, n in sorted((r["k"], r["v"], r["count"]) for r in rows):
         by.setdefault(k, []).append((v, n))
