@@ -237,16 +237,19 @@ def repeated_windows(slices: list[bytes], place: np.ndarray, windows: np.ndarray
     return out
 
 
-def _ordered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(ord, id, text): ord gives the documents' order; ids serve as they are where they are unique."""
+def _ordered(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """Rows (ord, id, text), ord giving the documents' order (ids serve as they are where they are unique),
+    and one row per ord of them: rows that repeat id and text are one document."""
     base = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
     ids = base.groupBy("id").count()
     if ids.where("id is null or count > 1").isEmpty():
-        return base.select(F.col("id").alias("ord"), "id", "text")
+        base = base.select(F.col("id").alias("ord"), "id", "text")
+        return base, base
     keyed = base.withColumn("h", F.xxhash64("text"))
     number = global_index(keyed.select("id", "h").distinct(), [F.col("id").asc_nulls_last(), F.col("h").asc()], "ord")
     number = materialise(number.select(F.col("id").alias("i"), F.col("h").alias("hh"), "ord"), "document-order")
-    return keyed.join(number, F.col("id").eqNullSafe(F.col("i")) & (F.col("h") == F.col("hh"))).select("ord", "id", "text")
+    rows = keyed.join(number, F.col("id").eqNullSafe(F.col("i")) & (F.col("h") == F.col("hh"))).select("ord", "id", "text")
+    return rows, materialise(rows.dropDuplicates(["ord"]), "distinct-documents")
 
 
 def _find_blocks(docs: DataFrame, length: int, k: int, buckets: int, hot: np.ndarray) -> DataFrame:
@@ -428,8 +431,8 @@ def dedup_passages(docs: DataFrame, min_length: int = 100, id_col: str = "doc_id
     k = max(1, min(24, min_length // 4))
     if not 2 <= min_length < 1 << FIELD:
         raise ValueError(f"min_length must be from 2 to {(1 << FIELD) - 1}")
-    base = _ordered(docs, id_col, text_col)
-    marks = _marks(base, min_length, k)
+    base, single = _ordered(docs, id_col, text_col)
+    marks = _marks(single, min_length, k)
     per_doc = marks.groupBy(F.col("ord").alias("o")).agg(F.collect_list(F.struct("start", "windows")).alias("marks"))
     joined = base.join(per_doc.hint("shuffle_hash"), F.col("ord") == F.col("o"), "left").select("id", "text", "marks")
     fields = [("id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())]

@@ -102,6 +102,14 @@ def test_null_ids_and_repeated_rows(frame):
     assert got == sorted([("2", len(text) + 2, first), ("4", len(text), len(text)), ("4", len(text), len(text)), ("9", 0, 0), ("None", len(text) + 1, len(text))])
 
 
+def test_a_repeated_row_keeps_its_text(frame):
+    rng = random.Random(11)
+    once, null_id = ("".join(rng.choices("abcdefgh", k=300)) for _ in range(2))
+    rows = [(4, once), (4, once), (4, once), (7, "y" + once), (None, null_id), (None, null_id), (9, None), (9, None)]
+    got = sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans) for r in S.dedup_passages(frame(rows), 100).collect())
+    assert got == [("4", 300, 0, 0)] * 3 + [("7", 301, 300, 1)] + [("9", 0, 0, 0)] * 2 + [("None", 300, 0, 0)] * 2
+
+
 def test_kept_text(frame):
     rows = [(1, "abcdefghij" * 2), (2, "..abcdefghij..")]
     got = {r.doc_id: bytes(r.kept_text) for r in S.dedup_passages(frame(rows), 8, with_text=True).collect()}
