@@ -68,9 +68,9 @@ def scan(files: DataFrame, path_col: str = "path", text_col: str = "text", templ
     Lines of a text, and runs of up to ``LINES`` lines that each hold a licence
     term, are compared with the templates; the best cosine of ``min_cosine`` or
     more names the file's own licence (ties: the earlier template).  Inverse
-    document frequencies come from all texts.  A file with a licence of its own is
-    its directory's licence file if its base name says so or the notice is
-    ``file_share`` of its words or more.
+    document frequencies, of whatever term, come from all texts.  A file with a licence of its own is
+    its directory's licence file if its base name says so or words of the
+    notice are ``file_share`` of its words or more.
     A file with no licence of its own takes that of the nearest directory at or
     above it which has a licence file (several: the best cosine, then the smallest
     path); inherited_from is that directory ('' for the root).  Null or empty text
@@ -83,16 +83,18 @@ def scan(files: DataFrame, path_col: str = "path", text_col: str = "text", templ
     base = files.select(F.col(path_col).cast("string").alias("path"), text_of(text_col).alias("text"),
                         F.xxhash64(F.coalesce(F.col(path_col).cast("string"), F.lit("")), text_of(text_col)).alias("key"))
 
-    # document frequencies of the templates' terms over all whole texts (one row per term)
+    # document frequencies of all terms over all whole texts
     lower = F.lower("text")
-    terms = F.split(lower, r"[^a-z0-9.\-]+")  # a superset of TERM but for ends of '.' and '-', trimmed below
-    clean = F.transform(F.filter(terms, lambda w: F.length(w) < 40), lambda w: F.regexp_replace(w, r"^[.\-]+|[.\-]+$", ""))
-    seen = (base.select(F.explode(F.array_intersect(clean, F.array(*map(F.lit, vocab)))).alias("term"))
-            .groupBy("term").agg(F.count(F.lit(1)).alias("df")))
+    words = F.regexp_extract_all(lower, F.lit(TERM), F.lit(0))
+    seen = materialise(base.select(F.explode(F.array_distinct(words)).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df")), "terms")
     n_docs = base.count()
-    idf = materialise(spark.createDataFrame([(w,) for w in vocab], "term string").join(seen, "term", "left")
-                      .select("term", (F.log(F.lit(n_docs + 1.0) / (F.coalesce("df", F.lit(0)) + 1.0)) + 1.0).alias("idf")), "idf")
-    other = math.log(n_docs + 1.0) + 1.0  # a term that no template has
+
+    def weighed(terms: DataFrame, name: str) -> DataFrame:
+        """(term, idf) of a table of distinct terms."""
+        return materialise(terms.join(seen, "term", "left").select(
+            "term", (F.log(F.lit(n_docs + 1.0) / (F.coalesce("df", F.lit(0)) + 1.0)) + 1.0).alias("idf")), name)
+
+    idf = weighed(spark.createDataFrame([(w,) for w in vocab], "term string"), "idf")
     vectors = template_table(spark, templates).join(F.broadcast(idf), "term").withColumn("w", F.col("tf") * F.col("idf"))
     weights = vectors.collect()  # the templates' few hundred terms
     norm: dict[int, float] = {}
@@ -121,20 +123,21 @@ def scan(files: DataFrame, path_col: str = "path", text_col: str = "text", templ
                      F.concat_ws(" ", *[F.get("run", F.lit(j))["line"] for j in range(k)])) for k in range(1, LINES + 1)]
     found = one.select("key", "n_words", F.explode(F.array(*joined)).alias("segment")).where("segment is not null")
     segments = found.select("segment").distinct()  # a notice that many files repeat is compared once
-    tf = (segments.select("segment", F.explode(F.regexp_extract_all("segment", F.lit(TERM), F.lit(0))).alias("term"))
-          .groupBy("segment", "term").agg(F.count(F.lit(1)).cast("double").alias("tf"))
-          .join(F.broadcast(idf), "term", "left").withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(other))))
+    tf = materialise(segments.select("segment", F.explode(F.regexp_extract_all("segment", F.lit(TERM), F.lit(0))).alias("term"))
+                     .groupBy("segment", "term").agg(F.count(F.lit(1)).cast("double").alias("tf")), "segment-terms")
+    tf = tf.join(weighed(tf.select("term").distinct(), "segment-idf"), "term").withColumn("w", F.col("tf") * F.col("idf"))
     tnorm = spark.createDataFrame([(t, math.sqrt(v)) for t, v in norm.items()], "template int, tnorm double")
     length = tf.groupBy("segment").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("snorm"))
-    dots = (tf.join(F.broadcast(vectors.select("template", "licence", "term", F.col("w").alias("tw"))), "term")
-            .groupBy("segment", "template", "licence").agg(F.sum(F.col("w") * F.col("tw")).alias("dot")))
+    dots = (tf.join(F.broadcast(vectors.select("template", "licence", "term", F.col("tf").alias("ttf"), F.col("w").alias("tw"))), "term")
+            .groupBy("segment", "template", "licence").agg(F.sum(F.col("w") * F.col("tw")).alias("dot"), F.sum(F.least("tf", "ttf")).alias("matched")))
     best = (dots.join(F.broadcast(tnorm), "template").join(length, "segment")
-            .select("segment", "licence", "template", (F.col("dot") / (F.col("tnorm") * F.col("snorm"))).alias("cosine"))
+            .select("segment", "licence", "template", "matched", (F.col("dot") / (F.col("tnorm") * F.col("snorm"))).alias("cosine"))
             .where(F.col("cosine") >= min_cosine)
-            .groupBy("segment").agg(F.max(F.struct(F.round("cosine", 9).alias("cosine"), (-F.col("template")).alias("t"), "licence")).alias("b")))
+            .groupBy("segment").agg(F.max(F.struct(F.round("cosine", 9).alias("cosine"), (-F.col("template")).alias("t"), "licence")).alias("b"),
+                                    F.max("matched").alias("matched")))
     best = materialise(best, "segments")
-    share = F.regexp_count("segment", F.lit(WORD)) >= F.col("n_words") * F.lit(file_share)
-    own = (found.withColumn("most", share).join(best, "segment").groupBy("key")
+    share = F.col("matched") >= F.col("n_words") * F.lit(file_share)
+    own = (found.join(best, "segment").withColumn("most", share).groupBy("key")
            .agg(F.max(F.struct("b.cosine", "b.t", "b.licence")).alias("own"), F.max("most").alias("whole")))
     own = materialise(own.select("key", "own.licence", "own.cosine", "whole"), "own")
 

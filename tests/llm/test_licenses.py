@@ -70,6 +70,16 @@ def test_the_nearest_directory_wins_and_ties_are_settled(frame):
     assert got.count(("t/u.txt", "GPL-3.0", "t")) == 2
 
 
+def test_other_words_weigh_the_same_at_any_table_size(frame):
+    rows = [("a", "Released bitte under the MIT hinweis License"), ("b", "bitte the hinweis of it"), ("c", "bitte hinweis the"), ("d", "the and of")]
+    got = []
+    for times in (2, 400):
+        df = frame([(k, t, p) for k in range(times) for p, t in rows]).withColumnRenamed("source", "path")
+        got += L.scan(df).where("path = 'a'").select("own_licence", "cosine").distinct().collect()
+    assert [r.own_licence for r in got] == ["MIT", "MIT"]
+    assert abs(got[0].cosine - got[1].cosine) < 0.05 and got[1].cosine > 0.75
+
+
 def test_empty(frame):
     assert L.scan(frame([(1, "x", "p")]).where("doc_id < 0").withColumnRenamed("source", "path")).collect() == []
 
