@@ -80,6 +80,28 @@ def test_other_words_weigh_the_same_at_any_table_size(frame):
     assert abs(got[0].cosine - got[1].cosine) < 0.05 and got[1].cosine > 0.75
 
 
+def test_notices_in_paragraphs_and_over_many_lines(frame):
+    gpl = L.TEMPLATES[7][1].split()
+    paragraph = "alpha beta gamma delta " * 12
+    rows = [("a/1", f"{paragraph}This work is licensed under the GNU General Public License, version 3. {paragraph}"),
+            ("b/1", "\n".join(" ".join(gpl[i:i + 3]) for i in range(0, len(gpl), 3)) + f"\n{paragraph}"), ("c/1", paragraph)]
+    df = frame([(i, t, p) for i, (p, t) in enumerate(rows)]).withColumnRenamed("source", "path")
+    got = {r.path: (r.own_licence, r.licence_file) for r in L.scan(df).collect()}
+    assert got == {"a/1": ("GPL-3.0", False), "b/1": ("GPL-3.0", False), "c/1": (None, False)}
+
+
+def test_whole_licence_texts_grant_to_their_directory(frame):
+    wrap = lambda t, k: "\n".join(" ".join(t.split()[i:i + k]) for i in range(0, len(t.split()), k))
+    mit, gpl = L.FILE_TEMPLATES[0][1], L.FILE_OPENINGS[1][1]
+    rows = [("m/1", "MIT License\n\nCopyright (c) 2021 A. Holder\n\n" + wrap(mit, 12)), ("m/2", "x"), ("g/1", wrap(gpl, 9) + "\nother words of the preamble " * 80), ("g/2", "x"),
+            ("h/1", wrap(mit, 12) + "\n" + "code of some program goes on " * 200), ("h/2", "x")]
+    df = frame([(i, t, p) for i, (p, t) in enumerate(rows)]).withColumnRenamed("source", "path")
+    got = {r.path: (r.licence, r.licence_file, r.inherited_from) for r in L.scan(df).collect()}
+    assert got["m/1"] == ("MIT", True, None) and got["m/2"] == ("MIT", False, "m")
+    assert got["g/1"] == ("GPL-3.0", True, None) and got["g/2"] == ("GPL-3.0", False, "g")
+    assert got["h/1"] == ("MIT", False, None) and got["h/2"] == (None, False, None)
+
+
 def test_empty(frame):
     assert L.scan(frame([(1, "x", "p")]).where("doc_id < 0").withColumnRenamed("source", "path")).collect() == []
 
