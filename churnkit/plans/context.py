@@ -285,12 +285,12 @@ class ModelChain(Chain):
         return self._once("champion", make)
 
     def oof(self) -> DataFrame:
-        """M9: out-of-fold scores of the champion's settings, written once."""
+        """M9: out-of-fold scores of the champion's full settings (those of ``winner``), written once."""
         from churnkit.operators import models as md
 
         def make():
             _, _, params = self.champion()
-            return md.oof_scores(md.boosted_factory(self.chosen_cols(), **md.coarse(params)),
+            return md.oof_scores(md.boosted_factory(self.chosen_cols(), **params),
                                  self.weighted(self.train, True), self.folds_k).checkpoint(eager=True)
 
         return self._once("oof", make)

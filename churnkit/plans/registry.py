@@ -622,15 +622,15 @@ def q_model_logistic(spark, sf_dir):
 
 @query("model_boosted")
 def q_model_boosted(spark, sf_dir):
-    """M7, coarse settings (the full fit is model_score's)."""
+    """M7, full settings."""
     m = mc(spark, sf_dir)
-    return _scored(md.boosted_pipeline(m.cols, **md.coarse({})).fit(m.weighted(m.train, positive_only=True)), m.test)
+    return _scored(md.boosted_pipeline(m.cols).fit(m.weighted(m.train, positive_only=True)), m.test)
 
 
 @query("cv_summary")
 def q_cv_summary(spark, sf_dir):
     m = mc(spark, sf_dir)
-    models = {"logistica": md.logistic_factory(m.cols), "boosted": md.boosted_factory(m.cols, **md.coarse({}))}
+    models = {"logistica": md.logistic_factory(m.cols), "boosted": md.boosted_factory(m.cols)}
     return round_doubles(md.cv_summary(models, m.weighted(m.train, positive_only=False), m.folds_k), 6)
 
 
