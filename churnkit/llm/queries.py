@@ -64,6 +64,11 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", "weak_label", "quality_score", "quality_keep")
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from churnkit.llm.filter_audit import audit
+    return audit(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpus_pipeline import run
     return run(spark, sf_dir)
@@ -80,6 +85,7 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_licenses": op9_licenses,
     "op10_quality": op10_quality,
+    "op13_filter_audit": op13_filter_audit,
     "pipeline": pipeline,
 }
 
@@ -88,4 +94,36 @@ LLM_ORACLE: dict[str, str] = {
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
                doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))""",
+    "op13_filter_audit": """
+        WITH words AS (
+            SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t,
+                   regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+        facts AS (
+            SELECT doc_id, part, len(w) < 200 AS a, 100 * len(list_distinct(w)) < 50 * len(w) AS b,
+                   100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t) AS c,
+                   regexp_matches(t, '[#$%&*|]') AS d, doc_id > min(doc_id) OVER (PARTITION BY t) AS e FROM words),
+        docs AS (
+            SELECT part, a::INT + 2 * b::INT + 4 * c::INT + 8 * d::INT + 16 * e::INT AS mask,
+                   coalesce(quality = 1, false)::INT AS good, coalesce(toxic = 1, false)::INT AS tox
+            FROM facts LEFT JOIN labels USING (doc_id)),
+        cells AS (SELECT part, mask, good, tox, count(*) AS n FROM docs GROUP BY ALL),
+        letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS l, unnest([1, 2, 4, 8, 16]) AS bit),
+        orders AS (
+            SELECT v.l || w.l || x.l || y.l || z.l AS filter_order, [v.bit, w.bit, x.bit, y.bit, z.bit] AS bits
+            FROM letters v, letters w, letters x, letters y, letters z
+            WHERE v.bit + w.bit + x.bit + y.bit + z.bit = 31 AND v.bit | w.bit | x.bit | y.bit | z.bit = 31),
+        steps AS (
+            SELECT filter_order, s AS step, bits[s] AS bit, coalesce(list_sum(bits[1:s - 1]), 0)::INT AS ran
+            FROM orders, (SELECT unnest([1, 2, 3, 4, 5]) AS s)),
+        counted AS (
+            SELECT part, filter_order, step::INT AS step, bit,
+                   sum(CASE WHEN mask & (ran | bit) = 0 THEN n ELSE 0 END)::BIGINT AS kept,
+                   sum(CASE WHEN mask & ran = 0 AND mask & bit <> 0 THEN n ELSE 0 END)::BIGINT AS removed,
+                   sum(CASE WHEN mask & ran <> 0 AND mask & bit <> 0 THEN n ELSE 0 END)::BIGINT AS redundant,
+                   sum(CASE WHEN mask = bit THEN n ELSE 0 END)::BIGINT AS unique_fails,
+                   sum(CASE WHEN mask & ran = 0 AND mask & bit <> 0 THEN n * good ELSE 0 END)::BIGINT AS good_lost,
+                   sum(CASE WHEN mask & ran = 0 AND mask & bit <> 0 THEN n * tox ELSE 0 END)::BIGINT AS toxic_lost
+            FROM cells, steps GROUP BY ALL)
+        SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+               (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley FROM counted""",
 }
