@@ -64,6 +64,13 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", "weak_label", "quality_score", "quality_keep")
 
 
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from churnkit.llm.byte_bpe import decode, encode
+    texts = decode(encode(documents(spark, sf_dir)))
+    return texts.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
+                        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     from churnkit.llm.filter_audit import audit
     return audit(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -85,6 +92,7 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_licenses": op9_licenses,
     "op10_quality": op10_quality,
+    "op12_byte_bpe": op12_byte_bpe,
     "op13_filter_audit": op13_filter_audit,
     "pipeline": pipeline,
 }
