@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from churnkit.functions.columns import fixed, safe_div
 from churnkit.functions.ordering import global_index, running_sums
+from churnkit.functions.ranks import counting_rank
 
 BP = 10_000
 # Fixed values of the reference evaluation.
@@ -246,29 +247,38 @@ def bundle_meta(scores: DataFrame, sc: DataFrame, threshold: float = OFFICIAL_TH
 
 
 def risk_ranking(scores: DataFrame, key: str = "CustomerID", prob: str = "prob_churn",
-                 label: str = "churn_real") -> DataFrame:
+                 label: str = "churn_real", upto: int | None = None, limit: int | None = None) -> DataFrame:
     """Scores rounded to 4 dp, ranked 1..n by (score desc, key asc).
 
-    The numbering is a range-partitioned global index, not a one-task window.
+    Ranks come from the counts of the 10,001 score values and of id ranges inside
+    hot ones: one hash shuffle, no sort of the whole table and no copy of it.
+    ``upto`` keeps the best ranks only.
     """
     rounded = scores.select(key, fixed(prob, 4).alias("prob_churn"), F.col(label).alias("churn_real"))
-    return global_index(rounded, [F.desc("prob_churn"), F.asc(key)], "rank_risco")
+    ranked = counting_rank(rounded.withColumn("_ck_bp", to_bp("prob_churn")), "_ck_bp", key, "rank_risco", limit=limit, upto=upto)
+    return ranked.drop("_ck_bp")
 
 
 TOP_DIRECT_MAX = 100_000
 
 
 def top_ranked(scores: DataFrame, k: int, key: str = "CustomerID", prob: str = "prob_churn",
-               label: str = "churn_real", direct_max: int = TOP_DIRECT_MAX) -> DataFrame:
+               label: str = "churn_real", direct_max: int | None = None) -> DataFrame:
     """The ``k`` best ranks of ``risk_ranking`` without ranking everything.
 
     For k up to ``direct_max`` this is ``orderBy(...).limit(k)``, which Spark
     runs as a bounded per-task top-k (TakeOrderedAndProject), followed by a
-    window over those k rows only; larger k use the global index.
+    window over those k rows only; larger k use the ranks by counting.
     """
     rounded = scores.select(key, fixed(prob, 4).alias("prob_churn"), F.col(label).alias("churn_real"))
-    if k > direct_max:
-        return risk_ranking(scores, key, prob, label).where(F.col("rank_risco") <= k)
+    return best_ranks(rounded, k, key, direct_max)
+
+
+def best_ranks(rows: DataFrame, k: int, key: str = "CustomerID", direct_max: int | None = None) -> DataFrame:
+    """The ``k`` best of ``rows`` (with ``prob_churn`` of 4 decimals) by (score desc, key asc), all columns, and ``rank_risco``."""
+    if k > (TOP_DIRECT_MAX if direct_max is None else direct_max):
+        ranked = counting_rank(rows.withColumn("_ck_bp", to_bp("prob_churn")), "_ck_bp", key, "rank_risco", upto=int(k))
+        return ranked.drop("_ck_bp")
     order = [F.desc("prob_churn"), F.asc(key)]
-    head = rounded.orderBy(*order).limit(int(k))
+    head = rows.orderBy(*order).limit(int(k))
     return head.select("*", F.row_number().over(Window.orderBy(*order)).cast("long").alias("rank_risco"))

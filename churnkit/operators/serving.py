@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from churnkit.functions.columns import fixed
+from churnkit.functions.heavy import heavy_keys, heavy_split_join
 from churnkit.operators.policy import RISK_REDUCTION_ON_ACCEPT, action_dim
 
 DETAIL_TOP = 1000
@@ -66,12 +67,14 @@ def client_lookup(detail: DataFrame, customer_id: int, strict: bool = False) ->
 def offer_outcome(log: DataFrame, scores: DataFrame, reduction: float = RISK_REDUCTION_ON_ACCEPT) -> DataFrame:
     """Per offer: cost, risk before, risk after (cut by ``reduction`` when accepted).
 
-    Offers of unknown customers or actions are rejected (inner joins).
+    Offers of unknown customers or actions are rejected (inner joins).  A customer
+    with a large share of the offers is split over several tasks.
     """
     dim = action_dim(log.sparkSession).select("acao", F.col("nome").alias("acao_nome"), "custo")
     risk = fixed("prob_churn", 4)
-    return (log.join(F.broadcast(dim), "acao")
-               .join(scores.select("CustomerID", risk.alias("risco_antes")), "CustomerID")
+    known = log.select("rodada", "CustomerID", "segmento", "acao", "aceitou").join(F.broadcast(dim), "acao")
+    heavy = heavy_keys(log, "CustomerID")
+    return (heavy_split_join(known, scores.select("CustomerID", risk.alias("risco_antes")), "CustomerID", ["rodada"], heavy=heavy)
                .select("rodada", "CustomerID", "segmento", "acao", "acao_nome", "custo", "aceitou",
                        "risco_antes",
                        F.when(F.col("aceitou") == 1,
@@ -112,33 +115,35 @@ def next_best_offer(segments: DataFrame, log: DataFrame, order: DataFrame) -> Da
                              .alias("proxima_acao")))
 
 
-def _campaign_base(ranked_reco: DataFrame, top_n: int, ltv: float, available: int | None = None) -> DataFrame:
-    """``ranked_reco``: recommendations with ``rank_risco`` (all of them, or
-    at least the ``top_n`` best); ``available`` is the number of customers
-    that could be chosen (counted when not given)."""
+def _campaign_cells(ranked_reco: DataFrame, top_n: int, ltv: float) -> DataFrame:
+    """Exact integer sums of the ``top_n`` best ranks per segment and action, as a local table.
+
+    ``ranked_reco``: recommendations with ``rank_risco``, all of them or at least
+    the ``top_n`` best.  Only segments x actions rows reach the driver, which
+    says there whether so many customers could be chosen.
+    """
     if not 0 < ltv <= MAX_LTV:
         raise ValueError("ltv out of range")
-    n = ranked_reco.count() if available is None else available
-    if not 1 <= top_n <= n:
-        raise ValueError(f"top_n must lie between 1 and {n}")
-    head = ranked_reco.where(F.col("rank_risco") <= top_n)
-    # exact integer sums: scores and rates have 4 decimals
-    return head.select("segmento", "acao_nome", _bp("prob_churn").alias("p_bp"),
-                       _bp("taxa_esperada").alias("r_bp"), F.col("custo").cast("long").alias("custo"))
-
-
-def _campaign_aggs():
-    return [F.count(F.lit(1)).alias("clientes"),
-            F.sum("r_bp").alias("aceites_u"), F.sum(F.col("p_bp") * F.col("r_bp")).alias("salvos_u"),
-            F.sum("p_bp").alias("perdidos_u"), F.sum(F.col("custo") * F.col("r_bp")).alias("custo_u")]
-
-
-def campaign_total(ranked_reco: DataFrame, top_n: int = 500, ltv: float = 600.0,
-                   available: int | None = None) -> DataFrame:
+    if top_n < 1:
+        raise ValueError("top_n must be at least 1")
+    # scores and rates have 4 decimals
+    head = ranked_reco.where(F.col("rank_risco") <= top_n).select(
+        "segmento", "acao_nome", _bp("prob_churn").alias("p_bp"), _bp("taxa_esperada").alias("r_bp"), F.col("custo").cast("long").alias("custo"))
+    cells = head.groupBy("segmento", "acao_nome").agg(
+        F.count(F.lit(1)).alias("clientes"), F.sum("r_bp").alias("aceites_u"), F.sum(F.col("p_bp") * F.col("r_bp")).alias("salvos_u"),
+        F.sum("p_bp").alias("perdidos_u"), F.sum(F.col("custo") * F.col("r_bp")).alias("custo_u"))
+    rows = cells.collect()  # segments x actions rows
+    chosen = sum(r["clientes"] for r in rows)
+    if chosen < top_n:
+        raise ValueError(f"top_n must lie between 1 and {chosen}")
+    return ranked_reco.sparkSession.createDataFrame(rows, cells.schema)
+
+
+def campaign_total(ranked_reco: DataFrame, top_n: int = 500, ltv: float = 600.0) -> DataFrame:
     """Expected accepts, customers saved, cost, preserved revenue and ROI of
     offering the recommended action to the ``top_n`` highest risks."""
-    base = _campaign_base(ranked_reco, top_n, ltv, available)
-    a = base.agg(*_campaign_aggs())
+    sums = ("aceites_u", "salvos_u", "perdidos_u", "custo_u")
+    a = _campaign_cells(ranked_reco, top_n, ltv).agg(*[F.sum(c).alias(c) for c in sums])
     salvos = F.col("salvos_u") / F.lit(1e8)
     custo = F.col("custo_u") / F.lit(1e4)
     receita = salvos * F.lit(float(ltv))
@@ -151,16 +156,14 @@ def campaign_total(ranked_reco: DataFrame, top_n: int = 500, ltv: float = 600.0,
                     fixed(F.when(custo != 0, (receita - custo) / custo).otherwise(F.lit(0.0)), 2).alias("roi"))
 
 
-def campaign_by_segment(ranked_reco: DataFrame, top_n: int = 500, ltv: float = 600.0,
-                        available: int | None = None) -> DataFrame:
+def campaign_by_segment(ranked_reco: DataFrame, top_n: int = 500, ltv: float = 600.0) -> DataFrame:
     """The same per segment (and its action), most customers first."""
-    base = _campaign_base(ranked_reco, top_n, ltv, available)
-    return (base.groupBy("segmento", "acao_nome").agg(*_campaign_aggs())
-                .select("segmento", "acao_nome", "clientes",
-                        fixed(F.col("aceites_u") / F.lit(1e4), 1).alias("aceites_esperados"),
-                        fixed(F.col("salvos_u") / F.lit(1e8), 1).alias("salvos_esperados"),
-                        fixed(F.col("custo_u") / F.lit(1e4), 2).alias("custo"))
-                .orderBy(F.desc("clientes"), "segmento"))
+    return (_campaign_cells(ranked_reco, top_n, ltv)
+            .select("segmento", "acao_nome", "clientes",
+                    fixed(F.col("aceites_u") / F.lit(1e4), 1).alias("aceites_esperados"),
+                    fixed(F.col("salvos_u") / F.lit(1e8), 1).alias("salvos_esperados"),
+                    fixed(F.col("custo_u") / F.lit(1e4), 2).alias("custo"))
+            .orderBy(F.desc("clientes"), "segmento"))
 
 
 def ranking_preview(ranking: DataFrame, rows: int = PREVIEW_ROWS) -> DataFrame:

@@ -137,22 +137,14 @@ class Chain(Fixture):
         from churnkit.operators import curves as cv
         return cv.top_ranked(self.scores, k)
 
-    def campaign_input(self, top_n: int) -> tuple[DataFrame, int]:
-        """Recommendations of the ``top_n`` highest risks among the customers
-        that have one, and how many rows that gives (fewer than ``top_n`` only
-        when ``top_n`` exceeds the eligible customers; no full count needed).
-
-        Score, segment and recommendation stand in one row per customer, so the
-        bounded top-k takes them all from one join."""
-        from pyspark.sql import Window
-
+    def campaign_input(self, top_n: int) -> DataFrame:
+        """Recommendations of the ``top_n`` highest risks among the customers that
+        have one, ranked.  A bounded top-k for small ``top_n``; beyond that the ranks
+        come from counts, and only score values above the cut are shuffled."""
         from churnkit.functions.columns import fixed
-        reco = self.reco.join(self.scores.select("CustomerID", fixed("prob_churn", 4).alias("prob_churn")), "CustomerID")
-        order = [F.desc("prob_churn"), F.asc("CustomerID")]
-        head = reco.orderBy(*order).limit(int(top_n))
-        head = head.withColumn("rank_risco", F.row_number().over(Window.orderBy(*order)).cast("long")).collect()  # top_n rows
-        schema = reco.schema.add("rank_risco", "long")
-        return self.spark.createDataFrame(head, schema), len(head)
+        from churnkit.operators import curves as cv
+        prob = self.scores.select("CustomerID", fixed("prob_churn", 4).alias("prob_churn"))
+        return cv.best_ranks(self.reco.join(prob, "CustomerID"), top_n)
 
     def factors_of(self, customers: DataFrame | None = None) -> DataFrame:
         """Labelled top factors of all customers, or of a few: those are chosen

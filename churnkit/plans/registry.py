@@ -429,14 +429,12 @@ CAMPAIGN_TOP, CAMPAIGN_LTV = 500, 600.0  # the reference's worked example
 
 @query("campaign_total")
 def q_campaign_total(spark, sf_dir):
-    head, available = ch(spark, sf_dir).campaign_input(CAMPAIGN_TOP)
-    return sv.campaign_total(head, CAMPAIGN_TOP, CAMPAIGN_LTV, available)
+    return sv.campaign_total(ch(spark, sf_dir).campaign_input(CAMPAIGN_TOP), CAMPAIGN_TOP, CAMPAIGN_LTV)
 
 
 @query("campaign_by_segment")
 def q_campaign_by_segment(spark, sf_dir):
-    head, available = ch(spark, sf_dir).campaign_input(CAMPAIGN_TOP)
-    return sv.campaign_by_segment(head, CAMPAIGN_TOP, CAMPAIGN_LTV, available)
+    return sv.campaign_by_segment(ch(spark, sf_dir).campaign_input(CAMPAIGN_TOP), CAMPAIGN_TOP, CAMPAIGN_LTV)
 
 
 @query("ranking_preview")

@@ -181,13 +181,15 @@ def offer_events(spark: SparkSession, sf_dir: str, segments: DataFrame) -> DataF
 
     One offer per event of a known customer (``signup`` excluded); the segment is
     the customer's rule segment from ``segments`` ``(CustomerID, segmento)``.
-    Counters need no more than this: one join, no sort.
+    Counters need no more than this: one join, no sort; a customer with a large
+    share of the events is split over several tasks.
     """
+    from churnkit.functions.heavy import heavy_split_join
     ev = (table(spark, sf_dir, "events")
           .where(F.col("event_type").isin(list(EVENT_ACTION)))
-          .select("event_id", "ts", "user_id", "event_type", "value"))
+          .select("event_id", "ts", F.col("user_id").alias("CustomerID"), "event_type", "value"))
     amap = F.create_map(*[F.lit(x) for kv in EVENT_ACTION.items() for x in kv])
-    return (ev.join(segments.select("CustomerID", "segmento"), ev.user_id == segments.CustomerID)
+    return (heavy_split_join(ev, segments.select("CustomerID", "segmento"), "CustomerID", ["event_id"])
               .select("ts", "event_id", "CustomerID", "segmento", amap[F.col("event_type")].alias("acao"),
                       (F.col("value") >= ACCEPT_VALUE).cast("int").alias("aceitou")))
 
