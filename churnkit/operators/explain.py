@@ -93,8 +93,12 @@ def attribution_top(long: DataFrame, k: int = TOP_FACTORS, key: str = "CustomerI
 
 def attribution_global(long: DataFrame, k: int = TOP_GLOBAL) -> DataFrame:
     """Mean |contribution| per variable (of values not rounded), the k largest, with labels."""
-    g = (long.groupBy("variavel").agg(F.avg(F.abs("shap")).alias("impacto"))
-             .orderBy(F.desc("impacto"), "variavel").limit(k))
+    return largest_global(long.groupBy("variavel").agg(F.avg(F.abs("shap")).alias("impacto")), k)
+
+
+def largest_global(impacts: DataFrame, k: int = TOP_GLOBAL) -> DataFrame:
+    """The ``k`` largest of (variavel, impacto), ties by name, with labels."""
+    g = impacts.select("variavel", "impacto").orderBy(F.desc("impacto"), "variavel").limit(k)
     return with_labels(g).select("variavel", "rotulo", fixed("impacto", 4).alias("impacto_medio"))
 
 

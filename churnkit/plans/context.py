@@ -260,7 +260,8 @@ class ModelChain(Chain):
         """M10 on the columns that the ablation keeps."""
         from churnkit.operators import models as md
         return self._once("search", lambda: md.random_search(
-            self.chosen_cols(), self.weighted(self.train_search, True), md.draw_candidates(md.SEARCH_DRAWS), self.search_k))
+            self.chosen_cols(), self.weighted(self.train_search, True),
+            md.draw_candidates(md.SEARCH_SETTINGS, stages=md.SEARCH_STAGES), self.search_k))
 
     def champion(self) -> tuple[DataFrame, str, dict]:
         """The incumbent's settings against the best candidate's, 5 folds; (table, winner, settings)."""

@@ -708,6 +708,16 @@ def q_attribution_tree(spark, sf_dir):
                       fixed("valor", 3).alias("valor"), fixed("base", 4).alias("base"))
 
 
+@query("attribution_global_tree")
+def q_attribution_global_tree(spark, sf_dir):
+    """X2 on the boosted winner: mean |attribution| over the test rows, the 15 largest, summed as one vector per task."""
+    m = mc(spark, sf_dir)
+    model = m.winner()
+    nodes = _saved_nodes(spark, model).collect()  # model-sized
+    out = ts.global_tree_attributions(m.test, m.chosen_cols(), nodes, model.stages[-1].treeWeights)
+    return ex.largest_global(out)
+
+
 @query("bundle_export")
 def q_bundle_export(spark, sf_dir):
     """Dashboard members written as parquet tables; manifest of row counts."""
