@@ -1,15 +1,18 @@
 """Quality classifier from weak labels.
 
-Heuristic labellers look at the whole text and vote bad, good or not at all.
+Overlapping heuristic labellers look at the whole text and vote bad, good or not
+at all; each is meant for one kind of bad document, and each kind has at least two.
 Expectation-maximisation over the counts of vote patterns of all documents
-estimates how each labeller votes on good and on bad documents (no ground truth
-is read); the posterior of a document's pattern is its soft label.  A linear
-scorer over hashed features learns these labels and scores every document.
+estimates how often each labeller votes bad on good documents and on each kind of
+bad ones (no ground truth is read); the posterior of a document's pattern is its
+soft label.  A linear scorer over hashed features learns these labels and scores
+every document.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 from itertools import pairwise
 
 import numpy as np
@@ -22,17 +25,21 @@ from churnkit.llm.common import as_bytes, batch, fresh, materialise, text_of
 #: the scorer is fitted on the documents with the smallest hashes, so many at most
 FIT_ROWS = 4096
 DIMS = 1 << 12  # hashed byte trigrams; DIMS and DIMS + 1 are the share of repeated words and of repeated lines
-#: a labeller votes bad on at most this share of good documents
-MAX_ERROR = 0.0002
 ABSTAIN, BAD, GOOD = 0, 1, 2
-#: very common words of English, French, German and Spanish (fixed values)
-COMMON = frozenset(b"the of and to in is that a de la le les et un une des en der die das und ist zu el los las que y por con es".split())
-RUNS = re.compile(rb"[!#$%&*]{2,}")
+SIGNS = rb"#$%&*|<>{}~^\\"
+SIGN_RUNS = re.compile(rb"[" + SIGNS + rb"]{2,}")
+NOT_SIGNS = bytes(b for b in range(256) if not re.match(rb"[" + SIGNS + rb"]", bytes([b])))
+MARKS = bytes(b for b in range(33, 127) if not chr(b).isalnum())
 UPPER, LOWER = bytes(range(65, 91)), bytes(range(97, 123))
+BLOCK = 50  # words
+#: the kinds of bad documents that the labellers look for, in the order of ``votes``
+KINDS = ("signs", "signs", "tables", "tables", "shouting", "shouting", "shouting", "repetition", "repetition", "repetition", "blank", "blank")
+N_LABELLERS = len(KINDS)
 
 
-def _vote(bad: bool, good: bool) -> int:
-    return BAD if bad else GOOD if good else ABSTAIN
+def _vote(known: bool, value: float, good: float, bad: float) -> int:
+    """BAD above ``bad``, GOOD up to ``good``, no vote between them or if the text doesn't show the value."""
+    return ABSTAIN if not known else BAD if value > bad else GOOD if value <= good else ABSTAIN
 
 
 def measures(text: bytes) -> tuple[list[bytes], float, float]:
@@ -46,54 +53,68 @@ def votes(text: bytes) -> list[int]:
     """One vote of each labeller on a whole text."""
     words, same, lines = measures(text)
     n = len(words)
+    some = max(1, n)
     up, low = len(text) - len(text.translate(None, UPPER)), len(text) - len(text.translate(None, LOWER))
-    caps = up / (up + low) if up + low else 0.0
-    runs, pipes = len(RUNS.findall(text)) / max(1, n), text.count(b"|") / max(1, n)
-    common = sum(w.lower() in COMMON for w in words) / max(1, n)
-    mean = sum(map(len, words)) / max(1, n)
+    letters = up + low
+    blocks = [words[k:k + BLOCK] for k in range(0, n, BLOCK) if n - k >= BLOCK // 2]
+    told = sum(len(set(x)) for x in blocks) / max(1, sum(map(len, blocks)))
+    wordlike = text.translate(None, MARKS + b" \t\n\r\x0b\x0c")
     return [
-        _vote(runs > 0.1, runs < 0.01 and n > 0),
-        _vote(up + low >= 20 and caps > 0.3, up + low >= 20 and caps < 0.15),
-        _vote(pipes > 0.1, pipes == 0 and n > 0),
-        _vote(n >= 5 and same > 0.2, n >= 5 and same < 0.05),
-        _vote(False, n >= 20 and common > 0.05),
-        _vote(text.count(b"\n") >= 5 and lines > 0.8, text.count(b"\n") >= 2 and lines < 0.2),
-        _vote(n == 0, False),
-        _vote(n > 0 and (mean > 40 or mean < 1.5), 3 <= mean <= 12),
+        _vote(n >= 5, len(text.translate(None, NOT_SIGNS)) / some, 0.02, 0.1),
+        _vote(n >= 5, len(SIGN_RUNS.findall(text)) / some, 0.01, 0.1),
+        _vote(n >= 5, text.count(b"|") / some, 0.01, 0.1),
+        _vote(n >= 20, sum(not w.strip(MARKS) for w in words) / some, 0.02, 0.1),
+        _vote(letters >= 20, up / max(1, letters), 0.15, 0.3),
+        _vote(n >= 5, sum(len(w) > 2 and w.isupper() for w in words) / some, 0.05, 0.2),
+        _vote(n >= 5, (text.count(b"!") + text.count(b"?")) / some, 0.05, 0.2),
+        _vote(n >= 5, same, 0.05, 0.2),
+        _vote(bool(blocks), 1 - told, 0.4, 0.6),
+        _vote(text.count(b"\n") >= 4, lines, 0.2, 0.8),
+        BAD if n == 0 else ABSTAIN,
+        BAD if not wordlike else ABSTAIN,
     ]
 
 
-N_LABELLERS = 8
+#: what is believed of a labeller before any data, as so many votes: (bad votes, good votes)
+ON_GOOD, ON_OWN, ON_OTHER = (0.2, 9.8), (7.0, 3.0), (1.0, 9.0)
 
 
-def fit_labellers(patterns: np.ndarray, counts: np.ndarray, rounds: int = 500) -> tuple[np.ndarray, np.ndarray, float]:
-    """EM over distinct vote patterns: (posterior of good by pattern, P(bad vote | votes, class) [labeller, class], prior of good).
+def fit_labellers(patterns: np.ndarray, counts: np.ndarray, kinds: Sequence[str] = KINDS, rounds: int = 1000,
+                  until: float = 1e-10) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """EM over distinct vote patterns: (posterior of good by pattern, P(bad vote | a vote, class) [labeller, class], class shares).
 
-    Starts from the belief that a document with a bad vote is bad.  Votes are
-    independent given the class and whether a labeller votes at all says nothing
-    (an abstention is missing data); counts are smoothed.  Two assumptions tell the
-    classes apart, since there are several kinds of bad documents, each seen by few
-    labellers, and the likelihood alone would as well call only the largest kind
-    bad, or everything: together the labellers see every kind, so a document
-    without a bad vote is good; and a labeller is wrong about few good documents
-    (``MAX_ERROR``) and never worse than chance.
+    Class 0 is good; each kind of bad documents is a class of its own, since kinds
+    hardly overlap: a class of all bad documents would look like the largest kind.
+    Votes are independent given the class, and whether a labeller votes at all
+    says nothing (an abstention is missing data).  All error rates are estimated.
+    What tells the classes apart is a belief of ten votes per rate: a labeller
+    mostly votes bad on its own kind and seldom on others; and the start,
+    where a document is of a kind as far as that kind's labellers agree.  With
+    thousands of documents ten votes weigh nothing: a labeller that errs on many
+    good documents is found out by the others of its kind and is outvoted.
     """
-    is_bad, voted = patterns == BAD, patterns != ABSTAIN
-    seen = is_bad.any(1)
-    good = np.where(seen, 0.1, 1.0)
-    rate, prior = np.full((patterns.shape[1], 2), 0.5), 0.5
+    names = list(dict.fromkeys(kinds))
+    own = np.array([[k == name for name in names] for k in kinds])  # labeller, kind
+    bad, voted = (patterns == BAD).astype(float), (patterns != ABSTAIN).astype(float)
+    share = (bad @ own) / np.maximum(voted @ own, 1)
+    start = np.concatenate([np.prod(1 - share, axis=1, keepdims=True), share ** 2], axis=1)
+    post = start / start.sum(axis=1, keepdims=True)
+    belief = np.where(own[..., None], ON_OWN, ON_OTHER)  # labeller, kind, (bad, good)
+    belief = np.concatenate([np.broadcast_to(np.array(ON_GOOD), (len(kinds), 1, 2)), belief], axis=1)
+    rate, prior = np.zeros(belief.shape[:2]), np.zeros(len(names) + 1)
     for _ in range(rounds):
-        weight = np.stack([counts * (1 - good), counts * good], axis=1)  # class 0: bad
-        prior = (weight[:, 1].sum() + 1) / (counts.sum() + 2)
-        rate = (is_bad.T.astype(float) @ weight + 0.1) / (voted.T.astype(float) @ weight + 1)
-        rate[:, 1] = np.minimum(rate[:, 1], MAX_ERROR)
-        rate[:, 0] = np.maximum(rate[:, 0], rate[:, 1])
-        logs = np.log(np.array([1 - prior, prior]))[None, :] + is_bad @ np.log(rate) + (voted & ~is_bad) @ np.log(1 - rate)
-        new = np.where(seen, 1 / (1 + np.exp(np.clip(logs[:, 0] - logs[:, 1], -500, 500))), 1.0)
-        if np.abs(new - good).max() < 1e-9:
+        weight = post * counts[:, None]
+        prior = (weight.sum(axis=0) + 1) / (counts.sum() + len(names) + 1)
+        yes, all_ = bad.T @ weight, voted.T @ weight
+        rate = (yes + belief[..., 0]) / (all_ + belief.sum(axis=2))
+        logs = np.log(prior) + bad @ np.log(rate) + (voted - bad) @ np.log(1 - rate)
+        new = np.exp(logs - logs.max(axis=1, keepdims=True))
+        new /= new.sum(axis=1, keepdims=True)
+        moved = np.abs(new - post).max()
+        post = new
+        if moved < until:
             break
-        good = new
-    return good, rate, prior
+    return post[:, 0], rate, prior
 
 
 def bins(text: bytes) -> np.ndarray:
@@ -140,13 +161,17 @@ def score(text: bytes, w: np.ndarray, b: float) -> float:
     return float(1 / (1 + np.exp(-np.clip(z, -500, 500))))
 
 
+NAMES = ("weak_label", "quality_score", "quality_keep")
+
+
 def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fit_rows: int = FIT_ROWS,
-             threshold: float = 0.5) -> DataFrame:
+             threshold: float = 0.5, names: Sequence[str] = NAMES) -> DataFrame:
     """``docs`` with columns weak_label (posterior of good from the votes), quality_score and quality_keep added.
 
-    Null text counts as empty, which votes bad once and scores by the bias; null
-    ids, repeated rows and other columns pass through (existing columns of the
-    three names are replaced).  An empty table gives an empty result.  The scorer
+    Null text counts as empty, which only the labellers of blank texts vote on,
+    and scores by the bias; null ids, repeated rows and other columns pass through.
+    ``names`` are the names of the three columns; existing columns of these names
+    are replaced.  An empty table gives an empty result.  The scorer
     is fitted on ``fit_rows`` documents at most, those with the smallest hash of
     id and text; votes, patterns and scores cover all documents.
     """
@@ -186,8 +211,7 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fi
     w, bias = fit_scorer(x, y) if len(sample) else (np.zeros(DIMS + 2, dtype=np.float32), 0.0)
     model = spark.sparkContext.broadcast((w, bias, posterior))  # DIMS weights and 3 ** labellers posteriors
 
-    cols = [c for c in docs.columns if c not in ("weak_label", "quality_score", "quality_keep")]
-    scored = pa.schema([("weak_label", pa.float64()), ("quality_score", pa.float64()), ("quality_keep", pa.bool_())])
+    cols = [c for c in docs.columns if c.lower() not in {x.lower() for x in names}]
     full = docs.select(*[F.col(f"`{c}`") for c in cols])
 
     def run(batches):
@@ -198,12 +222,20 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fi
             s = np.array([score(t, w, bias) for t in texts])
             yield pa.RecordBatch.from_arrays(
                 [*[b.column(i) for i in range(b.num_columns - 1)], pa.array(weak, pa.float64()), pa.array(s, pa.float64()), pa.array(s >= threshold)],
-                names=[*cols, *scored.names])
+                names=[*cols, *names])
 
-    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in full.schema], "weak_label double, quality_score double, quality_keep boolean"])
+    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in full.schema],
+                        *[f"`{c}` {kind}" for c, kind in zip(names, ("double", "double", "boolean"))]])
     return full.withColumn(fresh(full, "text for scoring")[0], text_of(text_col)).mapInArrow(run, schema)
 
 
 def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` that the scorer keeps, all columns."""
-    return classify(docs, id_col, text_col, **options).where("quality_keep").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The rows of ``docs`` that the scorer keeps, all columns with their values.
+
+    Columns that are named like the classifier's own keep their values.  Null ids
+    and repeated rows are judged by their text like all others, so equal texts
+    stay or go together; null and empty texts go where blank texts are seen to be
+    bad; an empty table stays empty.
+    """
+    names = fresh(docs, *NAMES)
+    return classify(docs, id_col, text_col, names=names, **options).where(F.col(names[2])).select(*[F.col(f"`{c}`") for c in docs.columns])
