@@ -32,10 +32,10 @@ GONE = -1
 class PairIndexBpe:
     """Ids of whole texts as the tokenizer's library gives them, packed as little-endian uint32, and texts of ids."""
 
-    CACHE = 1 << 20    # pieces whose ids are kept
+    CACHE = 1 << 19    # pieces whose ids are kept
     KEPT = 64          # longer pieces aren't
-    TEXTS = 1 << 21    # characters of text that are cut into pieces at a time
-    INDEXED = 1 << 20  # bytes of new pieces that one index holds (a longer piece alone)
+    TEXTS = 1 << 20    # characters of text that are cut into pieces at a time
+    INDEXED = 1 << 19  # bytes of new pieces that one index holds (a longer piece alone)
 
     def __init__(self, path: str):
         import regex
