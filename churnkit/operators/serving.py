@@ -82,37 +82,62 @@ def offer_outcome(log: DataFrame, scores: DataFrame, reduction: float = RISK_RED
                         .otherwise(F.col("risco_antes")).alias("risco_depois")))
 
 
-def next_best_offer(segments: DataFrame, log: DataFrame, order: DataFrame) -> DataFrame:
-    """Per customer: retained if any accept, cost of accepted offers, and the
-    next action - the first in the learned order not yet tried, or manual
-    handling when none is left.  Customers never contacted get the best action.
+#: what is kept per customer for G6; ``tentadas`` has a bit for each action in list order
+OFFER_STATE = "CustomerID long, segmento string, retido int, custo_total long, tentativas long, tentadas int"
 
-    One aggregation per customer; the set of tried actions is bounded by the
-    action list (4).  The learned order (segments x actions) is a literal map.
-    """
+
+def offer_state(log: DataFrame) -> DataFrame:
+    """Per customer of a log (a whole one or an increment): retained, cost of accepted offers, offers, actions tried.
+
+    All four combine by max, sum, sum and or, so increments can be merged."""
     from churnkit.operators.policy import ACTIONS
     cost = F.create_map(*[x for a, _, c in ACTIONS for x in (F.lit(a), F.lit(int(c)))])
-    hist = log.groupBy("CustomerID").agg(
-        F.max("aceitou").alias("retido"),
-        F.sum(F.when(F.col("aceitou") == 1, cost[F.col("acao")]).otherwise(0)).alias("custo_total"),
-        F.count(F.lit(1)).alias("tentativas"),
-        F.collect_set("acao").alias("tentadas"))
+    bit = F.create_map(*[x for k, (a, _, _) in enumerate(ACTIONS) for x in (F.lit(a), F.lit(1 << k))])
+    return log.groupBy("CustomerID").agg(
+        F.max("aceitou").cast("int").alias("retido"),
+        F.sum(F.when(F.col("aceitou") == 1, cost[F.col("acao")]).otherwise(0)).cast("long").alias("custo_total"),
+        F.count(F.lit(1)).alias("tentativas"), F.bit_or(bit[F.col("acao")]).cast("int").alias("tentadas"))
+
+
+def merge_offer_state(old: DataFrame, new: DataFrame) -> DataFrame:
+    """State rows after an increment; customers that the table lacks are not added."""
+    n = new.select("CustomerID", *[F.col(c).alias(f"n_{c}") for c in ("retido", "custo_total", "tentativas", "tentadas")])
+    return old.join(n, "CustomerID", "left").select(
+        "CustomerID", "segmento", F.greatest("retido", F.coalesce("n_retido", F.lit(0))).cast("int").alias("retido"),
+        (F.col("custo_total") + F.coalesce("n_custo_total", F.lit(0))).cast("long").alias("custo_total"),
+        (F.col("tentativas") + F.coalesce("n_tentativas", F.lit(0))).cast("long").alias("tentativas"),
+        F.col("tentadas").bitwiseOR(F.coalesce("n_tentadas", F.lit(0))).cast("int").alias("tentadas"))
+
+
+def next_offer_of(state: DataFrame, order: DataFrame) -> DataFrame:
+    """The next action of each state row: the first in the learned order not yet tried, manual handling when none is left."""
+    from churnkit.operators.policy import ACTIONS
+    place = {a: k for k, (a, _, _) in enumerate(ACTIONS)}
     seq: dict[str, list[tuple[int, str]]] = {}
     for r in order.select("segmento", "acao", "ordem").collect():  # segments x actions rows
         seq.setdefault(r["segmento"], []).append((r["ordem"], r["acao"]))
-    learned = F.create_map(*[x for sg, lst in sorted(seq.items())
-                             for x in (F.lit(sg), F.array(*[F.lit(a) for _, a in sorted(lst)]))])
-    tried = F.coalesce(F.col("tentadas"), F.array().cast("array<string>"))
-    left = F.filter(learned[F.col("segmento")], lambda a: ~F.array_contains(tried, a))
-    retained = F.coalesce(F.col("retido"), F.lit(0)) == 1
-    return (segments.select("CustomerID", "segmento").join(hist, "CustomerID", "left")
-                    .select("CustomerID", "segmento",
-                            F.coalesce("retido", F.lit(0)).cast("int").alias("retido"),
-                            F.coalesce("custo_total", F.lit(0)).cast("long").alias("custo_total"),
-                            F.coalesce("tentativas", F.lit(0)).cast("long").alias("tentativas"),
-                            F.when(retained, F.lit(None).cast("string"))
-                             .otherwise(F.coalesce(F.try_element_at(left, F.lit(1)), F.lit(MANUAL)))
-                             .alias("proxima_acao")))
+    next_ = F.lit(None).cast("string")
+    for sg, actions in sorted(seq.items()):
+        first = F.coalesce(*[F.when(F.col("tentadas").bitwiseAND(F.lit(1 << place[a])) == 0, F.lit(a)) for _, a in sorted(actions)])
+        next_ = F.when(F.col("segmento") == sg, first).otherwise(next_)
+    return state.select("CustomerID", "segmento", "retido", "custo_total", "tentativas",
+                        F.when(F.col("retido") == 1, F.lit(None).cast("string")).otherwise(F.coalesce(next_, F.lit(MANUAL))).alias("proxima_acao"))
+
+
+def never_contacted(segments: DataFrame) -> DataFrame:
+    """State rows of customers without offers."""
+    return segments.select("CustomerID", "segmento", F.lit(0).alias("retido"), F.lit(0).cast("long").alias("custo_total"),
+                           F.lit(0).cast("long").alias("tentativas"), F.lit(0).alias("tentadas"))
+
+
+def next_best_offer(segments: DataFrame, log: DataFrame, order: DataFrame) -> DataFrame:
+    """Per customer: retained if any accept, cost of accepted offers, and the
+    next action - the first in the learned order not yet tried, or manual
+    handling when none is left.  Customers never contacted get the best action.
+
+    One aggregation per customer; the tried actions are a bit set.
+    """
+    return next_offer_of(merge_offer_state(never_contacted(segments), offer_state(log)), order)
 
 
 def _campaign_cells(ranked_reco: DataFrame, top_n: int, ltv: float) -> DataFrame:

@@ -328,6 +328,7 @@ def q_risk_ranking(spark, sf_dir):
 from churnkit.operators import explain as ex  # noqa: E402
 from churnkit.operators import policy as pol  # noqa: E402
 from churnkit.operators import serving as sv  # noqa: E402
+from churnkit.session import scratch_path  # noqa: E402
 from churnkit.operators import split as sp  # noqa: E402
 from churnkit.plans.context import Chain  # noqa: E402
 
@@ -424,6 +425,20 @@ def q_next_best_offer(spark, sf_dir):
     return sv.next_best_offer(c.segments, c.offer_events, c.order)
 
 
+@query("next_offer_upsert")
+def q_next_offer_upsert(spark, sf_dir):
+    """G6 kept as a bucketed table: created from the segments, then three increments of the log upserted
+    (one of them delivered twice)."""
+    from churnkit.sources.upsert import BucketTable
+    c = ch(spark, sf_dir)
+    table = BucketTable(spark, scratch_path(spark, "next-offers"), sv.OFFER_STATE, "CustomerID", buckets=16)
+    table.create(sv.never_contacted(c.segments))
+    log = c.offer_events
+    for k in (0, 1, 2, 1):
+        table.upsert(sv.offer_state(log.where(F.col("event_id") % 3 == k)), sv.merge_offer_state, batch=f"parte-{k}")
+    return sv.next_offer_of(table.read(), c.order)
+
+
 CAMPAIGN_TOP, CAMPAIGN_LTV = 500, 600.0  # the reference's worked example
 
 
@@ -509,7 +524,6 @@ def q_standardise(spark, sf_dir):
 
 
 # ------------------------------------------------------ 2.1 sources / sinks
-from churnkit.session import scratch_path  # noqa: E402
 from churnkit.sources import io as sio  # noqa: E402
 
 
@@ -723,3 +737,22 @@ def q_bundle_export(spark, sf_dir):
     """Dashboard members written as parquet tables; manifest of row counts."""
     from churnkit.plans.bundle import export_bundle
     return export_bundle(ch(spark, sf_dir), scratch_path(spark, "bundle"))
+
+
+@query("publication_manifest")
+def q_publication_manifest(spark, sf_dir):
+    """S11 + M12 as versions: the bundle is published with its AUC, then two challengers, one that loses and
+    one that wins; the rows that readers resolve and the log's verdict on each version."""
+    from churnkit.operators import curves as cv
+    from churnkit.sources import publish as pb
+    c = ch(spark, sf_dir)
+    base = scratch_path(spark, "published")
+    sc = _sc(spark, sf_dir)
+    auc = cv.auc_roc(sc).first()[0]
+    small = {"meta": cv.bundle_meta(c.scores, sc), "roc": cv.roc_reduced(sc), "distribuicao": cv.score_histogram(sc), "politica": c.order}
+    pb.publish(spark, base, small, metric=auc)
+    pb.publish(spark, base, {"politica": c.order}, metric=1.0 - auc)  # the scores turned round
+    pb.publish(spark, base, {**small, "ranking": sv.ranking_preview(c.top(sv.PREVIEW_ROWS))}, metric=auc)  # ties win
+    now = max(r["versao"] for r in pb.current(spark, base))
+    return pb.commits(spark, base).select("versao", "membro", "linhas", fixed("metrica", 6).alias("metrica"), "promovida",
+                                          (F.col("versao") == now).alias("atual"))

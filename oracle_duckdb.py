@@ -769,3 +769,15 @@ gl AS (SELECT g.variavel, coalesce(l.rotulo_dic,
        FROM g LEFT JOIN labels l ON g.variavel = l.variavel),
 r AS (SELECT *, row_number() OVER (ORDER BY impacto_medio DESC, variavel) AS pos FROM gl)
 SELECT variavel, rotulo, impacto_medio, {R('impacto_medio / max(impacto_medio) OVER ()', 4)} AS escala FROM r WHERE pos <= 10"""
+
+ORACLE["next_offer_upsert"] = ORACLE["next_best_offer"]
+_members = """('meta', CAST(1 AS BIGINT)), ('roc', (SELECT least(count(*), 200) FROM roc_pts)),
+  ('distribuicao', CAST(40 AS BIGINT)), ('politica', (SELECT count(*) FROM pord))"""
+ORACLE["publication_manifest"] = f"""WITH {SERVE}{ROC[len(SCORES):]},
+auc AS (SELECT a FROM (SELECT auc_roc AS a FROM ({ORACLE['auc_roc']}))),
+m AS (
+  SELECT CAST(1 AS BIGINT) AS versao, membro, linhas, a AS metrica, true AS promovida FROM (VALUES {_members}) t(membro, linhas), auc
+  UNION ALL SELECT 2, 'politica', (SELECT count(*) FROM pord), 1 - a, 1 - a >= a FROM auc
+  UNION ALL SELECT 3, membro, linhas, a, a >= 1 - a FROM (VALUES {_members},
+    ('ranking', (SELECT least(count(*), 100) FROM fx_scores))) t(membro, linhas), auc)
+SELECT versao, membro, linhas, {R('metrica', 6)} AS metrica, promovida, versao = 3 AS atual FROM m"""
