@@ -99,3 +99,9 @@ def with_labels(df: DataFrame, col: str = "variavel") -> DataFrame:
     return (df.join(tab, col, "left")
               .withColumn("rotulo", F.coalesce(F.col("rotulo_dic"), prefix_label(F.col(col)), F.col(col)))
               .drop("rotulo_dic"))
+
+
+def label_of(c: Column) -> Column:
+    """X4 as an expression, for variables inside an array (the dictionary as a literal map)."""
+    words = F.create_map(*[F.lit(x) for kv in LABELS.items() for x in kv])
+    return F.coalesce(F.try_element_at(words, c), prefix_label(c), c)

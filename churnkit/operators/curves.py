@@ -236,6 +236,20 @@ def compare_thresholds(sc: DataFrame, labelled: Sequence[tuple[str, float]]) ->
                      fixed(F.col("recall") - F.col("_r0"), 4).alias("delta_recall")))
 
 
+def compare_models(models: Sequence[tuple[str, DataFrame, float]]) -> DataFrame:
+    """Metrics of several models' score counts, each at its own threshold, with the
+    change in false positives and recall against the first model."""
+    out = None
+    for k, (name, sc, t) in enumerate(models):
+        m = _metrics(_threshold_counts(sc, [int(round(t * BP))]), 4).select(F.lit(k).alias("_k"), F.lit(name).alias("modelo"), "*")
+        out = m if out is None else out.unionByName(m)
+    base = out.where("_k = 0").select(F.col("fp").alias("_fp0"), F.col("recall").alias("_r0"))  # one row
+    return (out.join(F.broadcast(base), how="left")
+               .select("modelo", "threshold", "recall", "precision", "fp", "fn", "abordados",
+                       (F.col("_fp0") - F.col("fp")).alias("fp_economizados"),
+                       fixed(F.col("recall") - F.col("_r0"), 4).alias("delta_recall")))
+
+
 def bundle_meta(scores: DataFrame, sc: DataFrame, threshold: float = OFFICIAL_THRESHOLD,
                 label: str = "churn_real") -> DataFrame:
     """Test-set summary: AUC, official threshold, size, target rate."""

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from churnkit.functions.columns import fixed
-from churnkit.functions.labels import with_labels
+from churnkit.functions.labels import label_of, with_labels
 
 TOP_FACTORS = 5
 TOP_GLOBAL = 15
@@ -83,6 +83,20 @@ def top_factors_in_row(x: DataFrame, coefs: Mapping[str, float], intercept: floa
                .select(key, "ordem", "variavel", *_rounded(base), "maior"))
 
 
+def factor_documents(x: DataFrame, coefs: Mapping[str, float], intercept: float, k: int = TOP_FACTORS,
+                     key: str = "CustomerID", fit_on: DataFrame | None = None) -> DataFrame:
+    """S8 form of X1 + X3 + X4: (key, base, fatores), the k largest factors of each row with
+    their labels as one array.  Everything happens inside the row: nothing is exploded or grouped."""
+    means, base = linear_base(x if fit_on is None else fit_on, coefs, intercept)
+    arr = F.transform(_contrib_array(coefs, means), lambda s: F.struct(
+        (-F.abs(s["shap"])).alias("k"), s["variavel"].alias("variavel"), s["shap"].alias("shap"), s["valor"].alias("valor")))
+    best = x.select(key, F.slice(F.sort_array(arr), 1, k).alias("top"))
+    factor = F.transform("top", lambda s, i: F.struct(
+        (i + 1).cast("int").alias("ordem"), s["variavel"].alias("variavel"), label_of(s["variavel"]).alias("rotulo"),
+        fixed(s["shap"], 4).alias("shap"), fixed(s["valor"], 3).alias("valor")))
+    return best.select(key, fixed(F.lit(base), 4).alias("base"), factor.alias("fatores"))
+
+
 def attribution_top(long: DataFrame, k: int = TOP_FACTORS, key: str = "CustomerID") -> DataFrame:
     """X3 for a long attribution table: k largest |shap| per customer, ties by name."""
     from pyspark.sql import Window

@@ -313,6 +313,54 @@ def q_compare_models(spark, sf_dir):
     return cv.compare_thresholds(_sc(spark, sf_dir), COMPARED)
 
 
+@query("compare_two_models")
+def q_compare_two_models(spark, sf_dir):
+    """E9 on two score tables: the first at .25, the second at the threshold its own recall rule gives."""
+    from churnkit.sources import fixtures
+    f = fx(spark, sf_dir)
+    new = cv.score_counts(fixtures.challenger_scores(spark, sf_dir, f.raw))
+    t = cv.threshold_recall(new).first()["threshold"]
+    return cv.compare_models([("anterior", cv.score_counts(f.scores), 0.25), ("melhorado", new, t)])
+
+
+def _change_sets(scores):
+    """Three change sets of the score table, and the table before them: scores that move, customers that
+    leave, then customers that come and more that move."""
+    k = F.col("CustomerID")
+    held_out = k % 13 == 5
+    bp = cv.to_bp("prob_churn")
+
+    def moved(df, to):
+        return df.select("CustomerID", (to.cast("double") / F.lit(10000.0)).alias("prob_churn"), "churn_real")
+
+    start = scores.where(~held_out)
+    one = moved(start.where(k % 5 == 1), (bp * 3 + 17) % 10001)
+    two = start.where(k % 11 == 2).select("CustomerID", F.lit(None).cast("double").alias("prob_churn"), "churn_real")
+    come = scores.where(held_out)
+    three = moved(start.where((k % 7 == 3) & (k % 11 != 2) & (k % 5 != 1)), (bp + 2500) % 10001).unionByName(come)
+    return start, [one, two, three]
+
+
+@query("score_counts_delta")
+def q_score_counts_delta(spark, sf_dir):
+    """E1-E8's counts after three change sets, kept by signed deltas: no customer but the changed ones is read again."""
+    from churnkit.operators import deltas as dl
+    state, sets = _change_sets(fx(spark, sf_dir).scores.select("CustomerID", "prob_churn", "churn_real"))
+    counts = cv.score_counts(state)
+    for new in sets:
+        counts = dl.apply_deltas(counts, dl.score_deltas(dl.changes(state, new)))
+        state = dl.next_state(state, new)
+    return counts
+
+
+@query("curves_delta")
+def q_curves_delta(spark, sf_dir):
+    """E6 and E7 of the counts that the deltas leave."""
+    sc = q_score_counts_delta(spark, sf_dir)
+    return cv.auc_roc(sc).select(fixed("auc_roc", 9).alias("auc_roc")).join(
+        F.broadcast(cv.average_precision(sc).select(fixed("average_precision", 9).alias("average_precision"))))  # one row each
+
+
 @query("bundle_meta")
 def q_bundle_meta(spark, sf_dir):
     f = fx(spark, sf_dir)
@@ -413,6 +461,24 @@ def q_client_lookup(spark, sf_dir):
     return sv.client_lookup(c.detail_of(head), first)
 
 
+@query("client_lookup_bucketed")
+def q_client_lookup_bucketed(spark, sf_dir):
+    """G4 over the whole ranking, written in sorted buckets: one customer reads one bucket."""
+    from churnkit.sources import lookup as lk
+    c = ch(spark, sf_dir)
+    name = lk.write_lookup(c.ranking, "CustomerID", buckets=16)
+    return lk.lookup(spark, name, "CustomerID", c.top(1).select("CustomerID").first()[0])
+
+
+@query("client_search")
+def q_client_search(spark, sf_dir):
+    """G3 over all ranked customers, by the posting list of the digits in their ids."""
+    from churnkit.sources import lookup as lk
+    ranking = ch(spark, sf_dir).ranking
+    name = lk.write_postings(ranking, "CustomerID", buckets=16)
+    return ranking.join(lk.ids_containing(spark, name, "CustomerID", " 112 "), "CustomerID", "left_semi")
+
+
 @query("offer_outcome")
 def q_offer_outcome(spark, sf_dir):
     c = ch(spark, sf_dir)
@@ -433,7 +499,7 @@ def q_next_offer_upsert(spark, sf_dir):
     c = ch(spark, sf_dir)
     table = BucketTable(spark, scratch_path(spark, "next-offers"), sv.OFFER_STATE, "CustomerID", buckets=16)
     table.create(sv.never_contacted(c.segments))
-    log = c.offer_events
+    log = c.offer_events.select("event_id", "CustomerID", "acao", "aceitou").checkpoint(eager=True)  # as the increments would arrive
     for k in (0, 1, 2, 1):
         table.upsert(sv.offer_state(log.where(F.col("event_id") % 3 == k)), sv.merge_offer_state, batch=f"parte-{k}")
     return sv.next_offer_of(table.read(), c.order)
@@ -515,6 +581,15 @@ def q_class_weights(spark, sf_dir):
     return sp.class_weights(sp.split_align(c.treated, c.split, sp.TRAIN))
 
 
+@query("standardised")
+def q_standardised(spark, sf_dir):
+    """M5 applied: every customer's feature columns by the statistics of the train rows."""
+    c = ch(spark, sf_dir)
+    cols = [x for x in c.features.columns if x != "CustomerID"]
+    stats = sp.standardise_stats(sp.split_align(c.features, c.split, sp.TRAIN), cols)
+    return round_doubles(sp.standardise(c.features, stats, cols), 6)
+
+
 @query("standardise")
 def q_standardise(spark, sf_dir):
     c = ch(spark, sf_dir)
@@ -575,8 +650,8 @@ def q_scan_policy_json(spark, sf_dir):
 @query("sink_nested_json")
 def q_sink_nested_json(spark, sf_dir):
     """Nested attribution documents (one per customer) and back."""
-    path = sio.write_json(sio.nested_attributions(ch(spark, sf_dir).factors),
-                          scratch_path(spark, "attr-json"))
+    docs = ex.factor_documents(fx(spark, sf_dir).features, ex.FIXTURE_COEFS, ex.FIXTURE_INTERCEPT)
+    path = sio.write_json(docs, scratch_path(spark, "attr-json"))
     return sio.read_attributions_json(spark, path)
 
 

@@ -176,6 +176,13 @@ def scores(spark: SparkSession, sf_dir: str, sub: DataFrame | None = None) -> Da
         churn.cast("int").alias("churn_real"))
 
 
+def challenger_scores(spark: SparkSession, sf_dir: str, sub: DataFrame) -> DataFrame:
+    """A second model's score table over the same customers, in the form of ``scores``."""
+    churn = F.col("Churn") == "Yes"
+    bp = (F.col("CustomerID") * 104729) % 6301 + F.when(churn, 2300).otherwise(0)
+    return sub.select("CustomerID", (bp.cast("double") / F.lit(10000.0)).alias("prob_churn"), churn.cast("int").alias("churn_real"))
+
+
 def offer_events(spark: SparkSession, sf_dir: str, segments: DataFrame) -> DataFrame:
     """Offers in no order: ``(ts, event_id, CustomerID, segmento, acao, aceitou)``.
 

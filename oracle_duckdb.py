@@ -781,3 +781,29 @@ m AS (
   UNION ALL SELECT 3, membro, linhas, a, a >= 1 - a FROM (VALUES {_members},
     ('ranking', (SELECT least(count(*), 100) FROM fx_scores))) t(membro, linhas), auc)
 SELECT versao, membro, linhas, {R('metrica', 6)} AS metrica, promovida, versao = 3 AS atual FROM m"""
+
+# second score table, its own recall threshold, and both models side by side
+SCORES_2 = SCORES.replace("(CustomerID * 7919) % 7001 + CASE WHEN Churn = 'Yes' THEN 1500", "(CustomerID * 104729) % 6301 + CASE WHEN Churn = 'Yes' THEN 2300")
+ORACLE["compare_two_models"] = f"""WITH old AS (WITH {SCORES} SELECT * FROM ({metrics_sql([2500], 4)})),
+new AS (WITH {SCORES_2}, t AS (SELECT max(t_bp) AS best FROM ({metrics_sql(RECALL_GRID, None)}) WHERE P > 0 AND tp * 100 >= 90 * P)
+        SELECT m.* FROM ({metrics_sql(RECALL_GRID, 4)}) m JOIN t ON m.t_bp = t.best),
+both_ AS (SELECT 'anterior' AS modelo, * FROM old UNION ALL SELECT 'melhorado', * FROM new)
+SELECT modelo, threshold, recall, precision, fp, fn, abordados, (SELECT fp FROM old) - fp AS fp_economizados,
+       {R('recall - (SELECT recall FROM old)', 4)} AS delta_recall FROM both_"""
+# a full recount of the score table after the three change sets
+SCORES_3 = SCORES.replace("sc AS (SELECT", """fx_moved AS (
+  SELECT CustomerID, churn_real,
+         CASE WHEN CustomerID % 13 = 5 THEN bp WHEN CustomerID % 5 = 1 THEN (bp * 3 + 17) % 10001
+              WHEN CustomerID % 7 = 3 THEN (bp + 2500) % 10001 ELSE bp END / CAST(10000 AS DOUBLE) AS prob_churn
+  FROM (SELECT *, CAST(floor(prob_churn * CAST(10000 AS DOUBLE) + CAST(0.5 AS DOUBLE)) AS INTEGER) AS bp FROM fx_scores)
+  WHERE CustomerID % 13 = 5 OR CustomerID % 11 <> 2),
+sc AS (SELECT""", 1).replace("FROM fx_scores GROUP BY 1)", "FROM fx_moved GROUP BY 1)")
+ORACLE["score_counts_delta"] = f"WITH {SCORES_3} SELECT * FROM sc"
+ORACLE["curves_delta"] = ORACLE["auc_roc"].replace(SCORES, SCORES_3).replace(" FROM cum", ", " + ORACLE["average_precision"].split("SELECT ")[-1])
+ORACLE["standardised"] = (f"WITH {SPLIT}, tr AS (SELECT f.* FROM sub_feat f JOIN sp ON f.CustomerID = sp.CustomerID WHERE sp.particao = 'treino'), st AS (SELECT "
+                          + ", ".join(f"avg(CAST(\"{c}\" AS DOUBLE)) AS m{i}, stddev_pop(CAST(\"{c}\" AS DOUBLE)) AS s{i}" for i, c in enumerate(FEATURE_COLS))
+                          + " FROM tr) SELECT CustomerID, "
+                          + ", ".join(R(f"(CAST(\"{c}\" AS DOUBLE) - m{i}) / (CASE WHEN s{i} = 0 THEN 1 ELSE s{i} END)") + f' AS "{c}"' for i, c in enumerate(FEATURE_COLS))
+                          + " FROM sub_feat, st")
+ORACLE["client_lookup_bucketed"] = f"WITH {SERVE} SELECT * FROM rnk WHERE rank_risco = 1"
+ORACLE["client_search"] = f"WITH {SERVE} SELECT * FROM rnk WHERE CAST(CustomerID AS VARCHAR) LIKE '%112%'"
