@@ -685,6 +685,37 @@ def q_policy_stream(spark, sf_dir):
                         fixed(safe_div("aceites", "tentativas"), 4).alias("taxa_estimada"), "posicao"))
 
 
+def _policy_state(spark, sf_dir) -> str:
+    """The offer log delivered in four files, the second one late and the third one twice, through the keyed stream; its output folder."""
+    from churnkit.streaming import policy_state as ps
+    from churnkit.functions.ordering import global_index
+    c = ch(spark, sf_dir)
+    log = global_index(c.offer_events, [F.col("ts").asc(), F.col("event_id").asc()], "rodada")
+    log = log.select("event_id", F.col("ts").cast("timestamp").alias("ts"), "rodada", "segmento", "acao", "aceitou").checkpoint(eager=True)
+    quarter = F.pmod(F.floor((F.col("rodada") - 1) / 100), F.lit(4))
+    log_dir = scratch_path(spark, "offers-in")
+    for k in (0, 2, 1, 2, 3):
+        log.where(quarter == k).write.mode("append").parquet(log_dir)
+    out_dir = scratch_path(spark, "policy-state")
+    # the horizon for late offers is the log's own span here
+    ps.run_policy_state(spark, log_dir, out_dir, scratch_path(spark, "policy-state-ck"), watermark="3650 days", files_per_trigger=16)
+    return out_dir
+
+
+@query("policy_state_counts")
+def q_policy_state_counts(spark, sf_dir):
+    """R13 by keyed state: the counters of R5 from a log that arrives late and twice."""
+    from churnkit.streaming import policy_state as ps
+    return ps.state_counts(spark, _policy_state(spark, sf_dir))
+
+
+@query("policy_state_curve")
+def q_policy_state_curve(spark, sf_dir):
+    """R10 from the blocks that the keyed state holds."""
+    from churnkit.streaming import policy_state as ps
+    return ps.state_curve(spark, _policy_state(spark, sf_dir))
+
+
 # -------------------------------------------------- 2.5 modelling (rows-only)
 from churnkit.operators import models as md  # noqa: E402
 from churnkit.operators import treeshap as ts  # noqa: E402

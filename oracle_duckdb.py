@@ -807,3 +807,5 @@ ORACLE["standardised"] = (f"WITH {SPLIT}, tr AS (SELECT f.* FROM sub_feat f JOIN
                           + " FROM sub_feat, st")
 ORACLE["client_lookup_bucketed"] = f"WITH {SERVE} SELECT * FROM rnk WHERE rank_risco = 1"
 ORACLE["client_search"] = f"WITH {SERVE} SELECT * FROM rnk WHERE CAST(CustomerID AS VARCHAR) LIKE '%112%'"
+ORACLE["policy_state_counts"] = ORACLE["policy_counts"]
+ORACLE["policy_state_curve"] = f"SELECT rodada, taxa_aceite FROM ({ORACLE['learning_curve']})"
