@@ -862,3 +862,29 @@ def q_publication_manifest(spark, sf_dir):
     now = max(r["versao"] for r in pb.current(spark, base))
     return pb.commits(spark, base).select("versao", "membro", "linhas", fixed("metrica", 6).alias("metrica"), "promovida",
                                           (F.col("versao") == now).alias("atual"))
+
+
+def _profile_store(spark, sf_dir):
+    """The raw table written in files, profiled in two steps: a first half, then all of it (only the rest is read)."""
+    from churnkit.operators.profile_store import ProfileStore
+    raw = fx(spark, sf_dir).raw
+    first, second = scratch_path(spark, "raw-1"), scratch_path(spark, "raw-2")
+    raw.where(F.col("CustomerID") % 2 == 0).repartition(4, "CustomerID").write.parquet(first)
+    raw.where(F.col("CustomerID") % 2 == 1).repartition(4, "CustomerID").write.parquet(second)
+    store = ProfileStore(spark, scratch_path(spark, "profile"))
+    store.add([first])
+    store.add([first, second])
+    return store
+
+
+@query("profile_store_columns")
+def q_profile_store_columns(spark, sf_dir):
+    """P4 + P7 from merged sketches, text columns (few values, so the estimates are exact)."""
+    text = [f.name for f in fx(spark, sf_dir).raw.schema.fields if f.dataType.simpleString() == "string"]
+    return _profile_store(spark, sf_dir).columns().where(F.col("coluna").isin(text)).select("coluna", "linhas", "nulos", "distintos")
+
+
+@query("profile_store_top")
+def q_profile_store_top(spark, sf_dir):
+    """P13 from the merged counts of frequent values."""
+    return _profile_store(spark, sf_dir).top_values("HandsetPrice").select("valor", "contagem")

@@ -809,3 +809,7 @@ ORACLE["client_lookup_bucketed"] = f"WITH {SERVE} SELECT * FROM rnk WHERE rank_r
 ORACLE["client_search"] = f"WITH {SERVE} SELECT * FROM rnk WHERE CAST(CustomerID AS VARCHAR) LIKE '%112%'"
 ORACLE["policy_state_counts"] = ORACLE["policy_counts"]
 ORACLE["policy_state_curve"] = f"SELECT rodada, taxa_aceite FROM ({ORACLE['learning_curve']})"
+TEXT_COLS = ["Churn", "ServiceArea", "HandsetPrice", "CreditRating", "PrizmCode", "Occupation", "MaritalStatus", "Homeownership", "MadeCallToRetentionTeam"]
+ORACLE["profile_store_columns"] = f"WITH {SUB_RAW} " + " UNION ALL ".join(
+    f"SELECT '{c}' AS coluna, count(*) AS linhas, count(*) - count({c}) AS nulos, count(DISTINCT {c}) AS distintos FROM sub_raw" for c in TEXT_COLS)
+ORACLE["profile_store_top"] = ORACLE["profile_top_values"]
