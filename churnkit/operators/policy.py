@@ -137,14 +137,54 @@ def posterior_mean(counts: DataFrame) -> DataFrame:
                          fixed((F.col("aceites") + 1) / (F.col("tentativas") + 2), 4).alias("media_posterior"))
 
 
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """A 64-bit mix (SplitMix64's finaliser) of whole arrays."""
+    x = (x + np.uint64(0x9E3779B97F4A7C15)).astype(np.uint64)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def uniforms(keys: np.ndarray, seed: int, stream: int) -> np.ndarray:
+    """One number in (0, 1) per key (uint64): a hash of key, seed and stream, whatever stands beside it."""
+    salt = _mixed(np.array([seed], np.uint64) * np.uint64(0x632BE59BD9B4E019) + np.uint64(stream))
+    return ((_mixed(keys ^ salt) >> np.uint64(11)).astype(float) + 0.5) * 2.0 ** -53
+
+
+def gamma_draws(shape: np.ndarray, keys: np.ndarray, seed: int, stream: int) -> np.ndarray:
+    """Gamma(shape, 1) per key for shapes of 1 or more, whole arrays at once (Marsaglia and Tsang's rejection).
+
+    Try k of a key uses three numbers of its own; keys that are not accepted try again.
+    """
+    d = shape - 1.0 / 3.0
+    c = 1.0 / np.sqrt(9.0 * d)
+    out, open_, k = np.empty(len(keys)), np.arange(len(keys)), 0
+    while open_.size:
+        some = keys[open_]
+        u = [uniforms(some, seed, (stream << 20) + 3 * k + i) for i in range(3)]
+        z = np.sqrt(-2.0 * np.log(u[0])) * np.cos(2.0 * np.pi * u[1])
+        v = (1.0 + c[open_] * z) ** 3
+        ok = v > 0
+        ok[ok] = np.log(u[2][ok]) < 0.5 * z[ok] ** 2 + d[open_][ok] * (1.0 - v[ok] + np.log(v[ok]))
+        out[open_[ok]] = d[open_][ok] * v[ok]
+        open_, k = open_[~ok], k + 1
+    return out
+
+
+def beta_draws(alpha: np.ndarray, beta: np.ndarray, keys: np.ndarray, seed: int, stream: int) -> np.ndarray:
+    """Beta(alpha, beta) per key, from two gamma draws."""
+    a = gamma_draws(alpha, keys, seed, 2 * stream)
+    return a / (a + gamma_draws(beta, keys, seed, 2 * stream + 1))
+
+
 def thompson_assign(segments: DataFrame, counts: DataFrame, seed: int = 42) -> DataFrame:
     """One explore/exploit choice per customer, batched.
 
     Each customer draws Beta(accepts + 1, refusals + 1) for every action of its
     segment and takes the largest.  The posterior table (segments x actions)
     is collected once - it is bounded by the two dimensions.  A customer's draws
-    come from a counter-based generator keyed by (seed, customer id), so they are
-    the customer's own under any partitioning, order or retry.
+    are made from hashes of (seed, customer id, action), for whole Arrow batches at
+    once, so they are the customer's own under any partitioning, order or retry.
     """
     acts = [a for a, _, _ in ACTIONS]
     segs = list(SEGMENTS)
@@ -164,10 +204,7 @@ def thompson_assign(segments: DataFrame, counts: DataFrame, seed: int = 42) -> D
             idx = pd.Categorical(pdf["segmento"], categories=segs).codes.astype(int)
             idx[idx < 0] = len(segs)
             keys = pdf["CustomerID"].to_numpy(dtype="int64").view(np.uint64)
-            samples = np.empty((len(pdf), len(acts)))
-            for k, (customer, i) in enumerate(zip(keys, idx)):
-                rng = np.random.Generator(np.random.Philox(key=np.array([seed, customer], dtype=np.uint64)))
-                samples[k] = rng.beta(alpha[i], beta[i])
+            samples = np.column_stack([beta_draws(alpha[idx, j], beta[idx, j], keys, seed, j) for j in range(len(acts))])
             best = samples.argmax(axis=1)
             yield pd.DataFrame({"CustomerID": pdf["CustomerID"].astype("int64"),
                                 "segmento": pdf["segmento"],

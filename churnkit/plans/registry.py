@@ -838,9 +838,17 @@ def q_attribution_global_tree(spark, sf_dir):
     return ex.largest_global(out)
 
 
+@query("bundle_importances")
+def q_bundle_importances(spark, sf_dir):
+    """S11 with the fitted model: the bundle's importances member (normalised, the 20 largest), written and read back."""
+    m = mc(spark, sf_dir)
+    path = sio.write_parquet(md.importance_table(m.winner(), m.chosen_cols()), scratch_path(spark, "importances"))
+    return sio.read_parquet(spark, path)
+
+
 @query("bundle_export")
 def q_bundle_export(spark, sf_dir):
-    """Dashboard members written as parquet tables; manifest of row counts."""
+    """Dashboard members written as parquet tables; manifest of their rows and the sums of their values."""
     from churnkit.plans.bundle import export_bundle
     return export_bundle(ch(spark, sf_dir), scratch_path(spark, "bundle"))
 

@@ -748,19 +748,6 @@ ORACLE["threshold_record"] = (
     f"FROM ({metrics_sql(RECALL_GRID, None)}) WHERE P > 0 AND tp * 100 >= 90 * P")
 ORACLE["policy_stream"] = ORACLE["policy_counts"]
 
-ORACLE["bundle_export"] = f"""WITH {SERVE}{LEARN[len(POLICY):]}{ROC[len(SCORES):]}
-SELECT * FROM (VALUES
-  ('meta', CAST(1 AS BIGINT)),
-  ('scores', (SELECT count(*) FROM fx_scores)),
-  ('roc', (SELECT least(count(*), 200) FROM roc_pts)),
-  ('distribuicao', CAST(40 AS BIGINT)),
-  ('ranking', (SELECT least(count(*), 100) FROM fx_scores)),
-  ('shap_global', (SELECT least(count(DISTINCT variavel), 15) FROM attr)),
-  ('politica', (SELECT count(*) FROM pord)),
-  ('curva', (SELECT count(*) FROM lc)),
-  ('clientes_detalhe', (SELECT count(DISTINCT CustomerID) FROM detail))
-) t(membro, linhas)"""
-
 ORACLE["factor_scale_global"] = f"""WITH {LABELLED},
 g AS (SELECT variavel, avg(abs(raw)) AS impacto FROM attr GROUP BY variavel ORDER BY impacto DESC, variavel LIMIT 15),
 gl AS (SELECT g.variavel, coalesce(l.rotulo_dic,
@@ -813,3 +800,28 @@ TEXT_COLS = ["Churn", "ServiceArea", "HandsetPrice", "CreditRating", "PrizmCode"
 ORACLE["profile_store_columns"] = f"WITH {SUB_RAW} " + " UNION ALL ".join(
     f"SELECT '{c}' AS coluna, count(*) AS linhas, count(*) - count({c}) AS nulos, count(DISTINCT {c}) AS distintos FROM sub_raw" for c in TEXT_COLS)
 ORACLE["profile_store_top"] = ORACLE["profile_top_values"]
+
+
+def _member(name: str, sql: str, columns: list[str]) -> str:
+    """Rows of a member and the sum of all its numbers to four decimals."""
+    each = " + ".join(f"CAST(floor(coalesce(CAST({c} AS DOUBLE), 0) * CAST(10000 AS DOUBLE) + CAST(0.5 AS DOUBLE)) AS BIGINT)" for c in columns)
+    return f"SELECT '{name}' AS membro, count(*) AS linhas, CAST(coalesce(sum({each}), 0) AS VARCHAR) AS soma FROM ({sql})"
+
+
+ACTION_VALUES = "('desconto', 30, 1), ('upgrade', 80, 2), ('suporte', 8, 3), ('bonus', 15, 4)"
+ORACLE["bundle_export"] = " UNION ALL ".join([
+    _member("meta", ORACLE["bundle_meta"], ["auc", "threshold_oficial", "n_teste", "taxa_churn"]),
+    _member("scores", ORACLE["risk_ranking"], ["CustomerID", "prob_churn", "churn_real", "rank_risco"]),
+    _member("roc", ORACLE["roc_200"], ["indice", "fpr", "tpr"]),
+    _member("distribuicao", ORACLE["score_histogram"], ["bin", "score", "ficou", "cancelou"]),
+    _member("ranking", ORACLE["ranking_preview"], ["CustomerID", "prob_churn", "churn_real", "rank_risco"]),
+    _member("shap_global", ORACLE["attribution_global"], ["impacto_medio"]),
+    _member("acoes", f"SELECT * FROM (VALUES {ACTION_VALUES}) t(acao, custo, posicao)", ["custo", "posicao"]),
+    _member("segmentos", "SELECT unnest([1, 2, 3, 4, 5]) AS posicao", ["posicao"]),
+    _member("distribuicao_segmentos", ORACLE["segment_sizes"], ["clientes"]),
+    _member("politica", ORACLE["policy_order"], ["tentativas", "aceites", "taxa_estimada", "ordem"]),
+    _member("melhor_acao", ORACLE["policy_best"], ["taxa_estimada"]),
+    _member("rodadas", f"SELECT count(*) AS rodadas FROM ({ORACLE['offer_log']})", ["rodadas"]),
+    _member("curva", ORACLE["learning_curve"], ["rodada", "taxa_aceite", "regret_medio"]),
+    _member("clientes_detalhe", f"SELECT DISTINCT CustomerID, prob, rank, taxa_esperada FROM ({ORACLE['client_detail']})", ["CustomerID", "prob", "rank", "taxa_esperada"]),
+])

@@ -92,3 +92,18 @@ def test_top_ranked_equals_full_ranking_head(spark, direct_max):
     full = cv.risk_ranking(df).where("rank_risco <= 37").collect()
     top = cv.top_ranked(df, 37, direct_max=direct_max).collect()
     assert sorted(map(tuple, full)) == sorted(map(tuple, top))
+
+
+def test_draws_follow_the_beta_distribution():
+    keys = np.arange(200_000, dtype=np.uint64)
+    for a, b in ((1.0, 1.0), (3.0, 7.0), (401.0, 1.0), (50.0, 60.0)):
+        x = pol.beta_draws(np.full(len(keys), a), np.full(len(keys), b), keys, 42, 1)
+        mean, var = a / (a + b), a * b / ((a + b) ** 2 * (a + b + 1))
+        assert abs(x.mean() - mean) < 5 * np.sqrt(var / len(x)) and abs(x.var() / var - 1) < 0.03
+        assert 0 < x.min() and x.max() <= 1
+    half = np.sort(pol.beta_draws(np.ones(len(keys)), np.ones(len(keys)), keys, 7, 0))  # uniform
+    assert np.abs(half - (np.arange(len(half)) + 0.5) / len(half)).max() < 0.005
+    some = pol.beta_draws(np.full(3, 2.0), np.full(3, 5.0), np.array([5, 9, 5], np.uint64), 42, 1)
+    alone = pol.beta_draws(np.full(1, 2.0), np.full(1, 5.0), np.array([9], np.uint64), 42, 1)
+    assert some[0] == some[2] and some[1] == alone[0] != some[0]
+
