@@ -64,7 +64,7 @@ TERM = r"[a-z0-9]+(?:[.\-][a-z0-9]+)*"
 #: base names of files that hold a directory's licence
 LICENCE_FILE = r"(?i)^(licen[cs]e|copying|notice|unlicense)([._-].*)?$"
 MIN_COSINE = 0.6
-FILE_SHARE = 0.5  # of a text's words that are the notice, in a file that states its directory's licence
+FILE_SHARE = 0.5  # of a text's words that are the licence file's, in a file that states its directory's licence
 LINES = 4  # lines of a run of lines; windows of words have no such bound
 FILE_COSINE = 0.8  # of the opening of a licence file, if it is to tell the rest
 FILE_HEAD = 20  # words that may stand before it, as a heading or the holder's name
@@ -94,9 +94,11 @@ def scan(files: DataFrame, path_col: str = "path", text_col: str = "text", templ
     to begin and end with a word of it.  The best cosine of ``min_cosine`` or more names the file's
     own licence (ties: the earlier template).  Inverse document frequencies, of
     whatever term, come from all texts.  A file with a licence of its own is its
-    directory's licence file if its base name says so, if words of the notice are
-    ``file_share`` of its words or more, or if one of ``file_openings`` is met with
-    ``FILE_COSINE`` at its beginning (``FILE_HEAD`` words may precede).
+    directory's licence file if its base name says so, if words of one of
+    ``file_templates`` (whole licence files) are ``file_share`` of its words or more,
+    or if one of ``file_openings`` is met with ``FILE_COSINE`` at its beginning
+    (``FILE_HEAD`` words may precede).  A notice alone, however short its file, is a
+    header: it names the file's own licence and grants nothing to its neighbours.
     A file with no licence of its own takes that of the nearest directory at or
     above it which has a licence file (several: the best cosine, then the smallest
     path); inherited_from is that directory ('' for the root).  Null or empty text
@@ -107,6 +109,7 @@ def scan(files: DataFrame, path_col: str = "path", text_col: str = "text", templ
     spark = files.sparkSession
     templates = (*templates, *file_templates, *file_openings)
     first_opening = len(templates) - len(file_openings)
+    first_file = first_opening - len(file_templates)
     vocab = vocabulary(templates)
     base = files.select(F.col(path_col).cast("string").alias("path"), text_of(text_col).alias("text"),
                         F.xxhash64(F.coalesce(F.col(path_col).cast("string"), F.lit("")), text_of(text_col)).alias("key"))
@@ -194,7 +197,8 @@ def scan(files: DataFrame, path_col: str = "path", text_col: str = "text", templ
     met = (found.select("key", "n_words", "segment", F.lit(None).cast("int").alias("at")).join(cosines, "segment")
            .unionByName(windows.join(cosines, ["segment", "template"])))
     opens = (F.col("template") >= first_opening) & (F.col("at") <= FILE_HEAD) & (F.col("cosine") >= FILE_COSINE)
-    share = (F.col("matched") >= F.col("n_words") * F.lit(file_share)) | F.coalesce(opens, F.lit(False))
+    whole = F.col("template").between(first_file, first_opening - 1) & (F.col("matched") >= F.col("n_words") * F.lit(file_share))
+    share = whole | F.coalesce(opens, F.lit(False))
     own = (met.withColumn("most", share).groupBy("key")
            .agg(F.max(F.struct("cosine", (-F.col("template")).alias("t"), "licence")).alias("own"), F.max("most").alias("whole")))
     own = materialise(own.select("key", "own.licence", "own.cosine", "whole"), "own")

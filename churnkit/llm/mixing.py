@@ -154,7 +154,13 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 
 def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
-    """The rows of ``docs`` as often as the mix takes them, all columns."""
+    """The rows of ``docs`` as often as the mix takes them, all columns with their values.
+
+    Rows that repeat id, source and text are planned and taken one by one; null
+    ids, sources and texts are values like others (a null text is empty and a
+    document of no words is taken or not by a coin); columns named like the
+    operator's own pass through; an empty table stays empty.
+    """
     mid, msource, mhash, magain, copies, number, copy = fresh(docs, "m_id", "m_source", "m_hash", "m_again", "m_copies", "m_number", "m_copy")
     plan = mix(docs, id_col, text_col, source_col, **options).where("copies > 0")
     plan = materialise(plan.select(F.col(id_col).alias(mid), F.col(source_col).alias(msource), F.col("text_hash").alias(mhash),

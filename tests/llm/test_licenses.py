@@ -1,4 +1,5 @@
 import math
+import random
 import re
 from collections import Counter
 
@@ -7,37 +8,64 @@ from llm_text import frame  # noqa: F401
 
 
 def slow(rows):
+    """(path, (cosine, -template, licence) or None, licence file by its text) of each row, segment by segment."""
     docs = [(p, t or "") for p, t in rows]
     n = len(docs)
-    vocab = set(L.vocabulary())
-    # a term of a text as the operator's frequencies see it: pieces between characters that no term holds
-    df = Counter(w for _, t in docs for w in {re.sub(r"^[.\-]+|[.\-]+$", "", x) for x in re.split(r"[^a-z0-9.\-]+", t.lower()) if len(x) < 40} & vocab)
-    idf = lambda w: math.log((n + 1) / (df[w] + 1)) + 1 if w in vocab else math.log(n + 1) + 1
+    words_of = lambda t: re.findall(L.TERM, t.lower())
+    df = Counter(w for _, t in docs for w in set(words_of(t)))
+    idf = lambda w: math.log((n + 1) / (df[w] + 1)) + 1
+    every = [*L.TEMPLATES, *L.FILE_TEMPLATES, *L.FILE_OPENINGS]
+    files = range(len(L.TEMPLATES), len(L.TEMPLATES) + len(L.FILE_TEMPLATES))
 
-    def vector(text):
-        return {w: k * idf(w) for w, k in Counter(re.findall(L.TERM, text.lower())).items()}
+    def vector(words):
+        return {w: k * idf(w) for w, k in Counter(words).items()}
 
     def cosine(a, b):
         dot = sum(x * b.get(w, 0) for w, x in a.items())
         return dot / math.sqrt(sum(x * x for x in a.values()) * sum(x * x for x in b.values())) if dot else 0
 
-    templates = [(name, vector(t)) for name, t in L.TEMPLATES]
-    files = []
+    vectors = [vector(words_of(t)) for _, t in every]
+    needed = []  # terms without which a template can't be reached
+    for v in vectors:
+        total = rest = sum(x * x for x in v.values())
+        need = set()
+        for w in sorted(v, key=lambda w: -idf(w)):
+            if math.sqrt(rest / total) < L.MIN_COSINE:
+                break
+            need.add(w)
+            rest -= v[w] ** 2
+        needed.append(need)
+    anchors = set().union(*needed)
+
+    out = []
     for p, t in docs:
-        lines = t.split("\n")
-        best = None
+        words, lines, met = words_of(t), t.lower().split("\n"), []
+        marked = [any(re.search(rf"(?<![a-z0-9]){re.escape(a)}(?![a-z0-9])", x) for a in anchors) for x in lines]
         for i in range(len(lines)):
             for k in range(1, L.LINES + 1):
-                seg = " ".join(x.lower() for x in lines[i:i + k])
-                if i + k > len(lines):
-                    continue
-                v = vector(seg)
-                for j, (name, tv) in enumerate(templates):
-                    c = cosine(v, tv)
-                    if c >= L.MIN_COSINE and (best is None or (round(c, 9), -j) > best[:2]):
-                        best = (round(c, 9), -j, name)
-        files.append((p, best))
-    return files
+                if i + k <= len(lines) and all(marked[i:i + k]):
+                    met += [(words_of(" ".join(lines[i:i + k])), j, None) for j in range(len(every))]
+        for j, (_, text) in enumerate(every):
+            mine = words_of(text)
+            for i, w in enumerate(words):
+                for q, x in enumerate(mine):
+                    if w == x and w in needed[j]:
+                        at = max(0, i - q)
+                        for size in (len(mine), 2 * len(mine)):
+                            hits = [k for k, y in enumerate(words[at:at + size]) if y in vectors[j]]
+                            if hits:
+                                met.append((words[at + hits[0]:at + hits[-1] + 1], j, at + hits[0]))
+        best, grants = None, False
+        for seg, j, at in {(tuple(x), j, at) for x, j, at in met}:
+            c = cosine(vector(seg), vectors[j])
+            if c < L.MIN_COSINE:
+                continue
+            best = max(best or (0,), (round(c, 9), -j, every[j][0]))
+            both = sum((Counter(seg) & Counter(words_of(every[j][1]))).values())
+            grants |= j in files and both >= L.FILE_SHARE * len(re.findall(L.WORD, t))
+            grants |= j >= files.stop and at is not None and at <= L.FILE_HEAD and round(c, 9) >= L.FILE_COSINE
+        out.append((p, best, grants))
+    return out
 
 
 def test_own_licences_against_brute_force(frame):
@@ -48,14 +76,15 @@ def test_own_licences_against_brute_force(frame):
     df = frame([(i, t, p) for i, (p, t) in enumerate(rows)]).withColumnRenamed("source", "path")
     got = {r.path: r for r in L.scan(df).collect()}
     assert len(got) == len(rows)
-    for path, best in slow(rows):
+    for path, best, grants in slow(rows):
         assert got[path].own_licence == (best[2] if best else None)
         assert best is None or math.isclose(got[path].cosine, best[0], abs_tol=1e-5)
-    assert [p for p in got if got[p].licence_file] and got["a/LICENSE"].licence_file and got["q/COPYING.txt"].licence_file and got["w/v.txt"].licence_file
+        assert path is None or got[path].licence_file == (grants or bool(best and re.match(L.LICENCE_FILE, path.split("/")[-1])))
+    assert got["a/LICENSE"].licence_file and got["q/COPYING.txt"].licence_file and not got["w/v.txt"].licence_file
     assert not got["q/r/s.txt"].licence_file
     assert (got["a/b/c/y.txt"].licence, got["a/b/c/y.txt"].inherited_from) == (got["a/LICENSE"].own_licence, "a")
     assert (got["q/t/u.txt"].licence, got["q/t/u.txt"].inherited_from) == ("GPL-3.0", "q")
-    assert (got["w/k/k.txt"].licence, got["w/k/k.txt"].inherited_from) == ("CC-BY-NC-4.0", "w")
+    assert (got["w/v.txt"].own_licence, got["w/k/k.txt"].licence, got["w/k/k.txt"].inherited_from) == ("CC-BY-NC-4.0", None, None)
     assert got["a/b/x.py"].licence == "Apache-2.0" and got["a/b/x.py"].inherited_from is None
     assert got["z.txt"].licence is None and got[None].inherited_from is None
 
@@ -102,6 +131,39 @@ def test_whole_licence_texts_grant_to_their_directory(frame):
     assert got["h/1"] == ("MIT", False, None) and got["h/2"] == (None, False, None)
 
 
+def test_segments_with_foreign_words_against_brute_force(frame):
+    """Notices, whole files and openings with words of no template in, before and after them."""
+    rng = random.Random(6)
+    odd = ["bitte", "hinweis", "x1", "the", "of", "zeta", "q-r", "code"]
+    rows = []
+    for k, (_, t) in enumerate([*L.TEMPLATES[::2], *L.FILE_TEMPLATES[1:2], *L.FILE_OPENINGS[:2]]):
+        words = t.split()
+        for _ in range(rng.randrange(3)):
+            words.insert(rng.randrange(len(words)), rng.choice(odd))
+        if k % 3 == 0:
+            words = [*rng.choices(odd, k=rng.choice([3, 15, 60])), *words, *rng.choices(odd, k=20)]
+        if k % 4 == 1:
+            words = [w + ("\n" if rng.random() < 0.2 else "") for w in words]
+        rows.append((f"d{k}/f", " ".join(words)))
+    rows += [(f"e/{k}", " ".join(rng.choices(odd + ["license", "software", "under"], k=30))) for k in range(6)]
+    df = frame([(i, t, p) for i, (p, t) in enumerate(rows)]).withColumnRenamed("source", "path")
+    got = {r.path: r for r in L.scan(df).collect()}
+    for path, best, grants in slow(rows):
+        assert got[path].own_licence == (best[2] if best else None), path
+        assert best is None or math.isclose(got[path].cosine, best[0], abs_tol=1e-5)
+        assert got[path].licence_file == grants
+    assert sum(r.own_licence is not None for r in got.values()) > 8
+
+
+def test_a_notice_line_grants_nothing(frame):
+    """Whatever the table's size, rows beside a short document with a notice don't inherit."""
+    for n in (4, 60):
+        rows = [("s/en/1", "two words\nThis work is licensed under the GNU General Public License, version 3"), *[(f"s/en/{k}", f"text number {k}") for k in range(2, n)]]
+        df = frame([(i, t, p) for i, (p, t) in enumerate(rows)]).withColumnRenamed("source", "path")
+        got = L.scan(df).collect()
+        assert sum(r.inherited_from is not None for r in got) == 0 and sum(r.own_licence == "GPL-3.0" for r in got) == 1
+
+
 def test_empty(frame):
     assert L.scan(frame([(1, "x", "p")]).where("doc_id < 0").withColumnRenamed("source", "path")).collect() == []
 

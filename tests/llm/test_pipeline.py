@@ -4,6 +4,7 @@ import pytest
 
 import corpus_pipeline as C
 from churnkit.llm import mixing, weak_quality
+from llm_text import edge_rows  # noqa: F401
 from test_packing import check
 from test_simhash import slow_components
 
@@ -56,3 +57,49 @@ def test_run_is_the_stages_one_after_another(spark, stages):
     key = lambda df: sorted(map(str, df.select("doc_id", "start", "length", "ids_crc32", "doc_tokens").collect()))
     assert key(C.run(spark, SF)) == key(stages[-1])
     assert defaultdict(int, C.__dict__)["ORACLE_SQL"] is None
+
+
+def brute(spark, docs):
+    """Rows after each stage, by plain Python where the stage has a plain definition."""
+    from churnkit.llm.simhash import simhash_dedup
+    kept = {(r.doc_id, r.text) for r in weak_quality.classify(docs).where("quality_keep").collect()}
+    first = [r for r in docs.collect() if (r.doc_id, r.text) in kept]
+    best = {}
+    for r in first:
+        t = r.text or ""
+        if t not in best or (best[t].doc_id is None) or (r.doc_id is not None and r.doc_id > best[t].doc_id):
+            best[t] = r
+    return first, best, simhash_dedup
+
+
+def test_end_to_end_with_odd_rows(spark, edge_rows, tmp_path):
+    """Nulls in any column, repeated rows, clashing and extra columns, through all stages."""
+    extra = [(9000 + k, f"a quite ordinary text of some words about number {k} and no more than that", None if k % 2 else "s1") for k in range(30)]
+    rows = [*edge_rows, *extra, extra[3], extra[3], (None, extra[4][1], "s1"), (None, "a text whose document has no id at all", None)]
+    full = [(i, t, None if n % 9 == 0 else "en", s, None if n % 5 == 0 else len(t or ""), 100.0 + n, f"keep-{n % 3}", n) for n, (i, t, s) in enumerate(rows)]
+    docs = spark.createDataFrame(full, "doc_id long, text string, lang string, source string, n_chars long, weak_label double, m_hash string, stays int").repartition(3)
+    sf = str(tmp_path)
+    docs.write.parquet(f"{sf}/documents.parquet")
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    known = {tuple(r) for r in docs.collect()}
+    out = [docs]
+    for _, f in C.STAGES:
+        out.append(f(spark, out[-1], sf).persist())
+    for df in out[1:-1]:
+        assert df.columns == docs.columns
+        assert {tuple(r) for r in df.collect()} <= known  # every value of every column as it was
+    first, best, _ = brute(spark, docs)
+    assert sorted(map(str, out[1].collect())) == sorted(map(str, first))
+    assert sorted((r.text or "") for r in out[2].collect()) == sorted(best)
+    assert all(r.doc_id == best[r.text or ""].doc_id for r in out[2].collect())
+    assert {r.doc_id for r in out[3].collect()} <= {r.doc_id for r in out[2].collect()}
+    taken, pieces = Counter(r.doc_id for r in out[4].collect()), Counter(r.doc_id for r in out[5].where("start = 0").collect())
+    assert taken == pieces and sum(taken.values()) > 10
+    assert C.run(spark, sf).count() == out[5].count()
+
+
+def test_empty_table_end_to_end(spark, tmp_path):
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    assert C.run(spark, str(tmp_path)).collect() == []
+
