@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from churnkit.llm.common import fresh, materialise, text_of
@@ -37,16 +37,17 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = base.join(small, ["len", "ph"], "left").select(
         "id", "len", hit.alias("hit"), (full if digest else F.when(hit, full)).alias("sha"),
         F.xxhash64("text").alias("text_hash"))
-    # rows that repeat id and text, numbered (partitioned by id too, so a group of copies is spread)
-    again = Window.partitionBy("id", "len", "text_hash").orderBy("sha")
-    rows = materialise(rows.withColumn("copy", F.row_number().over(again)), "hashed")
-    groups = materialise(rows.where("hit").groupBy("len", "sha").agg(F.max("id").alias("keep"), F.count(F.lit(1)).alias("n"))
-                         .where("n > 1"), "groups")
+    # a row's number in the written table tells rows apart that repeat id and text
+    rows = materialise(rows.withColumn("row", F.monotonically_increasing_id()), "hashed")
+    each = materialise(rows.where("hit").groupBy("len", "sha", "id").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("n")), "ids")
+    groups = each.groupBy("len", "sha").agg(F.max("id").alias("keep"), F.sum("n").alias("n")).where("n > 1")
+    of = each.select(F.col("len").alias("l"), F.col("sha").alias("s"), F.col("id").alias("i"), "first")
+    same = (F.col("len") == F.col("l")) & (F.col("sha") == F.col("s")) & F.col("keep").eqNullSafe(F.col("i"))
+    groups = materialise(groups.join(of, same).select("len", "sha", "keep", "n", "first"), "groups")
     single = F.col("n").isNull()
     return rows.join(groups, ["len", "sha"], "left").select(
         F.col("id").alias(id_col), F.when(single, F.col("id")).otherwise(F.col("keep")).alias("keep_id"),
-        F.coalesce("n", F.lit(1)).cast("long").alias("group_size"),
-        (single | (F.col("id").eqNullSafe(F.col("keep")) & (F.col("copy") == 1))).alias("kept"),
+        F.coalesce("n", F.lit(1)).cast("long").alias("group_size"), (single | (F.col("row") == F.col("first"))).alias("kept"),
         F.col("sha").alias("text_sha256"), "text_hash")
 
 

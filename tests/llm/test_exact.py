@@ -37,6 +37,16 @@ def test_rows_that_stay(frame, edge_rows):
     assert {(r.doc_id, r.text or "") for r in rows} == {(i, t) for t, i in best.items()}
 
 
+def test_one_row_that_is_a_third_of_the_table(frame):
+    """Rows that repeat id and text are combined before they are shuffled: one of them stays, and no window orders them."""
+    rows = [(7, "the very same row", "s")] * 400 + [(i, f"text {i % 300}", "s") for i in range(10, 810)] + [(None, "the very same row", "s")] * 5
+    got = exact_dedup(frame(rows, 6), digest=True)
+    assert "Window" not in got._jdf.queryExecution().executedPlan().toString()
+    out = [r for r in got.collect() if r.group_size == 405]
+    assert len(out) == 405 and sum(r.kept for r in out) == 1 and {r.keep_id for r in out} == {7}
+    assert all(r.doc_id == 7 for r in out if r.kept)
+
+
 def test_shuffle_path(frame, edge_rows, monkeypatch):
     from churnkit.llm import exact
     want = sorted(map(str, exact_dedup(frame(edge_rows), digest=True).collect()))
