@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from churnkit.functions.heavy import heavy_split_join
 from churnkit.llm.common import as_bytes, batch, materialise, slices, text_of
 
 FILTERS = "ABCDE"
@@ -190,7 +191,8 @@ def failures(measured: DataFrame) -> DataFrame:
     """(id, part, mask, n): the filters that a row fails, a bit each in the order of FILTERS, and how many input rows are alike.
 
     Filter E fails a row whose text a smaller id has: only texts that occur under
-    several ids are joined back.  A null id is not greater than any.
+    several ids are joined back, and a text with a large share of the rows is split
+    over several tasks.  A null id is not greater than any.
     """
     own = [F.col("n_words") < MIN_WORDS, 100 * F.col("n_distinct") < MIN_DISTINCT * F.col("n_words"),
            100 * F.col("n_capitals") > MAX_CAPITALS * F.col("n_points"), F.col("n_symbols") > 0]
@@ -199,7 +201,7 @@ def failures(measured: DataFrame) -> DataFrame:
     rows = materialise(measured.groupBy("id", "part", mask.cast("int").alias("mask"), "sha").agg(F.count(F.lit(1)).alias("n")), "audited")
     first = rows.groupBy("sha").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("sha", "low")
     later = F.coalesce(F.col("id") > F.col("low"), F.lit(False))
-    return rows.join(first, "sha", "left").groupBy(
+    return heavy_split_join(rows, first, "sha", ["id", "part", "mask"], "left").groupBy(
         "id", "part", (F.col("mask") + F.when(later, 1 << 4).otherwise(0)).alias("mask")).agg(F.sum("n").alias("n"))
 
 
