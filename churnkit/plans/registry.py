@@ -686,7 +686,8 @@ def q_policy_stream(spark, sf_dir):
 
 
 def _policy_state(spark, sf_dir) -> str:
-    """The offer log delivered in four files, the second one late and the third one twice, through the keyed stream; its output folder."""
+    """The offer log delivered in four parts, the second one late and the third one twice, through the keyed stream, a
+    micro-batch per delivery; its output folder."""
     from churnkit.streaming import policy_state as ps
     from churnkit.functions.ordering import global_index
     c = ch(spark, sf_dir)
@@ -694,11 +695,10 @@ def _policy_state(spark, sf_dir) -> str:
     log = log.select("event_id", F.col("ts").cast("timestamp").alias("ts"), "rodada", "segmento", "acao", "aceitou").checkpoint(eager=True)
     quarter = F.pmod(F.floor((F.col("rodada") - 1) / 100), F.lit(4))
     log_dir = scratch_path(spark, "offers-in")
-    for k in (0, 2, 1, 2, 3):
-        log.where(quarter == k).write.mode("append").parquet(log_dir)
+    files = ps.deliver(log, [quarter == k for k in (0, 2, 1, 2, 3)], log_dir)
     out_dir = scratch_path(spark, "policy-state")
     # the horizon for late offers is the log's own span here
-    ps.run_policy_state(spark, log_dir, out_dir, scratch_path(spark, "policy-state-ck"), watermark="3650 days", files_per_trigger=16)
+    ps.run_policy_state(spark, log_dir, out_dir, scratch_path(spark, "policy-state-ck"), watermark="3650 days", files_per_trigger=files)
     return out_dir
 
 

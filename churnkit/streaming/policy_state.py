@@ -16,7 +16,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -30,6 +30,7 @@ OFFER_SCHEMA = "event_id long, ts timestamp, rodada long, segmento string, acao
 PARTIAL = "segmento string, acao string, bloco long, n long, aceites long"
 OUT = "tipo string, segmento string, chave string, n long, aceites long"
 RING = CURVE_WINDOW // CURVE_EVERY
+FILE_ROWS = 4_000_000  # offers of a whole log per file of a delivery (a delivery holds a quarter of them)
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 COUNT, BLOCK, LATE = "contador", "bloco", "atraso"
 
@@ -69,6 +70,14 @@ class SegmentState(StatefulProcessor):
         pass
 
 
+def deliver(log: DataFrame, parts: list[Column], log_dir: str) -> int:
+    """Append the rows of each condition to ``log_dir``, in turn; the most files of one delivery, which are a micro-batch."""
+    files = max(1, -(-log.count() // FILE_ROWS))
+    for part in parts:
+        log.where(part).coalesce(files).write.mode("append").parquet(log_dir)
+    return files
+
+
 def _partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         if len(b):
@@ -81,9 +90,11 @@ def run_policy_state(spark: SparkSession, log_dir: str, out_dir: str, checkpoint
     ``checkpoint`` it goes on with new files.  ``watermark`` is how late an offer, or
     its second delivery, may come; what is later than that is dropped.  A run that
     isn't finished in ``timeout`` seconds raises ``TimeoutError``."""
-    provider = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(provider)
+    provider, width = "spark.sql.streaming.stateStore.providerClass", "spark.sql.shuffle.partitions"
+    before = {k: spark.conf.get(k) for k in (provider, width)}
     spark.conf.set(provider, ROCKSDB)
+    # every batch opens and commits a store per partition and stateful step: as many as run at once
+    spark.conf.set(width, str(min(int(before[width]), max(1, spark.sparkContext.defaultParallelism))))
     try:
         log = spark.readStream.schema(OFFER_SCHEMA).option("maxFilesPerTrigger", files_per_trigger).parquet(log_dir)
         once = log.withWatermark("ts", watermark).dropDuplicatesWithinWatermark(["event_id"])
@@ -102,7 +113,8 @@ def run_policy_state(spark: SparkSession, log_dir: str, out_dir: str, checkpoint
             raise TimeoutError(f"the stream over {log_dir} was not finished after {timeout} seconds")
         return q
     finally:
-        spark.conf.set(provider, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
 def _totals(spark: SparkSession, out_dir: str) -> DataFrame:

@@ -66,3 +66,23 @@ def test_tasks_add_up_before_the_state(spark, log):
     df = pd.DataFrame([(r[3], r[4], (r[2] - 1) // 50, r[5]) for r in log], columns=["segmento", "acao", "bloco", "aceitou"])
     out = pd.concat(ps._partial(iter([df, df.iloc[:0]])))
     assert len(out) <= 40 * len(SEGMENTS) * len(ACTIONS) and out["n"].sum() == 2000 and out["aceites"].sum() == sum(r[5] for r in log)
+
+
+def test_a_delivery_is_one_batch_and_state_is_as_wide_as_the_cores(spark, log, tmp_path):
+    import os
+    d, out, ck = str(tmp_path / "log"), str(tmp_path / "out"), str(tmp_path / "ck")
+    df = spark.createDataFrame(log, "event_id long, s long, rodada long, segmento string, acao string, aceitou int")
+    df = df.select("event_id", F.timestamp_seconds("s").alias("ts"), "rodada", "segmento", "acao", "aceitou").repartitionByRange(40, "rodada")
+    third = F.col("rodada") % 3
+    files = ps.deliver(df, [third == 0, third == 2, third == 1, third == 2], d)
+    assert files == 1 and len([f for f in os.listdir(d) if f.startswith("part-")]) == 4
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        ps.run_policy_state(spark, d, out, ck, watermark="3650 days", files_per_trigger=files)
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "40"
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+    assert got(spark, out) == want(spark, log)
+    for step in os.listdir(f"{ck}/state"):
+        assert len([x for x in os.listdir(f"{ck}/state/{step}") if x.isdigit()]) <= spark.sparkContext.defaultParallelism
