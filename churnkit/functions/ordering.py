@@ -16,12 +16,6 @@ from pyspark.sql import functions as F
 _PID, _MID, _OFF, _CNT = "_ck_pid", "_ck_mid", "_ck_off", "_ck_cnt"
 
 
-def _n_parts(df: DataFrame, num_partitions: int | None) -> int:
-    if num_partitions:
-        return num_partitions
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-
 def global_index(df: DataFrame, order: Sequence[Column], name: str = "row_idx",
                  num_partitions: int | None = None) -> DataFrame:
     """Add ``name`` = 1-based position of each row in ``order``.
@@ -33,8 +27,9 @@ def global_index(df: DataFrame, order: Sequence[Column], name: str = "row_idx",
     """
     from churnkit.session import ensure_checkpoint_dir
     ensure_checkpoint_dir(df.sparkSession)
-    n = _n_parts(df, num_partitions)
-    ranged = (df.repartitionByRange(n, *order)
+    # without a number, small inputs get few ranges (adaptive execution merges neighbours, in order)
+    ranges = df.repartitionByRange(num_partitions, *order) if num_partitions else df.repartitionByRange(*order)
+    ranged = (ranges
                 .sortWithinPartitions(*order)
                 .withColumn(_PID, F.spark_partition_id())
                 .withColumn(_MID, F.monotonically_increasing_id()))

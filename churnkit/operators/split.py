@@ -7,9 +7,11 @@ start (``index_within``), never from a window holding a whole class.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from fractions import Fraction
+from typing import Any
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -49,6 +51,15 @@ def split_align(other: DataFrame, split: DataFrame, part: str = TEST, key: str =
     return other.join(split.where(F.col("particao") == part).select(key), key, "left_semi")
 
 
+def fit_on_train(other: DataFrame, split: DataFrame, fit: Callable[[DataFrame], Any], key: str = "CustomerID") -> Any:
+    """What ``fit`` learns from the train rows, which are joined once and kept for all its passes."""
+    train = split_align(other, split, TRAIN, key).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return fit(train)
+    finally:
+        train.unpersist()
+
+
 def folds_stratified(split: DataFrame, k: int = 5, key: str = "CustomerID",
                      label: str = "Churn", test_fraction: float = TEST_FRACTION) -> DataFrame:
     """M3: fold = (position among the class's train rows - 1) mod k."""

@@ -127,7 +127,7 @@ def q_apply_params(spark, sf_dir):
     from churnkit.operators import split as sp
     f = fx(spark, sf_dir)
     split = sp.split_stratified(f.raw.select("CustomerID", prep.flag_equals_col(f.spec)), "CustomerID", "Churn")
-    params = prep.fit(sp.split_align(f.raw, split, sp.TRAIN), f.spec)
+    params = sp.fit_on_train(f.raw, split, lambda train: prep.fit(train, f.spec))
     return round_doubles(prep.apply(sp.split_align(f.raw, split, sp.TEST), params))
 
 
